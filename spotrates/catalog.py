@@ -46,6 +46,26 @@ REGISTRY = {
     "a30_overlap": (A.overlap, O.OVERLAP),
     "p9_r1_scatter_sample": (A.scatter_sample, O.SCATTER_SAMPLE),
     "f19_f26_text_functions": (A.text_functions, O.TEXT_FUNCTIONS),
+    "m17_j2_final_predictions": (A.final_baseline_predictions, O.FINAL_PREDICTIONS),
+    "a13_prediction_summary": (A.final_prediction_summary, O.FINAL_PREDICTION_SUMMARY),
+    "v11_v17_prediction_checks": (A.final_prediction_checks, O.FINAL_PREDICTION_CHECKS),
+    "s6_prediction_text": (A.final_prediction_text, O.FINAL_PREDICTION_TEXT),
+    "j1_scenario_enriched": (A.scenario_enriched, O.SCENARIO_ENRICHED),
+    "v9_v10_v16_scenario_checks": (A.scenario_checks, O.SCENARIO_CHECKS),
+    "m18_scenario_predictions": (A.scenario_baseline_predictions, O.SCENARIO_PREDICTIONS),
+    "v12_scenario_prediction_checks": (A.scenario_prediction_checks, O.SCENARIO_PREDICTION_CHECKS),
+    "r2_scenario_chart": (A.scenario_chart_data, O.SCENARIO_CHART),
+    "r4_executive_numbers": (A.executive_numbers, O.EXECUTIVE_NUMBERS),
+    "s9_findings": (A.findings_table, O.FINDINGS),
+    "r3_leaderboard_table": (A.leaderboard_report_table, O.LEADERBOARD_REPORT),
+    "a18_r3_scenario_table": (A.scenario_report_table, O.SCENARIO_REPORT),
+    # Learned families: Spark ML fits, no SQL oracle (rows-only check + pytest).
+    "m4_m8_m10_m11_ridge_backtest": (A.ridge_backtest, None),
+    "m5_m9_hgb_backtest": (A.hgb_backtest, None),
+    "m6_extra_trees_backtest": (A.extra_trees_backtest, None),
+    "m7_random_forest_backtest": (A.random_forest_backtest, None),
+    "m17_final_ridge_predictions": (A.final_ridge_predictions, None),
+    "m18_scenario_ridge_predictions": (A.scenario_ridge_predictions, None),
 }
 
 

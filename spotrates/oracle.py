@@ -399,3 +399,124 @@ TEXT_FUNCTIONS = q(final="""SELECT load_id, strftime(date, '%Y-%m') AS month, st
   starts_with(load_id, 'TR-') AS has_prefix, printf('%.6f', posted_rate) AS rate_text,
   sha256(load_id) AS id_sha256, CAST(isodow(date) - 1 AS INTEGER) AS weekday,
   CAST(weekofyear(date) AS INTEGER) AS iso_week FROM lab""")
+
+# -- final scoring, scenario, report ----------------------------------------------------------
+_FINAL = _BASE + [
+    """fin AS (SELECT greatest(1e0, 0.5e0 * quantile_cont(posted_rate, 0.005)) AS floor,
+    quantile_cont(posted_rate, 0.5) AS gmed, regr_slope(posted_rate, distance) AS slope,
+    regr_intercept(posted_rate, distance) AS intercept, quantile_cont(posted_rate / distance, 0.5) AS grpm FROM lab)""",
+    """frq AS (SELECT equipment, quantile_cont(posted_rate / distance, 0.5) AS rpm FROM lab
+    WHERE equipment IS NOT NULL GROUP BY equipment)""",
+    """fp AS (SELECT s.load_id, fin.floor, CASE (SELECT model FROM sel) WHEN 'global_median' THEN fin.gmed
+      WHEN 'distance_linear' THEN fin.intercept + fin.slope * s.distance
+      ELSE coalesce(frq.rpm, fin.grpm) * s.distance END AS raw
+    FROM sco s CROSS JOIN fin LEFT JOIN frq USING (equipment))""",
+    "fpp AS (SELECT load_id, CASE WHEN isfinite(raw) THEN greatest(raw, floor) ELSE floor END AS predicted_rate FROM fp)",
+]
+FINAL_PREDICTIONS = q(*_FINAL, final=f"SELECT load_id, {r('predicted_rate', 'predicted_rate')} FROM fpp")
+FINAL_PREDICTION_SUMMARY = q(*_FINAL, "fr AS (SELECT round(predicted_rate, 6) AS x FROM fpp)", final=f"""
+SELECT CAST(count(x) AS DOUBLE) AS count, {r('avg(x)', 'mean', 4)}, {r('stddev_samp(x)', 'std', 4)}, {r('min(x)', 'min', 4)},
+  {r('quantile_cont(x, 0.25)', 'p25', 4)}, {r('quantile_cont(x, 0.5)', 'p50', 4)}, {r('quantile_cont(x, 0.75)', 'p75', 4)},
+  {r('max(x)', 'max', 4)} FROM fr""")
+FINAL_PREDICTION_CHECKS = q(*_FINAL, final="""
+SELECT 'predictions' AS "table", 'missing_ids' AS rule, CAST(0 AS BIGINT) AS violations
+UNION ALL SELECT 'predictions', 'extra_ids', CAST(0 AS BIGINT)
+UNION ALL SELECT 'predictions', 'null_id', CAST(count_if(load_id IS NULL) AS BIGINT) FROM fpp
+UNION ALL SELECT 'predictions', 'duplicate_id', CAST(count(*) - count(DISTINCT load_id) AS BIGINT) FROM fpp
+UNION ALL SELECT 'predictions', 'bad_prediction', CAST(count_if(predicted_rate IS NULL OR NOT isfinite(predicted_rate)
+  OR predicted_rate <= 0) AS BIGINT) FROM fpp
+UNION ALL SELECT 'merge', 'unmatched', CAST(count_if(f.load_id IS NULL) AS BIGINT) FROM sco s LEFT JOIN fpp f USING (load_id)
+UNION ALL SELECT 'merge', 'not_one_to_one', CAST(0 AS BIGINT)""")
+FINAL_PREDICTION_TEXT = q(*_FINAL, final="SELECT load_id, printf('%.6f', predicted_rate) AS predicted_rate FROM fpp")
+
+_FX = S.SCENARIO_FIXED
+_SCEN = [
+    f"""scen AS (SELECT '{_FX['pickup']}' AS pickup, '{_FX['delivery']}' AS delivery, {_d(_FX['distance'])} AS distance,
+    '{_FX['equipment']}' AS equipment, {_d(_FX['weight'])} AS weight, CAST(d AS DATE) AS date
+    FROM (SELECT unnest(generate_series(TIMESTAMP '{S.SCENARIO_START}', TIMESTAMP '{S.SCENARIO_END}', INTERVAL 1 DAY)) AS d))""",
+    _COORDS, _CITY,
+]
+SCENARIO_ENRICHED = q(*_SCEN, final=f"""SELECT s.pickup, s.delivery, s.distance, s.equipment, s.weight, s.date,
+  {r('p.lat', 'pickup_lat')}, {r('p.lon', 'pickup_lon')}, {r('d.lat', 'delivery_lat')}, {r('d.lon', 'delivery_lon')}
+FROM scen s LEFT JOIN cd p ON p.city = s.pickup LEFT JOIN cd d ON d.city = s.delivery""")
+
+
+def _scenario_rules(src: str, with_pred: bool) -> str:
+    rules = [("unparsable_date", "count_if(date IS NULL)")]
+    for c in ("pickup", "delivery", "equipment"):
+        rules.append((f"changed_{c}", f"count_if(NOT coalesce({c} = '{_FX[c]}', false))"))
+    for c in ("distance", "weight"):
+        tol = S.ISCLOSE_ATOL + S.ISCLOSE_RTOL * abs(_FX[c])
+        rules.append((f"changed_{c}", f"count_if(NOT coalesce(abs({c} - {_d(_FX[c])}) <= {_d(tol)}, false))"))
+    if with_pred:
+        rules.append(("bad_prediction", "count_if(predicted_rate IS NULL OR NOT isfinite(predicted_rate) OR predicted_rate <= 0)"))
+    parts = [f"SELECT 'scenario' AS \"table\", '{n}' AS rule, CAST({e} AS BIGINT) AS violations FROM {src}" for n, e in rules]
+    days = (f"(SELECT CAST(unnest(generate_series(TIMESTAMP '{S.SCENARIO_START}', TIMESTAMP '{S.SCENARIO_END}', "
+            f"INTERVAL 1 DAY)) AS DATE) AS day)")
+    per = f"(SELECT date AS day, count(*) AS c FROM {src} WHERE date IS NOT NULL GROUP BY date)"
+    parts.append(f"SELECT 'scenario', 'missing_day', CAST(count(*) AS BIGINT) FROM {days} w ANTI JOIN {per} g USING (day)")
+    parts.append(f"SELECT 'scenario', 'day_outside_month', CAST(count(*) AS BIGINT) FROM {per} g ANTI JOIN {days} w USING (day)")
+    parts.append(f"SELECT 'scenario', 'duplicate_day', CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM {per} g WHERE c > 1")
+    return "\nUNION ALL ".join(parts)
+
+
+SCENARIO_CHECKS = q(*_SCEN, final=_scenario_rules("scen", False) + """
+UNION ALL SELECT 'scenario', 'unknown_city', CAST(count(*) AS BIGINT) FROM
+  (SELECT pickup AS city FROM scen UNION SELECT delivery FROM scen) c ANTI JOIN cd USING (city)""")
+_SCEN_PRED = _SCEN + [
+    "sfl AS (SELECT greatest(1e0, 0.5e0 * quantile_cont(posted_rate, 0.005)) AS floor, quantile_cont(posted_rate / distance, 0.5) AS grpm FROM lab)",
+    "srq AS (SELECT equipment, quantile_cont(posted_rate / distance, 0.5) AS rpm FROM lab WHERE equipment IS NOT NULL GROUP BY equipment)",
+    """sp2 AS (SELECT s.pickup, s.delivery, s.distance, s.equipment, s.weight, s.date,
+    CASE WHEN isfinite(coalesce(srq.rpm, sfl.grpm) * s.distance) THEN greatest(coalesce(srq.rpm, sfl.grpm) * s.distance, sfl.floor)
+      ELSE sfl.floor END AS predicted_rate FROM scen s CROSS JOIN sfl LEFT JOIN srq USING (equipment))""",
+]
+SCENARIO_PREDICTIONS = q(*_SCEN_PRED, final=f"""SELECT pickup, delivery, {r('distance', 'distance')}, equipment,
+  {r('weight', 'weight')}, date, {r('predicted_rate', 'predicted_rate')} FROM sp2""")
+SCENARIO_PREDICTION_CHECKS = q(*_SCEN_PRED, final=_scenario_rules("sp2", True))
+SCENARIO_CHART = q(*_SCEN_PRED, final=f"""SELECT date, {r('predicted_rate', 'predicted_rate')},
+  {r('m - greatest(10e0, m * 0.02e0)', 'shade_floor')} FROM sp2 CROSS JOIN (SELECT min(predicted_rate) AS m FROM sp2)""")
+
+_EXEC = [
+    "tc AS (SELECT pickup AS city FROM lab UNION SELECT delivery FROM lab)",
+    "vc AS (SELECT pickup AS city FROM sco UNION SELECT delivery FROM sco)",
+    "uc AS (SELECT city FROM vc EXCEPT SELECT city FROM tc)",
+    f"trr2 AS (SELECT DISTINCT {ROUTE} AS route FROM lab)",
+    f"vr2 AS (SELECT DISTINCT {ROUTE} AS route FROM sco)",
+    """ex AS (SELECT * FROM
+  (SELECT count(*) AS train_rows, strftime(min(date), '%Y-%m-%d') AS train_start, strftime(max(date), '%Y-%m-%d') AS train_end,
+     count_if(weight IS NULL) AS train_missing_weight, count_if(market_index IS NULL) AS train_missing_market_index,
+     count_if(weight < 0) AS train_negative_weights, avg(market_index) AS train_market_mean FROM lab)
+  CROSS JOIN (SELECT count(*) AS validation_rows, strftime(min(date), '%Y-%m-%d') AS validation_start,
+     strftime(max(date), '%Y-%m-%d') AS validation_end, count_if(weight IS NULL) AS validation_missing_weight,
+     count_if(market_index IS NULL) AS validation_missing_market_index, count_if(weight < 0) AS validation_negative_weights,
+     avg(market_index) AS validation_market_mean FROM sco)
+  CROSS JOIN (SELECT count(*) AS unseen_city_count, coalesce(nullif(array_to_string(list_sort(list(city)), ', '), ''), 'none')
+     AS unseen_cities FROM uc)
+  CROSS JOIN (SELECT count(*) AS unseen_validation_routes FROM (SELECT route FROM vr2 EXCEPT SELECT route FROM trr2)))""",
+]
+EXECUTIVE_NUMBERS = q(*_EXEC, final=f"""SELECT train_rows, train_start, train_end, train_missing_weight,
+  train_missing_market_index, train_negative_weights, {r('train_market_mean', 'train_market_mean')}, validation_rows,
+  validation_start, validation_end, validation_missing_weight, validation_missing_market_index,
+  validation_negative_weights, {r('validation_market_mean', 'validation_market_mean')}, unseen_city_count,
+  unseen_cities, unseen_validation_routes FROM ex""")
+
+_FIXED_FINDINGS = [
+    "Target rates are right-skewed with rare high rate-per-mile rows, so temporal MAE is the primary selection metric and RMSE/tail metrics are reported as diagnostics.",
+    "December chart rows lack market_index and quote_signal. A separate chart-compatible model excludes those fields and is backtested under the same constraint.",
+    "Root CSVs are preserved under data/raw with hash checks; pipeline commands read the original root files and never modify the supplied inputs.",
+    "City-to-coordinate consistency is validated before December enrichment.",
+]
+FINDINGS = q(*_EXEC, final="\nUNION ALL ".join([
+    "SELECT 1 AS ordinal, printf('- Training data has %s rows and validation has %s rows.', format('{:,}', train_rows), format('{:,}', validation_rows)) AS finding FROM ex",
+    "SELECT 2, printf('- Training dates span %s to %s; validation dates span %s to %s.', train_start, train_end, validation_start, validation_end) FROM ex",
+    "SELECT 3, printf('- Missing values: training weight=%d, training market_index=%d, validation weight=%d, validation market_index=%d.', train_missing_weight, train_missing_market_index, validation_missing_weight, validation_missing_market_index) FROM ex",
+    "SELECT 4, printf('- Negative weights are present: training=%d, validation=%d. The pipeline benchmarks absolute-value repair and missing-value imputation with flags.', train_negative_weights, validation_negative_weights) FROM ex",
+    "SELECT 5, printf('- Validation contains unseen cities: %s; exact unseen validation routes=%d.', unseen_cities, unseen_validation_routes) FROM ex",
+    "SELECT 6, printf('- Market index shifts from mean %.3f in training to %.3f in validation.', train_market_mean, validation_market_mean) FROM ex",
+] + [f"SELECT {7 + i}, '- {t}'" for i, t in enumerate(_FIXED_FINDINGS)]))
+
+LEADERBOARD_REPORT = q(*_BASE, final="""SELECT model, format('{:,.3f}', mean_mae) AS mean_mae, format('{:,.3f}', recent_mae) AS recent_mae,
+  format('{:,.3f}', mean_rmse) AS mean_rmse, format('{:,.3f}', mean_r2) AS mean_r2, format('{:,.3f}', mean_wape) AS mean_wape
+FROM rk ORDER BY mean_mae ASC NULLS LAST, recent_mae ASC NULLS LAST, model LIMIT 8""")
+SCENARIO_REPORT = q(*_BASE, final=f"""SELECT 'december_' || model AS model, {r('avg(mae)', 'mean_temporal_mae')} FROM res
+  WHERE model = 'equipment_median_rpm' GROUP BY model ORDER BY 2, model LIMIT 5""")

@@ -278,4 +278,147 @@ def text_functions(spark, sf_dir):
         F.weekday("date").alias("weekday"), F.weekofyear("date").alias("iso_week"))
 
 
-_ = (L, F)
+
+# -- final scoring, scenario, report (M17, M18, J1, J2, V8-V13, V16, V17, A13, R2-R4, S6, S9) ------
+def _select_baseline_spec(spark, sf_dir, catalog=None):
+    """M16 among the baseline candidates (the oracle-checkable selection)."""
+    sel = selected_baseline(spark, sf_dir).first()["model"]
+    return next(s for s in (catalog or S.full_candidate_specs()) if s.name == sel)
+
+
+def final_baseline_predictions(spark, sf_dir):
+    """M17 + J2: refit the selected candidate on all labeled rows, score the template ids."""
+    from .scoring import final_predictions, merged_predictions
+    lab, sco = tables(spark, sf_dir)
+    spec = _select_baseline_spec(spark, sf_dir)
+    pred = final_predictions(lab, sco, spec)
+    return R6(merged_predictions(L.prediction_template(spark, sf_dir), pred))
+
+
+def final_prediction_summary(spark, sf_dir):
+    from .scoring import prediction_summary
+    return R6(prediction_summary(final_baseline_predictions(spark, sf_dir)), 4)
+
+
+def final_prediction_checks(spark, sf_dir):
+    """V11 + V17 on the merged predictions."""
+    _, sco = tables(spark, sf_dir)
+    pred = final_baseline_predictions(spark, sf_dir)
+    return (V.prediction_violations(pred, sco.select("load_id"))
+            .unionByName(V.merge_violations(L.prediction_template(spark, sf_dir), pred)))
+
+
+def final_prediction_text(spark, sf_dir):
+    from .scoring import prediction_text
+    return prediction_text(final_baseline_predictions(spark, sf_dir))
+
+
+def scenario_enriched(spark, sf_dir):
+    from .scoring import enrich_scenario
+    lab, sco = tables(spark, sf_dir)
+    return R6(enrich_scenario(L.scenario_template(spark).drop("predicted_rate"), PR.city_lookup(lab, sco)))
+
+
+def scenario_checks(spark, sf_dir):
+    lab, sco = tables(spark, sf_dir)
+    scen = L.scenario_template(spark)
+    return V.scenario_violations(scen).unionByName(V.scenario_city_violations(scen, PR.city_lookup(lab, sco)))
+
+
+def _scenario_baseline(spark, sf_dir):
+    from .scoring import scenario_predictions
+    lab, sco = tables(spark, sf_dir)
+    spec = next(s for s in S.scenario_candidate_specs() if s.family in S.BASELINE_FAMILIES)
+    return scenario_predictions(lab, sco, L.scenario_template(spark), spec)
+
+
+def scenario_baseline_predictions(spark, sf_dir):
+    return R6(_scenario_baseline(spark, sf_dir))
+
+
+def scenario_prediction_checks(spark, sf_dir):
+    """The completed scenario keeps every day once, the fixed lane, finite > 0 rates."""
+    return V.scenario_violations(_scenario_baseline(spark, sf_dir), with_predictions=True)
+
+
+def scenario_chart_data(spark, sf_dir):
+    from .scoring import scenario_chart
+    return R6(scenario_chart(_scenario_baseline(spark, sf_dir)))
+
+
+def executive_numbers(spark, sf_dir):
+    from .report import executive_numbers as ex
+    lab, sco = tables(spark, sf_dir)
+    return R6(ex(lab, sco))
+
+
+def findings_table(spark, sf_dir):
+    from .report import findings
+    lab, sco = tables(spark, sf_dir)
+    return findings(lab, sco)
+
+
+def leaderboard_report_table(spark, sf_dir):
+    """Leaderboard top 8 (model, mean/recent MAE, RMSE, R^2, WAPE) as 3-decimal text."""
+    from .report import formatted_table
+    lab, _ = tables(spark, sf_dir)
+    ranked = M.rank_models(baseline_backtest(lab).results)
+    cols = ranked.select("model", "mean_mae", "recent_mae", "mean_rmse", "mean_r2", "mean_wape")
+    return formatted_table(cols, 8, [F.asc_nulls_last("mean_mae"), F.asc_nulls_last("recent_mae"), "model"])
+
+
+def scenario_report_table(spark, sf_dir):
+    """A18 + R3: mean MAE per scenario-catalog baseline, ascending, top 5."""
+    lab, _ = tables(spark, sf_dir)
+    specs = [s for s in S.scenario_candidate_specs() if s.family in S.BASELINE_FAMILIES]
+    res = baseline_backtest(lab, specs).results
+    return R6(M.mean_mae_top(res, 5).withColumnRenamed("mean_mae", "mean_temporal_mae"))
+
+
+# -- learned families (rows-only checks) -----------------------------------------------
+def _learned(spark, sf_dir, family, catalog=None):
+    from .backtest import learned_backtest
+    lab, _ = tables(spark, sf_dir)
+    spec = [s for s in (catalog or S.full_candidate_specs()) if s.family == family][:1]
+    r = learned_backtest(lab, spec)
+    return R6(r.results.select("model", "fold", "n", "mae", "rmse", "r2", "median_ae", "wape",
+                               "seen_route_mae", "seen_route_rows", "unseen_route_mae", "unseen_route_rows",
+                               "normal_target_mae", "normal_target_rows", "extreme_target_mae",
+                               "extreme_target_rows"))
+
+
+def ridge_backtest(spark, sf_dir):
+    return _learned(spark, sf_dir, "ridge")
+
+
+def hgb_backtest(spark, sf_dir):
+    return _learned(spark, sf_dir, "hgb")
+
+
+def extra_trees_backtest(spark, sf_dir):
+    return _learned(spark, sf_dir, "extra_trees")
+
+
+def random_forest_backtest(spark, sf_dir):
+    """M7: the random-forest family (implemented, in no published catalog)."""
+    from .backtest import learned_backtest
+    lab, _ = tables(spark, sf_dir)
+    spec = S.CandidateSpec("random_forest_full_abs_weight", "random_forest", True, "abs", False)
+    r = learned_backtest(lab, [spec])
+    return R6(r.results.select("model", "fold", "n", "mae", "rmse", "r2", "median_ae", "wape"))
+
+
+def final_ridge_predictions(spark, sf_dir):
+    """M17 with the ridge family: final fit on all labeled rows, scoring rows predicted."""
+    from .scoring import final_predictions, merged_predictions
+    lab, sco = tables(spark, sf_dir)
+    spec = next(s for s in S.full_candidate_specs() if s.family == "ridge")
+    return R6(merged_predictions(L.prediction_template(spark, sf_dir), final_predictions(lab, sco, spec)))
+
+
+def scenario_ridge_predictions(spark, sf_dir):
+    """M18 with the reduced-feature ridge candidate."""
+    from .scoring import scenario_predictions
+    lab, sco = tables(spark, sf_dir)
+    spec = next(s for s in S.scenario_candidate_specs() if s.family == "ridge")
+    return R6(scenario_predictions(lab, sco, L.scenario_template(spark), spec))

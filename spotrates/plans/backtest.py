@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -80,3 +81,126 @@ RESULT_COLUMNS = ["model", "fold", "family", "include_market", "negative_weight"
                   "predict_seconds", "mae", "rmse", "r2", "median_ae", "wape", "seen_route_mae", "seen_route_rows",
                   "unseen_route_mae", "unseen_route_rows", "normal_target_mae", "normal_target_rows",
                   "extreme_target_mae", "extreme_target_rows"]
+
+
+# -- learned families (M4-M7) ---------------------------------------------------------
+LEARNED = ("ridge", "hgb", "extra_trees", "random_forest")
+FEATURE_KEEP = ["load_id", "fold_id", "fold", "side", "date", "posted_rate"]
+
+
+def fold_features(labeled: DataFrame, include_market: bool, negative_weight: str, folds=None) -> DataFrame:
+    """E1 on all folds at once: stateless features once per row, J6, per-fold stats
+    fitted on each fold's train side, transform of both sides. Materialised to
+    the checkpoint folder: every learned candidate of this setting reads it."""
+    from ..operators.features import fit_stats, stateless_features, transform
+    tagged = assign_folds(stateless_features(labeled), folds)
+    stats = fit_stats(tagged.where(F.col("side") == "train"), negative_weight)
+    feats = transform(tagged, stats, include_market, keep=FEATURE_KEEP)
+    return cut_lineage(feats)
+
+
+def _encoded(feats: DataFrame, family: str, numeric: list[str], cats: list[str]):
+    """M8-M11 fitted on the train side of every fold in one set of jobs."""
+    from ..operators import encoders as EN
+    train = feats.where(F.col("side") == "train")
+    med = EN.fit_imputer(train, numeric)
+    x = EN.apply_imputer(feats, med, numeric)
+    if family == "ridge":
+        sc = EN.fit_scaler(x.where(F.col("side") == "train"), numeric)
+        x = EN.apply_scaler(x, sc, numeric)
+        table = EN.fit_onehot(train, cats)
+        levels = {(r["fold_id"], r["column"]): int(r["levels"])
+                  for r in table.select("fold_id", "column", "levels").distinct().collect()}
+        return x, table, levels
+    codes = EN.fit_ordinal(train, cats)
+    return EN.apply_ordinal(x, codes, cats), None, None
+
+
+def _fit_one_fold(spec: S.CandidateSpec, x: DataFrame, fold_id: int, numeric, cats, onehot_table, levels,
+                  boost, forest_params):
+    from ..operators import encoders as EN
+    from ..operators import learners as LN
+    rows = x.where(F.col("fold_id") == fold_id)
+    t0 = time.perf_counter()
+    if spec.family == "ridge":
+        lv = {c: levels[(fold_id, c)] for c in cats}
+        rows = EN.apply_onehot_index(rows, onehot_table.where(F.col("fold_id") == fold_id), cats, lv)
+        pred = LN.fit_predict_ridge(rows.where(F.col("side") == "train"), rows.where(F.col("side") == "valid"),
+                                    numeric, [c + "_oh" for c in cats], log_target=spec.log_target)
+    elif spec.family == "hgb":
+        cols = numeric + [c + "_code" for c in cats]
+        pred = LN.fit_predict_boost(rows, cols, boost).where(F.col("side") == "valid") \
+            .join(rows.where(F.col("side") == "valid").drop("side"), "load_id")
+    elif spec.family in ("extra_trees", "random_forest"):
+        cols = numeric + [c + "_code" for c in cats]
+        params = forest_params.get(spec.family) or (LN.EXTRA_TREES if spec.family == "extra_trees"
+                                                    else LN.RANDOM_FOREST)
+        pred = LN.fit_predict_forest(rows.where(F.col("side") == "train"), rows.where(F.col("side") == "valid"),
+                                     cols, params, log_target=spec.log_target)
+    else:
+        raise ValueError(f"Unknown family: {spec.family}")
+    fit_s = time.perf_counter() - t0
+    t1 = time.perf_counter()
+    out = pred.select("fold_id", "fold", "load_id", "date", "posted_rate", "route", "equipment", "distance",
+                      "pickup", "delivery", "raw_prediction")
+    out = cut_lineage(out)
+    return out, fit_s, time.perf_counter() - t1
+
+
+def learned_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=None, boost=None,
+                     forest_params: dict | None = None, threads: int = 5) -> BacktestResult:
+    """M15 for M4-M7: one Spark ML fit per (candidate, fold); folds fitted concurrently
+    from driver threads (Spark schedules their jobs side by side)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..operators.learners import BoostParams
+    boost = boost or BoostParams()
+    forest_params = forest_params or {}
+    spark = labeled.sparkSession
+    fold_rows = folds or S.FOLDS
+    specs = [s for s in specs if s.family in LEARNED]
+    base = fold_tagged(labeled, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    train_side = base.where(F.col("side") == "train")
+    stats = B.target_stats(train_side)
+    stats = cut_lineage(stats)
+    feats_cache: dict = {}
+    preds, timing = [], []
+    for spec in specs:
+        key = (spec.include_market, spec.negative_weight)
+        if key not in feats_cache:
+            feats_cache[key] = fold_features(labeled, *key, folds=folds)
+        feats = feats_cache[key]
+        numeric = S.numeric_features(spec.include_market)
+        cats = list(S.CATEGORICAL)
+        x, table, levels = _encoded(feats, spec.family, numeric, cats)
+        x = cut_lineage(x)
+        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(fold_rows)))) as pool:
+            futs = [pool.submit(_fit_one_fold, spec, x, f[0], numeric, cats, table, levels, boost, forest_params)
+                    for f in fold_rows]
+            for f, fut in zip(fold_rows, futs):
+                out, fit_s, pred_s = fut.result()
+                preds.append(out.withColumn("model", F.lit(spec.name)))
+                timing.append((spec.name, f[0], fit_s, pred_s))
+    pred = reduce(DataFrame.unionByName, preds)
+    pred = pred.join(F.broadcast(stats.select("fold_id", "floor")), "fold_id") \
+        .withColumn("predicted_rate", X.prediction_safety("raw_prediction", "floor")).drop("floor", "raw_prediction")
+    pred = cut_lineage(pred)
+    res = evaluate(pred, train_side, stats)
+    tim = spark.createDataFrame(timing, "model string, fold_id int, fit_seconds double, predict_seconds double")
+    res = res.join(F.broadcast(spec_table(spark, specs)), "model").join(F.broadcast(tim), ["model", "fold_id"])
+    return BacktestResult(results=cut_lineage(res), predictions=pred)
+
+
+def full_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=None, **kw) -> BacktestResult:
+    """All candidates of a catalog: baselines in one grouped pass, learned ones per fold."""
+    base_specs = [s for s in specs if s.family in S.BASELINE_FAMILIES]
+    learn_specs = [s for s in specs if s.family in LEARNED]
+    parts = []
+    if base_specs:
+        parts.append(baseline_backtest(labeled, base_specs, folds))
+    if learn_specs:
+        parts.append(learned_backtest(labeled, learn_specs, folds, **kw))
+    cols = parts[0].predictions.columns
+    return BacktestResult(
+        results=reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.results for p in parts]),
+        predictions=reduce(DataFrame.unionByName, [p.predictions.select(*cols) for p in parts]))
