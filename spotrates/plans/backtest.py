@@ -103,7 +103,7 @@ def _encoded(feats: DataFrame, family: str, numeric: list[str], cats: list[str])
     """M8-M11 fitted on the train side of every fold in one set of jobs."""
     from ..operators import encoders as EN
     train = feats.where(F.col("side") == "train")
-    med = EN.fit_imputer(train, numeric)
+    med = EN.fit_imputer(train, numeric, rows=feats)
     x = EN.apply_imputer(feats, med, numeric)
     if family == "ridge":
         sc = EN.fit_scaler(x.where(F.col("side") == "train"), numeric)
@@ -174,7 +174,9 @@ def learned_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=Non
         cats = list(S.CATEGORICAL)
         x, table, levels = _encoded(feats, spec.family, numeric, cats)
         x = cut_lineage(x)
-        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(fold_rows)))) as pool:
+        # Forest fits aggregate large split histograms: fewer of them side by side.
+        width = threads if spec.family in ("ridge", "hgb") else min(threads, 2)
+        with ThreadPoolExecutor(max_workers=max(1, min(width, len(fold_rows)))) as pool:
             futs = [pool.submit(_fit_one_fold, spec, x, f[0], numeric, cats, table, levels, boost, forest_params)
                     for f in fold_rows]
             for f, fut in zip(fold_rows, futs):

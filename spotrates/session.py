@@ -31,6 +31,9 @@ def build_session(master: str | None = None, app: str = "spotrates",
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the whole cluster.
+        builder = builder.config("spark.driver.memory", os.environ.get("SPOTRATES_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
