@@ -59,6 +59,7 @@ REGISTRY = {
     "s9_findings": (A.findings_table, O.FINDINGS),
     "r3_leaderboard_table": (A.leaderboard_report_table, O.LEADERBOARD_REPORT),
     "a18_r3_scenario_table": (A.scenario_report_table, O.SCENARIO_REPORT),
+    "streaming_stream_static_scoring": (A.stream_scoring, O.STREAM_SCORING),
     # Learned families: Spark ML fits, no SQL oracle (rows-only check + pytest).
     "m4_m8_m10_m11_ridge_backtest": (A.ridge_backtest, None),
     "m5_m9_hgb_backtest": (A.hgb_backtest, None),

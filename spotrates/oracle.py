@@ -520,3 +520,6 @@ LEADERBOARD_REPORT = q(*_BASE, final="""SELECT model, format('{:,.3f}', mean_mae
 FROM rk ORDER BY mean_mae ASC NULLS LAST, recent_mae ASC NULLS LAST, model LIMIT 8""")
 SCENARIO_REPORT = q(*_BASE, final=f"""SELECT 'december_' || model AS model, {r('avg(mae)', 'mean_temporal_mae')} FROM res
   WHERE model = 'equipment_median_rpm' GROUP BY model ORDER BY 2, model LIMIT 5""")
+
+STREAM_SCORING = q(*[c.replace("CASE (SELECT model FROM sel)", "CASE 'equipment_median_rpm'") for c in _FINAL],
+                   final=f"SELECT load_id, {r('predicted_rate', 'predicted_rate')} FROM fpp")

@@ -422,3 +422,10 @@ def scenario_ridge_predictions(spark, sf_dir):
     lab, sco = tables(spark, sf_dir)
     spec = next(s for s in S.scenario_candidate_specs() if s.family == "ridge")
     return R6(scenario_predictions(lab, sco, L.scenario_template(spark), spec))
+
+
+def stream_scoring(spark, sf_dir):
+    """Structured Streaming: orders arrive as files, stream-static joins build the
+    scoring loads, the equipment baseline fitted on the labeled table scores them."""
+    from ..streaming.scoring import run_stream_scoring
+    return R6(run_stream_scoring(spark, sf_dir))
