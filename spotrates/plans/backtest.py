@@ -24,6 +24,7 @@ from ..session import cut_lineage
 
 FOLD = "fold_id"
 PRED_COLS = ["load_id", "date", "equipment", "distance", "posted_rate", "pickup", "delivery"]
+PRED_OUT = ["model", "fold_id", "fold", *PRED_COLS, "route", "predicted_rate"]
 
 
 @dataclass
@@ -202,7 +203,7 @@ def full_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=None,
         parts.append(baseline_backtest(labeled, base_specs, folds))
     if learn_specs:
         parts.append(learned_backtest(labeled, learn_specs, folds, **kw))
-    cols = parts[0].predictions.columns
+    cols = PRED_OUT
     return BacktestResult(
         results=reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.results for p in parts]),
         predictions=reduce(DataFrame.unionByName, [p.predictions.select(*cols) for p in parts]))
