@@ -62,10 +62,9 @@ def template_violations(template: DataFrame, expected: DataFrame | None = None,
     or, when ``expected`` ids are given, the same set as those (missing/extra)."""
     ids = template.select("load_id").where(F.col("load_id").isNotNull())
     if expected is None:
-        n = template.agg(F.count(F.lit(1)).alias("n"))
-        expected = (n.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("n"), F.lit(1)))).alias("i"),
-                             "n").where(F.col("i") <= F.col("n"))
-                    .select(X.id_text(prefix, "i").alias("load_id")))
+        # The expected ids are generated by a distributed range (never one task).
+        n = template.count()
+        expected = template.sparkSession.range(1, n + 1).select(X.id_text(prefix, "id").alias("load_id"))
     missing = expected.join(ids, "load_id", "left_anti").agg(F.count(F.lit(1)).alias("missing_ids"))
     extra = ids.join(expected, "load_id", "left_anti").agg(F.count(F.lit(1)).alias("extra_ids"))
     nulls = template.agg(F.count_if(F.col("load_id").isNull()).alias("null_id"))

@@ -111,13 +111,14 @@ def drift_table(tagged: DataFrame) -> DataFrame:
                                                  F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
     med = grouped_quantiles(long, ["column", "dataset"], "value", {"p50": 0.5})
     a = agg.join(med, ["column", "dataset"], "left")
-    t = a.where(F.col("dataset") == TRAIN).select("column", F.col("mean").alias("train_mean"),
-                                                  F.col("missing_rate").alias("train_missing_rate"),
-                                                  F.col("p50").alias("train_p50"))
-    v = a.where(F.col("dataset") == VALID).select("column", F.col("mean").alias("validation_mean"),
-                                                  F.col("missing_rate").alias("validation_missing_rate"),
-                                                  F.col("p50").alias("validation_p50"))
-    out = t.join(v, "column", "full")
+    # One pivot pass over the small per-(column, dataset) table, no self-join.
+    def side(ds, c):
+        return F.max(F.when(F.col("dataset") == ds, F.col(c)))
+    out = a.groupBy("column").agg(
+        side(TRAIN, "mean").alias("train_mean"), side(VALID, "mean").alias("validation_mean"),
+        side(TRAIN, "missing_rate").alias("train_missing_rate"),
+        side(VALID, "missing_rate").alias("validation_missing_rate"),
+        side(TRAIN, "p50").alias("train_p50"), side(VALID, "p50").alias("validation_p50"))
     return out.select("column", "train_mean", "validation_mean",
                       (F.col("validation_mean") - F.col("train_mean")).alias("mean_difference"),
                       "train_missing_rate", "validation_missing_rate", "train_p50", "validation_p50")

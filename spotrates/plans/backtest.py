@@ -94,10 +94,14 @@ def fold_features(labeled: DataFrame, include_market: bool, negative_weight: str
     fitted on each fold's train side, transform of both sides. Materialised to
     the checkpoint folder: every learned candidate of this setting reads it."""
     from ..operators.features import fit_stats, stateless_features, transform
-    tagged = assign_folds(stateless_features(labeled), folds)
-    stats = fit_stats(tagged.where(F.col("side") == "train"), negative_weight)
-    feats = transform(tagged, stats, include_market, keep=FEATURE_KEEP)
-    return cut_lineage(feats)
+    # Read by the statistics jobs and by the transform: computed once.
+    tagged = assign_folds(stateless_features(labeled), folds).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = fit_stats(tagged.where(F.col("side") == "train"), negative_weight)
+        feats = transform(tagged, stats, include_market, keep=FEATURE_KEEP)
+        return cut_lineage(feats)
+    finally:
+        tagged.unpersist()
 
 
 def _encoded(feats: DataFrame, family: str, numeric: list[str], cats: list[str]):
@@ -160,17 +164,19 @@ def learned_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=Non
     spark = labeled.sparkSession
     fold_rows = folds or S.FOLDS
     specs = [s for s in specs if s.family in LEARNED]
-    base = fold_tagged(labeled, folds).persist(StorageLevel.MEMORY_AND_DISK)
-    train_side = base.where(F.col("side") == "train")
-    stats = B.target_stats(train_side)
-    stats = cut_lineage(stats)
     feats_cache: dict = {}
+    stats = train_side = None
     preds, timing = [], []
     for spec in specs:
         key = (spec.include_market, spec.negative_weight)
         if key not in feats_cache:
             feats_cache[key] = fold_features(labeled, *key, folds=folds)
         feats = feats_cache[key]
+        if stats is None:
+            # Floors, extreme cuts and train routes come from the (checkpointed)
+            # feature table: no second scan of the loads.
+            train_side = feats.where(F.col("side") == "train").select("fold_id", "route", "posted_rate")
+            stats = cut_lineage(B.target_stats(train_side))
         numeric = S.numeric_features(spec.include_market)
         cats = list(S.CATEGORICAL)
         x, table, levels = _encoded(feats, spec.family, numeric, cats)

@@ -86,3 +86,10 @@ def test_city_consistency_flags_spread(spark):
     b = _loads(spark, [("TR-000003", "A", "B", 30.000002, -90.0, 31.0, -91.0, 100.0, "Dry Van", 1.0,
                         dt.date(2000, 1, 4), 1.0, 1.5, 5.0)])
     assert [r.city for r in inconsistent_cities(city_coordinates(a, b)).collect()] == ["A"]
+
+
+def test_template_order_flag(spark):
+    a = spark.createDataFrame([(1, "TE-1"), (2, "TE-2")], "ordinal int, load_id string")
+    b = spark.createDataFrame([(1, "TE-2"), (2, "TE-1")], "ordinal int, load_id string")
+    assert V.order_matches(a, a).first().order_matches is True
+    assert V.order_matches(a, b).first().order_matches is False
