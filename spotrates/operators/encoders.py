@@ -117,3 +117,26 @@ def apply_onehot_index(df: DataFrame, table: DataFrame, categorical: list[str],
         out = out.withColumn(c + suffix, F.coalesce(F.col("_ix"), F.lit(unseen)).alias(c + suffix, metadata=meta))
         out = out.drop("_ix")
     return out
+
+
+def apply_onehot_index_all(df: DataFrame, table: DataFrame, categorical: list[str], suffix: str = "_oh") -> DataFrame:
+    """Index columns for every fold at once (before the feature table is cut);
+    an unseen category gets the fold's last slot (``levels - 1``)."""
+    lv = (table.select(FOLD, "column", "levels").distinct().groupBy(FOLD).pivot("column", categorical)
+          .agg(F.first("levels")))
+    lv = lv.select(FOLD, *[F.col(c).alias(f"_lv_{c}") for c in categorical])
+    out = df.join(F.broadcast(lv), FOLD, "left")          # one row per fold
+    for c in categorical:
+        t = table.where(F.col("column") == c).select(FOLD, F.col("value").alias(c), F.col("index").alias("_ix"))
+        out = out.join(t, [FOLD, c], "left")
+        out = out.withColumn(c + suffix, F.coalesce(F.col("_ix"), (F.col(f"_lv_{c}") - 1).cast("double"))).drop("_ix")
+    return out.drop(*[f"_lv_{c}" for c in categorical])
+
+
+def with_onehot_metadata(df: DataFrame, categorical: list[str], levels: dict[str, int],
+                         suffix: str = "_oh") -> DataFrame:
+    """Attach one fold's category counts as ML metadata (a projection, no join)."""
+    cols = {c + suffix: c for c in categorical}
+    return df.select(*[
+        F.col(n).alias(n, metadata={"ml_attr": {"type": "nominal", "num_vals": int(levels[cols[n]]), "name": n}})
+        if n in cols else F.col(n) for n in df.columns])

@@ -95,7 +95,9 @@ def relative_frequency(df: DataFrame, key: str, out: str) -> DataFrame:
     """Count / non-null total per fold; NULL keys count in neither."""
     counts = df.where(F.col(key).isNotNull()).groupBy(FOLD, key).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(FOLD).agg(F.sum("_c").alias("_t"))
-    return counts.join(totals, FOLD).select(FOLD, key, (F.col("_c") / F.col("_t")).alias(out))
+    # One row per fold: a proven bound. Broadcasting it also keeps the join a
+    # broadcast when ``fold_id`` is a literal (single fit) and the key folds away.
+    return counts.join(F.broadcast(totals), FOLD).select(FOLD, key, (F.col("_c") / F.col("_t")).alias(out))
 
 
 def fit_stats(train: DataFrame, negative_weight: str = "abs", exact: bool = True) -> FittedStats:

@@ -116,7 +116,7 @@ def _encoded(feats: DataFrame, family: str, numeric: list[str], cats: list[str])
         table = EN.fit_onehot(train, cats)
         levels = {(r["fold_id"], r["column"]): int(r["levels"])
                   for r in table.select("fold_id", "column", "levels").distinct().collect()}
-        return x, table, levels
+        return EN.apply_onehot_index_all(x, table, cats), table, levels
     codes = EN.fit_ordinal(train, cats)
     return EN.apply_ordinal(x, codes, cats), None, None
 
@@ -129,7 +129,7 @@ def _fit_one_fold(spec: S.CandidateSpec, x: DataFrame, fold_id: int, numeric, ca
     t0 = time.perf_counter()
     if spec.family == "ridge":
         lv = {c: levels[(fold_id, c)] for c in cats}
-        rows = EN.apply_onehot_index(rows, onehot_table.where(F.col("fold_id") == fold_id), cats, lv)
+        rows = EN.with_onehot_metadata(rows, cats, lv)
         pred = LN.fit_predict_ridge(rows.where(F.col("side") == "train"), rows.where(F.col("side") == "valid"),
                                     numeric, [c + "_oh" for c in cats], log_target=spec.log_target)
     elif spec.family == "hgb":

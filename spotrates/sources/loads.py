@@ -60,8 +60,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     task. A large table already has many splits and is returned unchanged, so
     this never adds a shuffle at scale (and never defeats map-side combining).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
+        return df
+    if splits < cores:
         return df.repartition(cores, key)
     return df
 
