@@ -58,12 +58,12 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, fl
         out = data.groupBy(*keys).agg(arr.alias("_qa"))
         return out.select(*keys, *[F.col("_qa")[i].alias(n) for i, n in enumerate(names)])
 
-    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
-    if sizes is None or sizes["_m"] is None or sizes["_m"] <= final_rows:
-        return _bounded_groups(data, keys, probs)
-
+    # The (keys, value) projection is read by several jobs: computed once.
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
+        if sizes is None or sizes["_m"] is None or sizes["_m"] <= final_rows:
+            return cut_lineage(_bounded_groups(data, keys, probs))
         stats = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_V).alias("_lo"),
                                         F.max(_V).alias("_hi"))
         plist = F.array(*[F.struct(F.lit(n).alias("_pname"), F.lit(float(p)).alias("_p")) for n, p in probs.items()])
