@@ -59,7 +59,8 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 
 def fit_predict_ridge(train: DataFrame, rows: DataFrame, numeric: list[str], onehot: list[str],
-                      params: RidgeParams = RidgeParams(), log_target: bool = True) -> DataFrame:
+                      params: RidgeParams = RidgeParams(), log_target: bool = True,
+                      model_dir: str | None = None) -> DataFrame:
     """M4: standardized numerics + one-hot categories -> ridge on log1p(y).
 
     scikit-learn's ``||y - Xw||^2 + alpha ||w||^2`` equals Spark's scaled objective
@@ -76,13 +77,16 @@ def fit_predict_ridge(train: DataFrame, rows: DataFrame, numeric: list[str], one
     lr = LinearRegression(featuresCol="features", labelCol="_t", regParam=reg, elasticNetParam=0.0,
                           standardization=False, fitIntercept=True, solver="auto", maxIter=100, tol=1e-7)
     model = lr.fit(assemble(enc.transform(tr), cols))
+    if model_dir:                                  # S11
+        enc.write().overwrite().save(f"{model_dir}/onehot")
+        model.write().overwrite().save(f"{model_dir}/ridge")
     pred = model.transform(assemble(enc.transform(rows), cols))
     raw = F.expm1(F.col("prediction")) if log_target else F.col("prediction")
     return pred.withColumn("raw_prediction", raw).drop("features", "prediction", *[c + "_vec" for c in onehot])
 
 
 def fit_predict_forest(train: DataFrame, rows: DataFrame, cols: list[str], params: ForestParams,
-                       log_target: bool = False) -> DataFrame:
+                       log_target: bool = False, model_dir: str | None = None) -> DataFrame:
     """M6/M7: random forest regressor on imputed numerics + ordinal codes."""
     target = F.log1p(F.col(Y)) if log_target else F.col(Y)
     rf = RandomForestRegressor(featuresCol="features", labelCol="_t", numTrees=params.trees,
@@ -90,13 +94,15 @@ def fit_predict_forest(train: DataFrame, rows: DataFrame, cols: list[str], param
                                bootstrap=params.bootstrap, maxDepth=params.max_depth, maxBins=params.max_bins,
                                seed=params.seed, subsamplingRate=1.0)
     model = rf.fit(assemble(train.withColumn("_t", target), cols))
+    if model_dir:                                  # S11
+        model.write().overwrite().save(f"{model_dir}/forest")
     pred = model.transform(assemble(rows, cols))
     raw = F.expm1(F.col("prediction")) if log_target else F.col("prediction")
     return pred.withColumn("raw_prediction", raw).drop("features", "prediction")
 
 
 def fit_predict_boost(train_rows: DataFrame, cols: list[str], params: BoostParams = BoostParams(),
-                      key: str = "load_id") -> DataFrame:
+                      key: str = "load_id", model_dir: str | None = None) -> DataFrame:
     """M5: boosting for absolute error, one fold.
 
     ``train_rows`` holds train AND scored rows with a ``side`` column; only
@@ -107,6 +113,8 @@ def fit_predict_boost(train_rows: DataFrame, cols: list[str], params: BoostParam
     """
     base = assemble(train_rows, cols).select(key, "side", F.col(Y).cast("double").alias("_y"), "features")
     m0 = quantiles(base.where(F.col("side") == "train"), "_y", {"_p0": 0.5})
+    if model_dir:
+        m0.write.mode("overwrite").parquet(f"{model_dir}/initial")
     cur = base.crossJoin(F.broadcast(m0)).withColumnRenamed("_p0", "_p")
     cur = cut_lineage(cur)
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="_g", leafCol="_leaf", maxDepth=params.max_depth,
@@ -118,6 +126,9 @@ def fit_predict_boost(train_rows: DataFrame, cols: list[str], params: BoostParam
         leaves = model.transform(cur).drop("prediction")
         med = grouped_quantiles(leaves.where(F.col("side") == "train"), ["_leaf"], F.col("_y") - F.col("_p"),
                                 {"_m": 0.5})
+        if model_dir:                              # S11: tree + leaf values of each round
+            model.write().overwrite().save(f"{model_dir}/round_{r:03d}/tree")
+            med.write.mode("overwrite").parquet(f"{model_dir}/round_{r:03d}/leaf_values")
         nxt = (leaves.join(F.broadcast(med), "_leaf", "left")
                .withColumn("_p", F.col("_p") + F.lit(params.learning_rate) * F.coalesce(F.col("_m"), F.lit(0.0)))
                .select(key, "side", "_y", "features", "_p"))

@@ -122,7 +122,7 @@ def _encoded(feats: DataFrame, family: str, numeric: list[str], cats: list[str])
 
 
 def _fit_one_fold(spec: S.CandidateSpec, x: DataFrame, fold_id: int, numeric, cats, onehot_table, levels,
-                  boost, forest_params):
+                  boost, forest_params, model_dir: str | None = None):
     from ..operators import encoders as EN
     from ..operators import learners as LN
     rows = x.where(F.col("fold_id") == fold_id)
@@ -131,17 +131,18 @@ def _fit_one_fold(spec: S.CandidateSpec, x: DataFrame, fold_id: int, numeric, ca
         lv = {c: levels[(fold_id, c)] for c in cats}
         rows = EN.with_onehot_metadata(rows, cats, lv)
         pred = LN.fit_predict_ridge(rows.where(F.col("side") == "train"), rows.where(F.col("side") == "valid"),
-                                    numeric, [c + "_oh" for c in cats], log_target=spec.log_target)
+                                    numeric, [c + "_oh" for c in cats], log_target=spec.log_target,
+                                    model_dir=model_dir)
     elif spec.family == "hgb":
         cols = numeric + [c + "_code" for c in cats]
-        pred = LN.fit_predict_boost(rows, cols, boost).where(F.col("side") == "valid") \
+        pred = LN.fit_predict_boost(rows, cols, boost, model_dir=model_dir).where(F.col("side") == "valid") \
             .join(rows.where(F.col("side") == "valid").drop("side"), "load_id")
     elif spec.family in ("extra_trees", "random_forest"):
         cols = numeric + [c + "_code" for c in cats]
         params = forest_params.get(spec.family) or (LN.EXTRA_TREES if spec.family == "extra_trees"
                                                     else LN.RANDOM_FOREST)
         pred = LN.fit_predict_forest(rows.where(F.col("side") == "train"), rows.where(F.col("side") == "valid"),
-                                     cols, params, log_target=spec.log_target)
+                                     cols, params, log_target=spec.log_target, model_dir=model_dir)
     else:
         raise ValueError(f"Unknown family: {spec.family}")
     fit_s = time.perf_counter() - t0

@@ -106,14 +106,16 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, full_specs=None, scenari
 
     # Final fit + scoring + keyed merge + contracts.
     spec = next(s for s in full_specs if s.name == best_full)
-    final = final_predictions(lab, sco, spec, **learned_kw).select("load_id", "predicted_rate")
+    final = final_predictions(lab, sco, spec, model_dir=f"{out_dir}/models/final_full", **learned_kw) \
+        .select("load_id", "predicted_rate")
     merged = merged_predictions(template, final)
     V.require(V.merge_violations(template, final).unionByName(V.prediction_violations(merged, sco.select("load_id"))))
     SK.write_prediction_csv(merged, f"{out_dir}/predictions/validation")
 
     # Scenario (M18, J1, V12, R2).
     dspec = next(s for s in scenario_specs if s.name == best_dec)
-    scen = scenario_predictions(lab, sco, scenario, dspec, **learned_kw)
+    scen = scenario_predictions(lab, sco, scenario, dspec, model_dir=f"{out_dir}/models/final_scenario",
+                                **learned_kw)
     V.require(V.scenario_violations(scen, with_predictions=True))
     SK.write_table(_small(scen.withColumn("predicted_rate", X.fmt6("predicted_rate"))),
                    f"{out_dir}/predictions/scenario", "csv")

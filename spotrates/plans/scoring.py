@@ -18,18 +18,20 @@ DESCRIBE_PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def final_predictions(labeled: DataFrame, rows: DataFrame, spec: S.CandidateSpec, boost=None,
-                      forest_params: dict | None = None) -> DataFrame:
+                      forest_params: dict | None = None, model_dir: str | None = None) -> DataFrame:
     """Fit ``spec`` on ALL labeled rows and predict ``rows`` (load_id or scenario rows).
 
     Returns ``rows`` columns + ``predicted_rate`` (floored with the labeled target).
     """
-    spark = labeled.sparkSession
     key = "load_id" if "load_id" in rows.columns else "_rid"
     scored = rows if key == "load_id" else rows.withColumn("_rid", F.monotonically_increasing_id())
     train = labeled.withColumn(FOLD, F.lit(0)).withColumn("side", F.lit("train"))
     stats = B.target_stats(train.select(FOLD, "posted_rate"))
     if spec.family in S.BASELINE_FAMILIES:
         fitted = B.fit_baselines(train.select(FOLD, "equipment", "distance", "posted_rate"))
+        if model_dir:                                  # S11: the fitted tables are the model
+            fitted.fold_stats.write.mode("overwrite").parquet(f"{model_dir}/fold_stats")
+            fitted.rpm.write.mode("overwrite").parquet(f"{model_dir}/equipment_rpm")
         pred = B.predict_baselines(scored.withColumn(FOLD, F.lit(0)), fitted, [(spec.name, spec.family)])
         return pred.drop(FOLD, "model")
     from ..operators.learners import BoostParams
@@ -46,12 +48,14 @@ def final_predictions(labeled: DataFrame, rows: DataFrame, spec: S.CandidateSpec
     numeric = S.numeric_features(spec.include_market)
     cats = list(S.CATEGORICAL)
     x, table, levels = _encoded(feats, spec.family, numeric, cats)
+    if model_dir:                                      # S11: fitted feature statistics
+        st.scalars.write.mode("overwrite").parquet(f"{model_dir}/feature_scalars")
+        st.route.write.mode("overwrite").parquet(f"{model_dir}/route_frequency")
     out, _, _ = _fit_one_fold(spec, cut_lineage(x), 0, numeric, cats, table, levels, boost or BoostParams(),
-                              forest_params or {})
+                              forest_params or {}, model_dir=model_dir)
     out = out.join(F.broadcast(stats), FOLD).select(
         F.col("load_id").alias(key), X.prediction_safety("raw_prediction", "floor").alias("predicted_rate"))
     res = scored.join(out, key)
-    _ = spark
     return res.drop("_rid") if key == "_rid" else res
 
 
@@ -78,7 +82,7 @@ def enrich_scenario(scenario: DataFrame, city_dim: DataFrame) -> DataFrame:
 
 
 def scenario_predictions(labeled: DataFrame, scoring: DataFrame, scenario: DataFrame, spec: S.CandidateSpec,
-                         **kw) -> DataFrame:
+                         **kw) -> DataFrame:  # kw: boost, forest_params, model_dir
     """Enrich, fit the reduced-feature model on all labeled rows, score the scenario.
     Output keeps the seven scenario columns in order, sorted by date (V12)."""
     dim = PR.city_lookup(labeled, scoring)

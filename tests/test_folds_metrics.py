@@ -93,3 +93,15 @@ def test_scenario_rankings_use_last_fold(spark):
         [(m, a, b) for m, a, b in P.SCENARIO_RANKINGS]
     best = M.best_row(M.rank_scenario_models(_results(spark, P.SCENARIO_RESULTS)), ["mean_mae", "recent_mae", "model"])
     assert best.first().model == "december_hgb_mae_abs_weight"
+
+
+def test_backtest_is_partition_invariant(spark):
+    lab = labeled_loads(spark, SF_SMALL)
+    cols = ["model", "fold", "n", "mae", "rmse", "r2", "median_ae", "wape", "seen_route_rows", "extreme_target_rows"]
+    a = sorted(baseline_backtest(lab.repartition(1)).results.select(*cols).collect())
+    b = sorted(baseline_backtest(lab.repartition(7)).results.select(*cols).collect())
+    assert len(a) == 15
+    for x, y in zip(a, b):
+        assert x.model == y.model and x.fold == y.fold and x.n == y.n
+        assert (x.mae, x.rmse, x.r2, x.median_ae, x.wape) == pytest.approx((y.mae, y.rmse, y.r2, y.median_ae, y.wape),
+                                                                           rel=1e-9)

@@ -61,3 +61,24 @@ def test_scenario_scoring_contracts(spark):
     chart = scenario_chart(pred).collect()
     lo = min(r.predicted_rate for r in chart)
     assert chart[0].shade_floor == pytest.approx(lo - max(10.0, 0.02 * lo))
+
+
+def test_models_persist_and_reload(spark, scratch):
+    """The final ridge fit writes Spark ML models that load back and score alike."""
+    import os
+    from pyspark.ml.regression import LinearRegressionModel
+    lab, sco = labeled_loads(spark, SF_SMALL), scoring_loads(spark, SF_SMALL)
+    spec = next(s for s in S.full_candidate_specs() if s.family == "ridge")
+    d = os.path.join(scratch, "model")
+    pred = final_predictions(lab, sco, spec, model_dir=d)
+    assert pred.count() == sco.count()
+    m = LinearRegressionModel.load(os.path.join(d, "ridge"))
+    assert m.numFeatures > 33
+    assert spark.read.parquet(os.path.join(d, "feature_scalars")).count() == 1
+
+
+def test_unknown_family_raises(spark):
+    from spotrates.plans.backtest import _fit_one_fold
+    lab = labeled_loads(spark, SF_SMALL).withColumn("fold_id", F.lit(1))
+    with pytest.raises(ValueError):
+        _fit_one_fold(S.CandidateSpec("x", "neural_net", True), lab, 1, [], [], None, None, BoostParams(), {})
