@@ -117,6 +117,7 @@ def fit_predict_boost(train_rows: DataFrame, cols: list[str], params: BoostParam
         m0.write.mode("overwrite").parquet(f"{model_dir}/initial")
     cur = base.crossJoin(F.broadcast(m0)).withColumnRenamed("_p0", "_p")
     cur = cut_lineage(cur)
+    n_train = cur.where(F.col("side") == "train").count()   # bounds every leaf group
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="_g", leafCol="_leaf", maxDepth=params.max_depth,
                                  minInstancesPerNode=params.min_leaf, maxBins=params.max_bins, seed=params.seed)
     held = []
@@ -125,7 +126,7 @@ def fit_predict_boost(train_rows: DataFrame, cols: list[str], params: BoostParam
         model = tree.fit(tr)
         leaves = model.transform(cur).drop("prediction")
         med = grouped_quantiles(leaves.where(F.col("side") == "train"), ["_leaf"], F.col("_y") - F.col("_p"),
-                                {"_m": 0.5})
+                                {"_m": 0.5}, max_group_rows=n_train)
         if model_dir:                              # S11: tree + leaf values of each round
             model.write().overwrite().save(f"{model_dir}/round_{r:03d}/tree")
             med.write.mode("overwrite").parquet(f"{model_dir}/round_{r:03d}/leaf_values")

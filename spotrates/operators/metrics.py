@@ -12,11 +12,15 @@ Y = "posted_rate"
 P = "predicted_rate"
 
 
-def regression_metrics(pred: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
-    """N, MAE, RMSE, R^2, median AE, WAPE per group (WAPE NULL when sum|y| = 0)."""
+def regression_metrics(pred: DataFrame, keys: list[str], exact: bool = True, subgroups: bool = False) -> DataFrame:
+    """N, MAE, RMSE, R^2, median AE, WAPE per group (WAPE NULL when sum|y| = 0).
+
+    ``subgroups=True`` adds the A15 columns in the same aggregation pass.
+    """
     e = F.col(P) - F.col(Y)
-    base = pred.select(*keys, F.col(Y), F.col(P), e.alias("_e"), F.abs(e).alias("_ae"))
-    agg = base.groupBy(*keys).agg(
+    extra = ["seen_route", "extreme_cut"] if subgroups else []
+    base = pred.select(*keys, *extra, F.col(Y), F.col(P), e.alias("_e"), F.abs(e).alias("_ae"))
+    agg = base.groupBy(*keys).agg(*(_subgroup_aggs() if subgroups else []),
         F.count(F.lit(1)).alias("n"),
         F.avg("_ae").alias("mae"),
         F.avg(F.col("_e") * F.col("_e")).alias("_mse"),
@@ -29,16 +33,15 @@ def regression_metrics(pred: DataFrame, keys: list[str], exact: bool = True) ->
     r2 = (F.when(F.col("_sst") > 0, F.lit(1.0) - F.col("_ssr") / F.col("_sst"))
           .when(F.col("_ssr") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     out = agg.join(med, keys, "left") if keys else agg.crossJoin(med)
+    sub = [c for n in SUBGROUPS for c in (f"{n}_mae", f"{n}_rows")] if subgroups else []
     return out.select(*keys, "n", "mae", F.sqrt("_mse").alias("rmse"), r2.alias("r2"), "median_ae",
-                      F.try_divide(F.col("_sae"), F.nullif(F.col("_say"), F.lit(0.0))).alias("wape"))
+                      F.try_divide(F.col("_sae"), F.nullif(F.col("_say"), F.lit(0.0))).alias("wape"), *sub)
 
 
-def subgroup_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """MAE and rows for seen/unseen route and normal/extreme target.
+SUBGROUPS = ["seen_route", "unseen_route", "normal_target", "extreme_target"]
 
-    ``pred`` carries boolean ``seen_route`` and numeric ``extreme_cut``.
-    An empty subgroup has MAE NULL and rows 0.
-    """
+
+def _subgroup_aggs() -> list:
     ae = F.abs(F.col(P) - F.col(Y))
     masks = {
         "seen_route": F.col("seen_route"),
@@ -50,7 +53,16 @@ def subgroup_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
     for name, m in masks.items():
         m = F.coalesce(m, F.lit(False))
         aggs += [F.avg(F.when(m, ae)).alias(f"{name}_mae"), F.count_if(m).cast("bigint").alias(f"{name}_rows")]
-    return pred.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def subgroup_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """MAE and rows for seen/unseen route and normal/extreme target.
+
+    ``pred`` carries boolean ``seen_route`` and numeric ``extreme_cut``.
+    An empty subgroup has MAE NULL and rows 0.
+    """
+    return pred.groupBy(*keys).agg(*_subgroup_aggs())
 
 
 def seen_route_flag(valid: DataFrame, train: DataFrame, fold_col: str = "fold_id") -> DataFrame:

@@ -43,11 +43,13 @@ def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float], *,
                       exact: bool = True, accuracy: int = 100_000, bins: int = 1024,
-                      final_rows: int = 1_000_000, max_passes: int = 24) -> DataFrame:
+                      final_rows: int = 1_000_000, max_passes: int = 24,
+                      max_group_rows: int | None = None) -> DataFrame:
     """Quantiles of ``value`` per group of ``keys`` (NULL/NaN/inf skipped, as pandas).
 
     Returns ``keys + list(probs)`` columns, one row per group with at least
-    one finite value. The result is small and already materialised.
+    one finite value. The result is small and already materialised, except
+    when ``max_group_rows`` proves all groups small: then it is a lazy plan.
     """
     keys = list(keys)
     vcol = F.col(value) if isinstance(value, str) else value
@@ -58,6 +60,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, fl
         out = data.groupBy(*keys).agg(arr.alias("_qa"))
         return out.select(*keys, *[F.col("_qa")[i].alias(n) for i, n in enumerate(names)])
 
+    if max_group_rows is not None and max_group_rows <= final_rows:
+        # The caller proves every group is small (e.g. the whole input is): one lazy window pass.
+        return _bounded_groups(data, keys, probs)
     # The (keys, value) projection is read by several jobs: computed once.
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -50,9 +50,7 @@ def evaluate(pred: DataFrame, train: DataFrame, stats: DataFrame, exact: bool =
     keys = ["model", FOLD, "fold"]
     flagged = M.seen_route_flag(pred, train).join(F.broadcast(stats.select(FOLD, "extreme_cut")), FOLD, "left")
     flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
-    met = M.regression_metrics(flagged, keys, exact=exact)
-    sub = M.subgroup_metrics(flagged, keys)
-    return met.join(sub, keys)
+    return M.regression_metrics(flagged, keys, exact=exact, subgroups=True)
 
 
 def baseline_backtest(labeled: DataFrame, specs: list[S.CandidateSpec] | None = None, folds=None,

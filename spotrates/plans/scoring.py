@@ -24,7 +24,9 @@ def final_predictions(labeled: DataFrame, rows: DataFrame, spec: S.CandidateSpec
     Returns ``rows`` columns + ``predicted_rate`` (floored with the labeled target).
     """
     key = "load_id" if "load_id" in rows.columns else "_rid"
-    scored = rows if key == "load_id" else rows.withColumn("_rid", F.monotonically_increasing_id())
+    # Rows without an id get a generated one. Generated ids are only stable
+    # within one computation, so the keyed rows are materialised once.
+    scored = rows if key == "load_id" else cut_lineage(rows.withColumn("_rid", F.monotonically_increasing_id()))
     train = labeled.withColumn(FOLD, F.lit(0)).withColumn("side", F.lit("train"))
     stats = B.target_stats(train.select(FOLD, "posted_rate"))
     if spec.family in S.BASELINE_FAMILIES:
