@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .quantiles import grouped_quantiles
+from .ranking import ranked_codes
 
 FOLD = "fold_id"
 RARE_MIN_COUNT = 5          # one-hot: categories seen fewer times share one column
@@ -55,8 +56,7 @@ def fit_ordinal(train: DataFrame, categorical: list[str]) -> DataFrame:
     parts = [train.select(FOLD, F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
              for c in categorical]
     vals = reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy(FOLD, "column").orderBy("value")
-    return cut_lineage(vals.withColumn("code", (F.row_number().over(w) - 1).cast("double")))
+    return cut_lineage(ranked_codes(vals, [FOLD, "column"], "value", "code"))
 
 
 def apply_ordinal(df: DataFrame, codes: DataFrame, categorical: list[str], suffix: str = "_code") -> DataFrame:
@@ -92,9 +92,7 @@ def fit_onehot(train: DataFrame, categorical: list[str], min_count: int = RARE_M
     parts = [train.select(FOLD, F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
              for c in categorical]
     counts = reduce(DataFrame.unionByName, parts).groupBy(FOLD, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    freq = counts.where(F.col("n") >= min_count)
-    w = Window.partitionBy(FOLD, "column").orderBy("value")
-    freq = freq.withColumn("index", (F.row_number().over(w) - 1).cast("double"))
+    freq = ranked_codes(counts.where(F.col("n") >= min_count), [FOLD, "column"], "value", "index")
     sizes = counts.groupBy(FOLD, "column").agg(F.count_if(F.col("n") >= min_count).alias("n_freq"),
                                                F.max((F.col("n") < min_count).cast("int")).alias("has_rare"))
     rare = counts.where(F.col("n") < min_count).join(sizes, [FOLD, "column"]) \
