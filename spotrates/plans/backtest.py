@@ -50,7 +50,10 @@ def evaluate(pred: DataFrame, train: DataFrame, stats: DataFrame, exact: bool =
     keys = ["model", FOLD, "fold"]
     flagged = M.seen_route_flag(pred, train).join(F.broadcast(stats.select(FOLD, "extreme_cut")), FOLD, "left")
     flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
-    return M.regression_metrics(flagged, keys, exact=exact, subgroups=True)
+    try:
+        return cut_lineage(M.regression_metrics(flagged, keys, exact=exact, subgroups=True))
+    finally:
+        flagged.unpersist()
 
 
 def baseline_backtest(labeled: DataFrame, specs: list[S.CandidateSpec] | None = None, folds=None,
@@ -66,13 +69,14 @@ def baseline_backtest(labeled: DataFrame, specs: list[S.CandidateSpec] | None =
     t1 = time.perf_counter()
     pred = B.predict_baselines(valid, fitted, [(s.name, s.family) for s in specs])
     pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
-    n_pred = pred.count()
+    pred.count()
     predict_s = time.perf_counter() - t1
     res = evaluate(pred, train, fitted.fold_stats, exact=exact)
     per = len(specs) * max(1, len(folds or S.FOLDS))
     res = (res.join(F.broadcast(spec_table(spark, specs)), "model")
            .withColumn("fit_seconds", F.lit(fit_s / per)).withColumn("predict_seconds", F.lit(predict_s / per)))
     res = cut_lineage(res)  # small: models x folds
+    tagged.unpersist()      # pred keeps its own cache; lineage still recomputes if evicted
     return BacktestResult(results=res, predictions=pred)
 
 
