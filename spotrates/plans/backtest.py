@@ -49,11 +49,9 @@ def evaluate(pred: DataFrame, train: DataFrame, stats: DataFrame, exact: bool =
     """A14 + A15 for predictions of many models and folds at once."""
     keys = ["model", FOLD, "fold"]
     flagged = M.seen_route_flag(pred, train).join(F.broadcast(stats.select(FOLD, "extreme_cut")), FOLD, "left")
-    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cut_lineage(M.regression_metrics(flagged, keys, exact=exact, subgroups=True))
-    finally:
-        flagged.unpersist()
+    # Read twice (one aggregation, and the quantile operator's own cached projection);
+    # its inputs are already cached, so it is not persisted itself.
+    return M.regression_metrics(flagged, keys, exact=exact, subgroups=True)
 
 
 def baseline_backtest(labeled: DataFrame, specs: list[S.CandidateSpec] | None = None, folds=None,
