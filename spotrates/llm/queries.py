@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format
+from . import chat_format, minmax_dedup, packing
 
 REGISTRY = {
+    "op1_best_fit_packing": (packing.op1_best_fit_packing, None),
     "op2_prefix_target_chat": (chat_format.op2_prefix_target_chat, chat_format.OP2_SQL),
+    "op6_minmax_near_duplicates": (minmax_dedup.op6_minmax_near_duplicates, None),
 }
 
 
