@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat_format, minmax_dedup, packing
+from . import (bm25_search, chat_format, context_tree, decontaminate, html_tree, language_id,
+               minmax_dedup, packing, pii, toxicity_crf)
 
 REGISTRY = {
     "op1_best_fit_packing": (packing.op1_best_fit_packing, None),
     "op2_prefix_target_chat": (chat_format.op2_prefix_target_chat, chat_format.OP2_SQL),
+    "op3_weak_supervision_pii": (pii.op3_weak_supervision_pii, None),
+    "op4_toxicity_crf": (toxicity_crf.op4_toxicity_crf, None),
+    "op5_tree_model_html": (html_tree.op5_tree_model_html, None),
     "op6_minmax_near_duplicates": (minmax_dedup.op6_minmax_near_duplicates, None),
+    "op7_context_tree_lm": (context_tree.op7_context_tree_lm, None),
+    "op8_bm25_decontamination": (decontaminate.op8_bm25_decontamination, None),
+    "op9_nearest_centroid_language": (language_id.op9_nearest_centroid_language, None),
+    "op10_bm25_top_k": (bm25_search.op10_bm25_top_k, None),
 }
 
 
