@@ -3,17 +3,21 @@
 Every permutation gives two signature values, its minimum and its maximum over
 the shingle set, so ``2 * PERMUTATIONS`` values cost half the hash evaluations.
 Both kinds agree with probability equal to the Jaccard similarity; bands of
-``ROWS`` values collide with probability s**ROWS. With 43 bands of 6 a pair at
-similarity 0.8 shares no band with probability 2e-6.
+``ROWS`` values collide with probability s**ROWS. With 64 bands of 8 a pair at
+similarity 0.8 shares no band with probability 8e-6, at 0.82 with 8e-7.
 
 Steps: texts with equal shingle sets form one class; classes that share a band
-are candidates; candidates are confirmed on their full sets.
-
-* First every class is compared with the smallest class of each of its bands.
-* Then, within a band whose classes are still in different components, those
-  outside the component of the smallest class are compared with all classes of
-  other components there. Together every candidate pair is confirmed or already
-  connected, and a band of m mutual copies costs m comparisons, not m * m.
+are candidates; links are confirmed on the full sets.
+
+* Every class is compared with the centre of each of its bands, the class with
+  the most neighbours: a text and m copies of it cost m comparisons, not m * m.
+* Within a band whose classes are still in different components, those outside
+  the centre's component are compared with the classes of other components there,
+  unless the pair can't be a link: sizes too different, distances to the centre
+  too different (Jaccard distance is a metric), or too few equal signature values
+  (``SIGMAS`` standard deviations below those of a pair at the threshold; a pair
+  at the threshold is lost with probability 3e-6). So every candidate pair is
+  confirmed, refuted or already connected.
 
 Defined cases: null or empty text (or one without words) has no shingles, is
 linked with nothing and kept; a null doc_id gets the smallest id of its group
@@ -34,10 +38,13 @@ from .common import staged, table
 from .components import connected_components
 from .words import WordHashes, mixed, shingle_set
 
-PERMUTATIONS, ROWS = 129, 6
-BANDS = 2 * PERMUTATIONS // ROWS
+PERMUTATIONS, ROWS = 256, 8
+VALUES = 2 * PERMUTATIONS
+BANDS = VALUES // ROWS
 THRESHOLD = 80         # percent
-CHUNK = 2048           # shingles hashed at a time
+SIGMAS = 4.5
+CHUNK = 1024           # shingles hashed at a time
+PACKED = VALUES // 16  # longs that hold four bits of every signature value
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _MASKS = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -67,6 +74,18 @@ def class_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """Four bits of every signature value, sixteen to a long."""
+    bits = (mixed(values) & np.uint64(15)).reshape(PACKED, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+
+
+def most_different(threshold: int) -> int:
+    """Signature values that may differ (by their four bits) in a pair at the threshold."""
+    agree = threshold / 100 + (1 - threshold / 100) / 16
+    return int(VALUES * (1 - agree + SIGMAS * (agree * (1 - agree) / VALUES) ** 0.5))
+
+
 def _binary(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
@@ -92,7 +111,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """cls, shingles of every document that has any."""
+    """cls, shingles, packed signature of every document that has any shingle."""
 
     def run(batches):
         cache = WordHashes()
@@ -100,54 +119,78 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [s for s in (shingle_set(t, k, cache) for t in _binary(batch.column("text"))) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_key(s) for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles"])
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 pa.array([packed(signature(s)) for s in sets], pa.list_(pa.int64()))],
+                names=["cls", "shingles", "sig"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "cls binary, shingles array<long>, sig array<long>")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the sizes of intersection and union of their full sets."""
     joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
               .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-            .filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * threshold).select("a", "b"))
+    return joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; see the module's text."""
+    link = F.col("i") * 100 >= F.col("u") * threshold
     sketch = staged(sketches(docs, k), "sketches")
     classes = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    entries = staged(classes.select("cls", "n", F.explode("bands").alias("band")), "bands")
-    shared = entries.groupBy("band").agg(F.min("cls").alias("centre"), F.max("cls").alias("other")) \
-        .filter(F.col("centre") != F.col("other")).select("band", "centre")
-    members = staged(entries.join(shared, "band"), "members")
-
-    wanted = members.select("cls").distinct()
-    needed = sketch.select("doc_id", "cls").join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")) \
-        .select("doc_id").distinct()
+    classes = staged(classes, "classes")
+    shared = classes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("size")) \
+        .filter(F.col("size") > 1)
+    members = staged(classes.select("cls", "n", F.explode("bands").alias("band")).join(shared, "band"), "members")
+
+    degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
+    centres = members.select("band", "cls").join(degree, "cls").groupBy("band").agg(
+        F.max(F.struct("degree", "cls"))["cls"].alias("centre"))
+    members = staged(members.join(centres, "band").select("band", "cls", "n", "centre"), "centred")
+
+    needed = sketch.select("doc_id", "cls").join(members.select("cls").distinct(), "cls") \
+        .groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(needed, texts["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi")
     sets = staged(shingle_sets(texts, k).dropDuplicates(["cls"]), "sets")
 
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold
-    star = members.filter(F.col("cls") != F.col("centre")).select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    links = staged(confirm(star, sets, threshold), "star-links")
+    star = members.filter(F.col("cls") != F.col("centre")).select(
+        F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    star = staged(similarity(star, sets), "star")
+    links = star.filter(link).select("a", "b")
     roots = connected_components(links).withColumnRenamed("node", "cls")
 
-    placed = staged(members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "placed")
-    centres = placed.filter(F.col("cls") == F.col("centre")).select("band", F.col("root").alias("centre_root"))
-    outside = placed.join(centres, "band").filter(F.col("root") != F.col("centre_root")) \
-        .select("band", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"))
-    rest = placed.filter(F.col("cls") != F.col("centre")).select("band", F.col("cls").alias("b"), "n", "root")
-    pairs = outside.join(rest, "band").filter((F.col("root") != F.col("root_a")) & near) \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(confirm(pairs, sets, threshold), "more-links")
+    # What is left: members of bands with several components, by exact bounds first.
+    placed = staged(
+        members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        .join(star.select(F.col("a").alias("centre"), F.col("b").alias("cls"), (1 - F.col("i") / F.col("u")).alias("far")),
+              ["centre", "cls"], "left"), "placed")
+    split = placed.filter(F.col("cls") == F.col("centre")).select("band", F.col("root").alias("centre_root"))
+    others = placed.filter(F.col("cls") != F.col("centre")).join(split, "band")
+    mixed_bands = others.filter(F.col("root") != F.col("centre_root")).select("band").distinct()
+    words = [f"s{i}" for i in range(PACKED)]
+    left = staged(others.join(mixed_bands, "band").join(
+        sets.select("cls", *[F.col("sig")[i].alias(w) for i, w in enumerate(words)]), "cls"), "undecided")
+    x = left.filter(F.col("root") != F.col("centre_root")).alias("x")
+    y = left.alias("y")
+
+    def different(w):
+        v = F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        return F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
+
+    possible = ((F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
+                & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold)
+                & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold / 100 + 1e-9)
+                & (sum((different(w) for w in words[1:]), different(words[0])) <= most_different(threshold)))
+    pairs = x.join(y, possible).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    more = staged(similarity(pairs, sets).filter(link).select("a", "b"), "more-links")
     roots = connected_components(links.unionByName(more))
 
-    ids = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("first_id"))
-    grouped = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left") \
+    grouped = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left") \
         .withColumn("root", F.coalesce("root", "cls"))
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
     of_class = grouped.join(smallest, "root").select("cls", "component")

@@ -258,9 +258,12 @@ def digest(docs: DataFrame) -> DataFrame:
     found = staged(candidates(docs.select("doc_id", "text"), "text", "found").select("doc_id", "found"), "pii-candidates")
     out = found.select("doc_id", spans("found", fit(found, "found")).alias("s"))
     base = F.filter("s", lambda x: x["base"])
+
+    def how_many(kind: int) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+
     return out.select(
-        "doc_id",
-        *(F.size(F.filter(base, lambda x, k=k: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}") for k in BASE),
+        "doc_id", *(how_many(i).alias(f"n_{k}") for i, k in enumerate(BASE)),
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("s")).alias("spans"))
 
 
