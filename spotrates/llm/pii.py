@@ -14,8 +14,9 @@
    one row per feature combination (a bounded number); it is applied as an
    expression.
 
-Base matches that pass their check always are spans; other candidates become
-spans if the classifier says so and they overlap no base span. Positions are
+Base matches that pass their check always are spans and those that fail it never
+are (they serve the labelers as counterexamples); a secret becomes a span if the
+classifier says so and it overlaps no base span. Positions are
 code points, end exclusive.
 
 Defined cases: null text counts as empty; empty text has no spans and the hash
@@ -36,6 +37,7 @@ from .common import staged, table
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 CONTEXT = 32
+STEP = 256     # matches whose positions are added up in one array
 
 # Fixed by the definition of the base kinds; \G lets a match start right after another.
 _LOCAL, _TOKEN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9_+/-]"
@@ -119,14 +121,19 @@ def _found(kind: str, text: str) -> str:
     """SQL array of the matches of one kind, with positions and the text before."""
     p = PATTERNS[kind].replace("\\", "\\\\")
     nothing = "array()"
-    parts = f"split({text}, '{p}', -1)"
-    hits = f"regexp_extract_all({text}, '{p}', 0)"
-    zipped = f"zip_with(slice({parts}, 1, size({hits})), {hits}, (g, m) -> struct(g AS g, m AS m))"
-    empty = "cast(array() AS array<struct<start: int, end: int, m: string, before: string>>)"
-    walk = (f"aggregate({zipped}, named_struct('at', 0, 'out', {empty}), (a, x) -> named_struct("
-            f"'at', a.at + char_length(x.g) + char_length(x.m), 'out', concat(a.out, array(named_struct("
-            f"'start', a.at + char_length(x.g), 'end', a.at + char_length(x.g) + char_length(x.m), "
-            f"'m', x.m, 'before', right(x.g, {CONTEXT}))))), a -> a.out)")
+    # transform(array(x), v -> ...)[0] names a value; STEP matches at a time keep
+    # the growing arrays short.
+    kept = "array<struct<start: int, end: int, m: string, before: string>>"
+    step = (f"(a, x) -> named_struct('at', a.at + char_length(x.g) + char_length(x.m), 'out', concat(a.out, array("
+            f"named_struct('start', a.at + char_length(x.g), 'end', a.at + char_length(x.g) + char_length(x.m), "
+            f"'m', x.m, 'before', right(x.g, {CONTEXT})))))")
+    some = f"aggregate(slice(z, b * {STEP} + 1, {STEP}), named_struct('at', w.at, 'out', cast(array() AS {kept})), {step})"
+    walk = (f"transform(array(regexp_extract_all({text}, '{p}', 0)), h -> "
+            f"transform(array(zip_with(slice(split({text}, '{p}', -1), 1, size(h)), h, "
+            f"(g, m) -> named_struct('g', g, 'm', m))), z -> "
+            f"aggregate(sequence(0, size(z) div {STEP}), named_struct('at', 0, 'out', cast(array() AS array<{kept}>)), "
+            f"(w, b) -> transform(array({some}), r -> named_struct('at', r.at, 'out', concat(w.out, array(r.out))))[0], "
+            f"w -> flatten(w.out)))[0])[0]")
     needed = f"contains({text}, '{NEEDS[kind]}')" if kind in NEEDS else f"{text} RLIKE '[0-9]'"
     if kind == "phone":
         needed += f" AND {text} RLIKE '[0-9]'"
@@ -242,7 +249,8 @@ def spans(name: str, weights) -> Column:
             total = total + weight(F.concat(F.lit(str(i)), kind, F.substring(x["shape"], i + 1, 1)))
         return total
 
-    more = F.filter(c, lambda x: ~x["base"] & (odds(x) > 0) & ~F.exists(
+    secret = KINDS.index("secret")
+    more = F.filter(c, lambda x: (x["kind"] == secret) & (odds(x) > 0) & ~F.exists(
         base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.array_sort(F.concat(base, F.transform(more, pick)))
 
