@@ -3,21 +3,21 @@
 Every permutation gives two signature values, its minimum and its maximum over
 the shingle set, so ``2 * PERMUTATIONS`` values cost half the hash evaluations.
 Both kinds agree with probability equal to the Jaccard similarity; bands of
-``ROWS`` values collide with probability s**ROWS. With 64 bands of 8 a pair at
-similarity 0.8 shares no band with probability 8e-6, at 0.82 with 8e-7.
+``ROWS`` values collide with probability s**ROWS. With 56 bands of 7 a pair at
+similarity 0.8 shares no band with probability 2e-6, at 0.82 with 1e-7.
 
 Steps: texts with equal shingle sets form one class; classes that share a band
 are candidates; links are confirmed on the full sets.
 
 * Every class is compared with the centre of each of its bands, the class with
   the most neighbours: a text and m copies of it cost m comparisons, not m * m.
-* Within a band whose classes are still in different components, those outside
-  the centre's component are compared with the classes of other components there,
-  unless the pair can't be a link: sizes too different, distances to the centre
-  too different (Jaccard distance is a metric), or too few equal signature values
-  (``SIGMAS`` standard deviations below those of a pair at the threshold; a pair
-  at the threshold is lost with probability 3e-6). So every candidate pair is
-  confirmed, refuted or already connected.
+* Classes x and y that share a centre c but not its component are compared by how
+  they differ from c. With D(z) the symmetric difference of z and c, x and y are
+  linked only if D(x) and D(y) share more than
+  ``(|D(y)| + K * (|c| - |y|)) / 2`` elements, where K = (1 - s) / (1 + s) and x is
+  not linked to c. So it is enough to look up x's differences among that many
+  less one left out of y's, its rarest ones; only pairs that meet there are
+  confirmed. Nothing is lost by this step.
 
 Defined cases: null or empty text (or one without words) has no shingles, is
 linked with nothing and kept; a null doc_id gets the smallest id of its group
@@ -31,20 +31,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
 from .components import connected_components
 from .words import WordHashes, mixed, shingle_set
 
-PERMUTATIONS, ROWS = 256, 8
+PERMUTATIONS, ROWS = 196, 7
 VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // ROWS
 THRESHOLD = 80         # percent
-SIGMAS = 4.5
 CHUNK = 1024           # shingles hashed at a time
-PACKED = VALUES // 16  # longs that hold four bits of every signature value
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _MASKS = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -74,18 +72,6 @@ def class_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def packed(values: np.ndarray) -> np.ndarray:
-    """Four bits of every signature value, sixteen to a long."""
-    bits = (mixed(values) & np.uint64(15)).reshape(PACKED, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-    return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
-
-
-def most_different(threshold: int) -> int:
-    """Signature values that may differ (by their four bits) in a pair at the threshold."""
-    agree = threshold / 100 + (1 - threshold / 100) / 16
-    return int(VALUES * (1 - agree + SIGMAS * (agree * (1 - agree) / VALUES) ** 0.5))
-
-
 def _binary(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
@@ -111,7 +97,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """cls, shingles, packed signature of every document that has any shingle."""
+    """cls, shingles of every document that has any."""
 
     def run(batches):
         cache = WordHashes()
@@ -119,19 +105,52 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [s for s in (shingle_set(t, k, cache) for t in _binary(batch.column("text"))) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_key(s) for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                 pa.array([packed(signature(s)) for s in sets], pa.list_(pa.int64()))],
-                names=["cls", "shingles", "sig"])
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "cls binary, shingles array<long>")
 
-    return docs.select("text").mapInArrow(run, "cls binary, shingles array<long>, sig array<long>")
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
 
 
 def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with the sizes of intersection and union of their full sets."""
-    joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
-              .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
+    """``pairs(a, b)`` with the sizes of their full sets, intersection and union."""
     both = F.size(F.array_intersect("sa", "sb"))
-    return joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
+    return with_sets(pairs, sets).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
+                                         both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
+
+
+def undecided(star: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a centre and may be links."""
+    k = (100 - threshold) / (100 + threshold)
+    of = lambda c: roots.select(F.col("cls").alias(c), F.col("root").alias(f"root_{c}"))
+    placed = staged(
+        star.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
+        .select("a", "b", "na", "nb", "root_b", (F.col("root_a") != F.col("root_b")).alias("outside")), "placed")
+    busy = placed.groupBy("a").agg(F.count("*").alias("m"), F.count_if("outside").alias("out")) \
+        .filter((F.col("m") > 1) & (F.col("out") > 0)).select("a")
+    apart = staged(
+        with_sets(placed.join(busy, "a", "left_semi"), sets)
+        .withColumn("apart", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+        .select("a", "b", "nb", "root_b", "outside", F.size("apart").alias("d"),
+                ((F.size("apart") + k * (F.col("na") - F.col("nb"))) / 2).alias("shared"), "apart"), "apart")
+    each = apart.select("a", "b", "nb", "root_b", "d", "shared", "outside", F.explode("apart").alias("e"))
+    count = each.groupBy("a", "e").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("a", "b").orderBy("often", "e")
+    y = each.join(count.filter(F.col("often") > 1), ["a", "e"], "left") \
+        .withColumn("often", F.coalesce("often", F.lit(1))) \
+        .withColumn("place", F.row_number().over(rarest)) \
+        .filter((F.col("place") <= F.col("d") - F.floor(F.col("shared") - 1e-9)) & (F.col("often") > 1)) \
+        .select("a", "e", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("root_b").alias("root_y"), F.col("d").alias("dy"))
+    x = each.filter("outside").select("a", "e", F.col("b").alias("x"), "nb", "root_b", "d")
+    met = x.join(y, ["a", "e"]).filter(
+        (F.col("root_b") != F.col("root_y"))
+        & (F.least("nb", "ny") * 100 >= F.greatest("nb", "ny") * threshold)
+        & (F.abs(F.col("d") - F.col("dy")) <= k * (F.col("nb") + F.col("ny")) + 1e-9))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -162,31 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     links = star.filter(link).select("a", "b")
     roots = connected_components(links).withColumnRenamed("node", "cls")
 
-    # What is left: members of bands with several components, by exact bounds first.
-    placed = staged(
-        members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        .join(star.select(F.col("a").alias("centre"), F.col("b").alias("cls"), (1 - F.col("i") / F.col("u")).alias("far")),
-              ["centre", "cls"], "left"), "placed")
-    split = placed.filter(F.col("cls") == F.col("centre")).select("band", F.col("root").alias("centre_root"))
-    others = placed.filter(F.col("cls") != F.col("centre")).join(split, "band")
-    mixed_bands = others.filter(F.col("root") != F.col("centre_root")).select("band").distinct()
-    words = [f"s{i}" for i in range(PACKED)]
-    left = staged(others.join(mixed_bands, "band").join(
-        sets.select("cls", *[F.col("sig")[i].alias(w) for i, w in enumerate(words)]), "cls"), "undecided")
-    x = left.filter(F.col("root") != F.col("centre_root")).alias("x")
-    y = left.alias("y")
-
-    def different(w):
-        v = F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-        return F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
-
-    possible = ((F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
-                & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold)
-                & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold / 100 + 1e-9)
-                & (sum((different(w) for w in words[1:]), different(words[0])) <= most_different(threshold)))
-    pairs = x.join(y, possible).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    pairs = undecided(star, roots, sets, threshold)
     more = staged(similarity(pairs, sets).filter(link).select("a", "b"), "more-links")
     roots = connected_components(links.unionByName(more))
 
