@@ -291,12 +291,13 @@ def extract(source: str, weights, links) -> str:
 
 
 def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES):
-    """Fit on a bounded sample, by hash, of pages with exactly one article element."""
-    marked = pages.select("page_id", "html").filter(
-        (F.length("html") <= LONGEST_TRAINING_PAGE) & (F.size(F.split(F.lower("html"), "<article[ >]")) == 2))
-    order = F.xxhash64(F.lit("pages"), F.col("page_id"), F.col("html"))
-    sample = marked.select("html", order.alias("k")).orderBy("k", "html").limit(train_pages).collect()
-    return fit([r["html"] for r in sample])
+    """Fit on a sample, by hash, of about ``train_pages`` pages with exactly one article element."""
+    n, span = max(pages.count(), 1), 1_000_000_000
+    chance = F.pmod(F.xxhash64(F.lit("pages"), F.col("page_id"), F.length("html")), F.lit(span))
+    sample = pages.select("html", chance.alias("chance")).filter(
+        (F.col("chance") < span * min(n, train_pages) // n) & (F.length("html") <= LONGEST_TRAINING_PAGE)
+        & (F.size(F.split(F.lower("html"), "<article[ >]")) == 2)).collect()
+    return fit([r["html"] for r in sorted(sample)])
 
 
 def main_text(pages: DataFrame, model) -> DataFrame:

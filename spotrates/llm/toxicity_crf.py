@@ -8,9 +8,10 @@ five characters); a 2 x 2 matrix links neighbours.
 Learning (labels of whole documents -> labelled tokens):
 
 1. A bounded sample of labelled documents is taken by hash (``TRAIN_DOCS``).
-2. A word is evidence if it occurs in toxic documents in at least
-   ``LEAST_CONTEXTS`` different contexts (its two neighbours; copies of a text
-   add none) and much more often than in clean ones. Its tokens in toxic
+2. A word is evidence if its first occurrences in toxic documents have at least
+   ``LEAST_CONTEXTS`` different contexts (its two neighbours) in as many kinds of
+   document (by smallest word hash, so copies and near copies of one text add
+   little) and it is much more frequent there than in clean documents. Its tokens in toxic
    documents are labelled toxic, all other tokens clean.
 3. The field is fitted by gradient ascent on its conditional likelihood over at
    most about ``TRAIN_SEGMENTS`` segments; forward-backward gives the gradient.
@@ -215,25 +216,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
 
     def occurrences(batches):
         for batch in batches:
-            words, contexts, clean = [], [], {}
+            words, contexts, kinds, clean = [], [], [], {}
             for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist()):
                 found = tokens_in(text.lower()) if text else []
                 if toxic:
-                    words += found
-                    contexts += [xxhash.xxh64_intdigest(f"{a} {b}") >> 1 for a, b in
-                                 zip(["", *found[:-1]], [*found[1:], ""])]
+                    first = {}
+                    for a, w, b in zip(["", *found[:-1]], found, [*found[1:], ""]):
+                        first.setdefault(w, f"{a} {b}")
+                    words += first
+                    contexts += [xxhash.xxh64_intdigest(x) >> 1 for x in first.values()]
+                    kinds += [min((xxhash.xxh64_intdigest(w, seed=1) >> 1 for w in first), default=0)] * len(first)
                 else:
                     for w in set(found):
                         clean[w] = clean.get(w, 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words + list(clean), pa.string()),
                  pa.array(contexts + [None] * len(clean), pa.int64()),
-                 pa.array([0] * len(words) + list(clean.values()), pa.int64())], names=["word", "context", "clean"])
+                 pa.array(kinds + [None] * len(clean), pa.int64()),
+                 pa.array([0] * len(words) + list(clean.values()), pa.int64())],
+                names=["word", "context", "kind", "clean"])
 
     ratio = (F.log((F.col("contexts") + 0.5) / (size[1] + 1)) - F.log((F.col("clean") + 0.5) / (size[0] + 1)))
     lexicon = {r["word"] for r in (
-        sample.mapInArrow(occurrences, "word string, context long, clean long")
-        .groupBy("word").agg(F.countDistinct("context").alias("contexts"), F.sum("clean").alias("clean"))
+        sample.mapInArrow(occurrences, "word string, context long, kind long, clean long").groupBy("word")
+        .agg(F.least(F.countDistinct("context"), F.countDistinct("kind")).alias("contexts"), F.sum("clean").alias("clean"))
         .filter((F.col("contexts") >= LEAST_CONTEXTS) & (ratio >= LEAST_LOG_RATIO))
         .orderBy(F.desc(ratio), "word").limit(LEXICON).select("word").collect())}
 

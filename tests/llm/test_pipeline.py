@@ -21,7 +21,10 @@ def test_every_stage_against_its_input(spark):
 
     bad = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
     toxic = {i for i, t in source.items() if bad & set("".join(c if c.isalnum() else " " for c in t.lower()).split())}
-    assert set(source) - set(clean) == toxic
+    rejected = set(source) - set(clean)   # the other languages have toxic words of their own
+    assert toxic <= rejected and len(rejected - toxic) <= 0.05 * len(source)
+    truth = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
+    assert sum(truth.get(i) == 0 for i in rejected) <= 0.02 * len(source)
 
     groups = {r.doc_id: r.component_id for r in minmax_dedup.near_duplicates(results[0]).collect()}
     assert set(single) == set(groups.values()) and all(single[i] == clean[i] for i in single)
