@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from . import oracle as O
 from .plans import analysis as A
+from .plans import dirty_checks as DC
 
 # name: (callable(spark, sf_dir) -> DataFrame, oracle sql | None)
 REGISTRY = {
@@ -60,6 +61,17 @@ REGISTRY = {
     "r3_leaderboard_table": (A.leaderboard_report_table, O.LEADERBOARD_REPORT),
     "a18_r3_scenario_table": (A.scenario_report_table, O.SCENARIO_REPORT),
     "streaming_stream_static_scoring": (A.stream_scoring, O.STREAM_SCORING),
+    # Contracts on damaged rows: every rule finds its own number of violations.
+    "v2_v7_dirty_labeled": (DC.dirty_labeled_contracts, O.DIRTY_LABELED_CONTRACTS),
+    "v2_v7_dirty_scoring": (DC.dirty_scoring_contracts, O.DIRTY_SCORING_CONTRACTS),
+    "v8_v11_v13_dirty_template": (DC.dirty_template_contracts, O.DIRTY_TEMPLATE_CONTRACTS),
+    "v8_v18_dirty_order": (DC.dirty_template_order, O.DIRTY_TEMPLATE_ORDER),
+    "v9_v10_v12_v16_dirty_scenario": (DC.dirty_scenario_contracts, O.DIRTY_SCENARIO_CONTRACTS),
+    "v14_dirty_folds": (DC.dirty_fold_contracts, O.DIRTY_FOLD_CONTRACTS),
+    "v15_dirty_cities": (DC.dirty_city_consistency, O.DIRTY_CITY_CONSISTENCY),
+    "v17_dirty_merge": (DC.dirty_merge_contracts, O.DIRTY_MERGE_CONTRACTS),
+    "v19_dirty_features": (DC.dirty_feature_contract, O.DIRTY_FEATURE_CONTRACT),
+    "a5_equipment_counts": (DC.equipment_counts, O.EQUIPMENT_COUNTS),
     # Learned families: Spark ML fits, no SQL oracle (rows-only check + pytest).
     "m4_m8_m10_m11_ridge_backtest": (A.ridge_backtest, None),
     "m5_m9_hgb_backtest": (A.hgb_backtest, None),

@@ -83,8 +83,10 @@ def prediction_violations(pred: DataFrame, expected_ids: DataFrame | None = None
 
 
 def scenario_violations(scenario: DataFrame, table: str = "scenario", start: str = S.SCENARIO_START,
-                        end: str = S.SCENARIO_END, with_predictions: bool = False) -> DataFrame:
-    """Every day of the month exactly once; fixed columns constant."""
+                        end: str = S.SCENARIO_END, with_predictions: bool = False,
+                        fixed: dict | None = None) -> DataFrame:
+    """Every day from ``start`` to ``end`` exactly once; the columns of
+    ``fixed`` (pickup, delivery, equipment, distance, weight) constant."""
     d = X.to_date(F.col("date"))
     days = (scenario.sparkSession.range(1)
             .select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"),
@@ -96,7 +98,7 @@ def scenario_violations(scenario: DataFrame, table: str = "scenario", start: str
         F.count_if(F.col("_c").isNull()).alias("missing_day"),
         F.count_if(F.col("_want").isNull()).alias("day_outside_month"),
         F.coalesce(F.sum(F.when(F.col("_c") > 1, F.col("_c") - 1)), F.lit(0)).alias("duplicate_day"))
-    fx = S.SCENARIO_FIXED
+    fx = fixed or S.SCENARIO_FIXED
     aggs = [F.count_if(d.isNull()).alias("unparsable_date")]
     for c in ("pickup", "delivery", "equipment"):
         aggs.append(F.count_if(~F.coalesce(F.col(c) == F.lit(fx[c]), F.lit(False))).alias(f"changed_{c}"))
@@ -130,16 +132,21 @@ def merge_violations(template: DataFrame, scored: DataFrame, table: str = "merge
 
 def order_matches(a: DataFrame, b: DataFrame, order_col: str = "ordinal") -> DataFrame:
     """Two tables list the same ids in the same order (compared on an explicit ordinal)."""
+    return order_differences(a, b, order_col).select((F.col("out_of_order") == 0).alias("order_matches"))
+
+
+def order_differences(a: DataFrame, b: DataFrame, order_col: str = "ordinal") -> DataFrame:
+    """Positions where two tables don't list the same id."""
     x = a.select(order_col, F.col("load_id").alias("_a"))
     y = b.select(order_col, F.col("load_id").alias("_b"))
     j = x.join(y, order_col, "full")
-    return j.agg((F.count_if(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))) == 0).alias("order_matches"))
+    return j.agg(F.count_if(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).alias("out_of_order"))
 
 
 def feature_violations(features: DataFrame, numeric: list[str], table: str = "features") -> DataFrame:
-    """No target/id column, every numeric feature finite (quote_signal may be NULL)."""
+    """No target/id column, every numeric feature finite."""
     leak = int("posted_rate" in features.columns) + int("load_id" in features.columns)
-    aggs = [F.count_if(~X.finite(c)).alias(c) for c in numeric if c != "quote_signal"]
+    aggs = [F.count_if(~X.finite(c)).alias(c) for c in numeric]
     wide = features.agg(*aggs)
     tot = wide.select(reduce(lambda a, b: a + b, [F.col(c) for c in wide.columns]).alias("nonfinite_features"),
                       F.lit(leak).alias("leaked_columns"))
@@ -148,7 +155,7 @@ def feature_violations(features: DataFrame, numeric: list[str], table: str = "fe
 
 def require(violations: DataFrame) -> None:
     """Raise when any rule has violations (collects only the failing rule rows)."""
-    bad = violations.where(F.col("violations") > 0).limit(50).collect()
+    bad = violations.where(F.col("violations") > 0).collect()
     if bad:
         text = ", ".join(f"{r['table']}.{r['rule']}={r['violations']}" for r in bad)
         raise ContractError(f"contract violations: {text}")

@@ -102,21 +102,6 @@ def fit_onehot(train: DataFrame, categorical: list[str], min_count: int = RARE_M
     return cut_lineage(table)
 
 
-def apply_onehot_index(df: DataFrame, table: DataFrame, categorical: list[str], levels: dict[str, int],
-                       suffix: str = "_oh") -> DataFrame:
-    """Index column per category with nominal metadata so ``OneHotEncoder(dropLast=True)``
-    gives the frequent + rare block and all zeros for an unseen category."""
-    out = df
-    for c in categorical:
-        t = table.where(F.col("column") == c).select(FOLD, F.col("value").alias(c), F.col("index").alias("_ix"))
-        out = out.join(t, [FOLD, c], "left")
-        unseen = float(levels[c] - 1)
-        meta = {"ml_attr": {"type": "nominal", "num_vals": int(levels[c]), "name": c + suffix}}
-        out = out.withColumn(c + suffix, F.coalesce(F.col("_ix"), F.lit(unseen)).alias(c + suffix, metadata=meta))
-        out = out.drop("_ix")
-    return out
-
-
 def apply_onehot_index_all(df: DataFrame, table: DataFrame, categorical: list[str], suffix: str = "_oh") -> DataFrame:
     """Index columns for every fold at once (before the feature table is cut);
     an unseen category gets the fold's last slot (``levels - 1``)."""

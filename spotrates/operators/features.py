@@ -167,10 +167,3 @@ def transform(df: DataFrame, stats: FittedStats, include_market: bool = True,
     return out.select(*ordered)
 
 
-def build_features(train: DataFrame, rows: DataFrame, include_market: bool = True,
-                   negative_weight: str = "abs", keep: list[str] | None = None) -> DataFrame:
-    """Convenience: stateless -> fit on ``train`` -> transform ``rows``."""
-    tr = stateless_features(train)
-    stats = fit_stats(tr, negative_weight)
-    return transform(stateless_features(rows), stats, include_market, keep)
-

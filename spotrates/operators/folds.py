@@ -47,15 +47,6 @@ def assign_folds(df: DataFrame, folds=None, date_col: str = "date") -> DataFrame
     )
 
 
-def split_fold(df: DataFrame, fold: tuple, date_col: str = "date") -> tuple[DataFrame, DataFrame]:
-    """One fold's (train, valid) by date filter (pushed to the scan)."""
-    _, _, train_end, valid_start, valid_end = fold
-    d = F.col(date_col)
-    train = df.where(d <= F.lit(train_end).cast("date"))
-    valid = df.where(d.between(F.lit(valid_start).cast("date"), F.lit(valid_end).cast("date")))
-    return train, valid
-
-
 def fold_manifest(labeled: DataFrame, folds=None) -> DataFrame:
     """Actual date range and row count per fold and side."""
     spark = labeled.sparkSession

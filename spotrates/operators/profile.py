@@ -46,6 +46,12 @@ def table_profile(df: DataFrame, dataset: str) -> DataFrame:
     return out.drop("_d").select(F.lit(dataset).alias("dataset"), "*")
 
 
+def equipment_counts(df: DataFrame, dataset: str) -> DataFrame:
+    """A5: rows per equipment (NULL is a group of its own)."""
+    return df.groupBy("equipment").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(dataset).alias("dataset"), "equipment", "rows")
+
+
 def missing_counts(df: DataFrame, dataset: str) -> DataFrame:
     """A2: NULL (and NaN) count per column, long form (dataset, column, missing)."""
     def miss(c, t):
@@ -151,11 +157,11 @@ def city_lookup(*frames: DataFrame) -> DataFrame:
     return city_coordinates(*frames).select("city", "lat", "lon")
 
 
-def inconsistent_cities(dim: DataFrame, limit: int = 10) -> DataFrame:
-    """Cities whose coordinates spread more than the tolerance (first 10 by name)."""
+def inconsistent_cities(dim: DataFrame) -> DataFrame:
+    """All cities whose coordinates spread more than the tolerance."""
     tol = S.CITY_COORD_TOLERANCE
     bad = dim.where((F.abs(F.col("lat_max") - F.col("lat_min")) > tol) | (F.abs(F.col("lon_max") - F.col("lon_min")) > tol))
-    return bad.select("city").orderBy("city").limit(limit)
+    return bad.select("city")
 
 
 def missing_by_month(tagged: DataFrame) -> DataFrame:
@@ -188,16 +194,19 @@ def top_routes(labeled: DataFrame, k: int = S.TOP_ROUTES) -> DataFrame:
 def histogram(df: DataFrame, value, bins: int = S.HIST_BINS, keys: list[str] | None = None) -> DataFrame:
     """Equal-width histogram per group, own min/max per group, NULLs dropped.
 
-    Bin bounds come from a one-row-per-group aggregate joined back, never from
-    an un-partitioned window.
+    Every group has all its bins, empty ones with 0 rows. Bin bounds come from a
+    one-row-per-group aggregate joined back, never from an un-partitioned window.
     """
     keys = keys or []
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, X.to_double(v).alias("_x")).where(F.col("_x").isNotNull())
     rng = base.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    j = base.join(F.broadcast(rng), keys) if keys else base.crossJoin(F.broadcast(rng))
+    j = base.join(rng, keys) if keys else base.crossJoin(F.broadcast(rng))
     binned = j.withColumn("bin", X.equal_width_bin("_x", "lo", "hi", bins))
-    out = binned.groupBy(*keys, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("rows"))
+    found = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"))
+    all_bins = rng.where(F.col("lo").isNotNull()).withColumn(
+        "bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))))
+    out = all_bins.join(found, [*keys, "bin"], "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return out.select(*keys, "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_start"),
                       (F.col("lo") + F.col("bin") * width).alias("bin_end"), "rows")

@@ -43,7 +43,7 @@ def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float], *,
                       exact: bool = True, accuracy: int = 100_000, bins: int = 1024,
-                      final_rows: int = 1_000_000, max_passes: int = 24,
+                      final_rows: int = 1_000_000,
                       max_group_rows: int | None = None) -> DataFrame:
     """Quantiles of ``value`` per group of ``keys`` (NULL/NaN/inf skipped, as pandas).
 
@@ -83,7 +83,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, fl
                          F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_val")))
         state = cut_lineage(ranks)
 
-        for _ in range(max_passes):
+        # Every pass puts the ends of an interval into different buckets, so this ends
+        # with intervals of at most ``final_rows`` rows or of one value.
+        while True:
             open_ = state.where(F.col("_val").isNull() & (F.col("_cnt") > final_rows))
             intervals = open_.select(*keys, "_lo", "_hi").distinct()
             n_int = intervals.count()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 from . import schemas as S
+from .sources import dirty as D
 from .sources.loads import loads_sql_for_duckdb
 
 
@@ -45,16 +46,22 @@ def r(expr: str, name: str, digits: int = 6) -> str:
 
 
 # -- contracts -------------------------------------------------------------------
-def _load_rules(src: str, table: str, prefix: str, target: bool) -> str:
+def _num(column: str) -> str:
+    return f"try_cast({column} AS DOUBLE)"
+
+
+def _load_rules(src: str, table: str, prefix: str, target: bool, expected: int | None = None) -> str:
     rules = [
         ("null_id", "count_if(load_id IS NULL)"),
         ("bad_prefix", f"count_if(NOT coalesce(starts_with(load_id, '{prefix}'), false))"),
-        ("unparsable_date", "count_if(date IS NULL)"),
+        ("unparsable_date", "count_if(try_cast(date AS DATE) IS NULL)"),
     ]
-    rules += [(f"nonfinite_{c}", f"count_if(NOT coalesce(isfinite({c}), false))") for c in S.REQUIRED_FINITE]
-    rules.append(("nonpositive_distance", "count_if(distance <= 0)"))
+    if expected is not None:
+        rules.insert(0, ("row_count", f"abs(count(*) - {expected})"))
+    rules += [(f"nonfinite_{c}", f"count_if(NOT coalesce(isfinite({_num(c)}), false))") for c in S.REQUIRED_FINITE]
+    rules.append(("nonpositive_distance", f"count_if(isfinite({_num('distance')}) AND {_num('distance')} <= 0)"))
     if target:
-        rules.append(("bad_target", "count_if(posted_rate IS NULL OR NOT isfinite(posted_rate) OR posted_rate <= 0)"))
+        rules.append(("bad_target", f"count_if(NOT coalesce(isfinite({_num('posted_rate')}) AND {_num('posted_rate')} > 0, false))"))
     parts = [f"SELECT '{table}' AS \"table\", '{n}' AS rule, CAST({e} AS BIGINT) AS violations FROM {src}"
              for n, e in rules]
     parts.append(f"SELECT '{table}', 'duplicate_id', CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM "
@@ -64,12 +71,19 @@ def _load_rules(src: str, table: str, prefix: str, target: bool) -> str:
 
 LABELED_CONTRACTS = q(final=_load_rules("lab", "labeled", S.LABELED_PREFIX, True))
 SCORING_CONTRACTS = q(final=_load_rules("sco", "scoring", S.SCORING_PREFIX, False))
-TEMPLATE_ID_SET = q(final="""
-SELECT 'template' AS "table", 'missing_ids' AS rule, CAST(0 AS BIGINT) AS violations
-UNION ALL SELECT 'template', 'extra_ids', CAST(0 AS BIGINT)
-UNION ALL SELECT 'template', 'null_id', CAST(count_if(load_id IS NULL) AS BIGINT) FROM sco
-UNION ALL SELECT 'template', 'duplicate_id', CAST(coalesce(sum(c - 1), 0) AS BIGINT)
-  FROM (SELECT load_id, count(*) AS c FROM sco GROUP BY load_id)""")
+
+def _id_rules(src: str, expected: str, table: str) -> str:
+    ids = f"(SELECT load_id FROM {src} WHERE load_id IS NOT NULL)"
+    return f"""
+SELECT '{table}' AS "table", 'missing_ids' AS rule, CAST(count(*) AS BIGINT) AS violations
+  FROM {expected} e ANTI JOIN {ids} i USING (load_id)
+UNION ALL SELECT '{table}', 'extra_ids', CAST(count(*) AS BIGINT) FROM {ids} i ANTI JOIN {expected} e USING (load_id)
+UNION ALL SELECT '{table}', 'null_id', CAST(count_if(load_id IS NULL) AS BIGINT) FROM {src}
+UNION ALL SELECT '{table}', 'duplicate_id', CAST(coalesce(sum(c - 1), 0) AS BIGINT)
+  FROM (SELECT load_id, count(*) AS c FROM {ids} GROUP BY load_id)"""
+
+
+TEMPLATE_ID_SET = q(final=_id_rules("sco", "sco", "template"))
 
 # -- folds -----------------------------------------------------------------------
 _MANIFEST = """man AS (SELECT f.fold_id, f.fold,
@@ -157,9 +171,12 @@ def _hist_sql(src: str, value: str, bins: int, keys: list[str], digits: int = 4)
             f"rng AS (SELECT {kc}min(x) AS lo, max(x) AS hi FROM hb {'GROUP BY ' + k if keys else ''})",
             f"""hx AS (SELECT {kc}lo, hi, CASE WHEN hi > lo THEN least(CAST(floor((x - lo) / ((hi - lo) / {bins}e0)) AS BIGINT) + 1, {bins})
   ELSE CAST(1 AS BIGINT) END AS bin FROM hb {join})"""]
-    return ctes, f"""SELECT {kc}bin, round(lo + (bin - 1) * ((hi - lo) / {bins}e0), {digits}) AS bin_start,
-  round(lo + bin * ((hi - lo) / {bins}e0), {digits}) AS bin_end, count(*) AS rows
-FROM hx GROUP BY {kc}bin, lo, hi"""
+    same = " AND ".join([f"a.{x} IS NOT DISTINCT FROM c.{x}" for x in keys] + ["a.bin = c.bin"])
+    own = "".join(f"a.{x}, " for x in keys)
+    return ctes, f"""SELECT {own}a.bin, round(lo + (a.bin - 1) * ((hi - lo) / {bins}e0), {digits}) AS bin_start,
+  round(lo + a.bin * ((hi - lo) / {bins}e0), {digits}) AS bin_end, coalesce(c.n, 0) AS rows
+FROM (SELECT rng.*, g.bin FROM rng CROSS JOIN (SELECT unnest(generate_series(1, {bins})) AS bin) g WHERE lo IS NOT NULL) a
+LEFT JOIN (SELECT {kc}bin, count(*) AS n FROM hx GROUP BY {kc}bin) c ON {same}"""
 
 
 SELECTED_RESIDUAL_HISTOGRAM = q(*_BASE,
@@ -251,7 +268,7 @@ _fc, _fs = _features_sql(True)
 SCORING_FEATURES = q(*_fc, final=_fs)
 _rc, _rs = _features_sql(False)
 SCORING_FEATURES_REDUCED = q(*_rc, final=_rs)
-_nonfinite = " + ".join(f"count_if(NOT coalesce(isfinite({c}), false))" for c in S.NUMERIC_FULL if c != "quote_signal")
+_nonfinite = " + ".join(f"count_if(NOT coalesce(isfinite({c}), false))" for c in S.NUMERIC_FULL)
 FEATURE_CONTRACT = q(*_fc, f"fx AS ({_fs})", final=f"""SELECT 'features' AS "table", 'leaked_columns' AS rule,
   CAST(0 AS BIGINT) AS violations
 UNION ALL SELECT 'features', 'nonfinite_features', CAST({_nonfinite} AS BIGINT) FROM fx""")
@@ -334,9 +351,8 @@ _CITY = ("cd AS (SELECT city, min(lat) AS lat_min, max(lat) AS lat_max, avg(lat)
 CITY_DIMENSION = q(_COORDS, _CITY, final=f"""SELECT city, {', '.join(r(c, c) for c in
   ['lat_min', 'lat_max', 'lat', 'lon_min', 'lon_max', 'lon'])} FROM cd""")
 CITY_CONSISTENCY = q(_COORDS, _CITY, f"""bad AS (SELECT city FROM cd WHERE abs(lat_max - lat_min) > {_d(S.CITY_COORD_TOLERANCE)}
-    OR abs(lon_max - lon_min) > {_d(S.CITY_COORD_TOLERANCE)} ORDER BY city LIMIT 10)""",
-                     final="""SELECT count(*) AS inconsistent_cities,
-  coalesce(array_to_string(list_sort(list(city)), ', '), '') AS cities FROM bad""")
+    OR abs(lon_max - lon_min) > {_d(S.CITY_COORD_TOLERANCE)})""",
+                     final="SELECT count(*) AS inconsistent_cities, min(city) AS first_city FROM bad")
 
 MISSING_BY_MONTH = q("""mb AS (SELECT 'train' AS dataset, strftime(date, '%Y-%m') AS month, weight, market_index FROM lab
   UNION ALL SELECT 'validation', strftime(date, '%Y-%m'), weight, market_index FROM sco)""",
@@ -418,15 +434,12 @@ FINAL_PREDICTION_SUMMARY = q(*_FINAL, "fr AS (SELECT round(predicted_rate, 6) AS
 SELECT CAST(count(x) AS DOUBLE) AS count, {r('avg(x)', 'mean', 4)}, {r('stddev_samp(x)', 'std', 4)}, {r('min(x)', 'min', 4)},
   {r('quantile_cont(x, 0.25)', 'p25', 4)}, {r('quantile_cont(x, 0.5)', 'p50', 4)}, {r('quantile_cont(x, 0.75)', 'p75', 4)},
   {r('max(x)', 'max', 4)} FROM fr""")
-FINAL_PREDICTION_CHECKS = q(*_FINAL, final="""
-SELECT 'predictions' AS "table", 'missing_ids' AS rule, CAST(0 AS BIGINT) AS violations
-UNION ALL SELECT 'predictions', 'extra_ids', CAST(0 AS BIGINT)
-UNION ALL SELECT 'predictions', 'null_id', CAST(count_if(load_id IS NULL) AS BIGINT) FROM fpp
-UNION ALL SELECT 'predictions', 'duplicate_id', CAST(count(*) - count(DISTINCT load_id) AS BIGINT) FROM fpp
+FINAL_PREDICTION_CHECKS = q(*_FINAL, final=_id_rules("fpp", "sco", "predictions") + """
 UNION ALL SELECT 'predictions', 'bad_prediction', CAST(count_if(predicted_rate IS NULL OR NOT isfinite(predicted_rate)
   OR predicted_rate <= 0) AS BIGINT) FROM fpp
 UNION ALL SELECT 'merge', 'unmatched', CAST(count_if(f.load_id IS NULL) AS BIGINT) FROM sco s LEFT JOIN fpp f USING (load_id)
-UNION ALL SELECT 'merge', 'not_one_to_one', CAST(0 AS BIGINT)""")
+UNION ALL SELECT 'merge', 'not_one_to_one', CAST(count(*) AS BIGINT) FROM sco s JOIN
+  (SELECT load_id FROM fpp GROUP BY load_id HAVING count(*) > 1) d USING (load_id)""")
 FINAL_PREDICTION_TEXT = q(*_FINAL, final="SELECT load_id, printf('%.6f', predicted_rate) AS predicted_rate FROM fpp")
 
 _FX = S.SCENARIO_FIXED
@@ -441,19 +454,24 @@ SCENARIO_ENRICHED = q(*_SCEN, final=f"""SELECT s.pickup, s.delivery, s.distance,
 FROM scen s LEFT JOIN cd p ON p.city = s.pickup LEFT JOIN cd d ON d.city = s.delivery""")
 
 
+def _bad_rate() -> str:
+    return f"count_if(NOT coalesce(isfinite({_num('predicted_rate')}) AND {_num('predicted_rate')} > 0, false))"
+
+
 def _scenario_rules(src: str, with_pred: bool) -> str:
-    rules = [("unparsable_date", "count_if(date IS NULL)")]
+    day = "try_cast(date AS DATE)"
+    rules = [("unparsable_date", f"count_if({day} IS NULL)")]
     for c in ("pickup", "delivery", "equipment"):
         rules.append((f"changed_{c}", f"count_if(NOT coalesce({c} = '{_FX[c]}', false))"))
     for c in ("distance", "weight"):
         tol = S.ISCLOSE_ATOL + S.ISCLOSE_RTOL * abs(_FX[c])
-        rules.append((f"changed_{c}", f"count_if(NOT coalesce(abs({c} - {_d(_FX[c])}) <= {_d(tol)}, false))"))
+        rules.append((f"changed_{c}", f"count_if(NOT coalesce(abs({_num(c)} - {_d(_FX[c])}) <= {_d(tol)}, false))"))
     if with_pred:
-        rules.append(("bad_prediction", "count_if(predicted_rate IS NULL OR NOT isfinite(predicted_rate) OR predicted_rate <= 0)"))
+        rules.append(("bad_prediction", _bad_rate()))
     parts = [f"SELECT 'scenario' AS \"table\", '{n}' AS rule, CAST({e} AS BIGINT) AS violations FROM {src}" for n, e in rules]
     days = (f"(SELECT CAST(unnest(generate_series(TIMESTAMP '{S.SCENARIO_START}', TIMESTAMP '{S.SCENARIO_END}', "
             f"INTERVAL 1 DAY)) AS DATE) AS day)")
-    per = f"(SELECT date AS day, count(*) AS c FROM {src} WHERE date IS NOT NULL GROUP BY date)"
+    per = f"(SELECT {day} AS day, count(*) AS c FROM {src} WHERE {day} IS NOT NULL GROUP BY 1)"
     parts.append(f"SELECT 'scenario', 'missing_day', CAST(count(*) AS BIGINT) FROM {days} w ANTI JOIN {per} g USING (day)")
     parts.append(f"SELECT 'scenario', 'day_outside_month', CAST(count(*) AS BIGINT) FROM {per} g ANTI JOIN {days} w USING (day)")
     parts.append(f"SELECT 'scenario', 'duplicate_day', CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM {per} g WHERE c > 1")
@@ -500,20 +518,14 @@ EXECUTIVE_NUMBERS = q(*_EXEC, final=f"""SELECT train_rows, train_start, train_en
   validation_negative_weights, {r('validation_market_mean', 'validation_market_mean')}, unseen_city_count,
   unseen_cities, unseen_validation_routes FROM ex""")
 
-_FIXED_FINDINGS = [
-    "Target rates are right-skewed with rare high rate-per-mile rows, so temporal MAE is the primary selection metric and RMSE/tail metrics are reported as diagnostics.",
-    "December chart rows lack market_index and quote_signal. A separate chart-compatible model excludes those fields and is backtested under the same constraint.",
-    "Root CSVs are preserved under data/raw with hash checks; pipeline commands read the original root files and never modify the supplied inputs.",
-    "City-to-coordinate consistency is validated before December enrichment.",
-]
 FINDINGS = q(*_EXEC, final="\nUNION ALL ".join([
-    "SELECT 1 AS ordinal, printf('- Training data has %s rows and validation has %s rows.', format('{:,}', train_rows), format('{:,}', validation_rows)) AS finding FROM ex",
-    "SELECT 2, printf('- Training dates span %s to %s; validation dates span %s to %s.', train_start, train_end, validation_start, validation_end) FROM ex",
-    "SELECT 3, printf('- Missing values: training weight=%d, training market_index=%d, validation weight=%d, validation market_index=%d.', train_missing_weight, train_missing_market_index, validation_missing_weight, validation_missing_market_index) FROM ex",
-    "SELECT 4, printf('- Negative weights are present: training=%d, validation=%d. The pipeline benchmarks absolute-value repair and missing-value imputation with flags.', train_negative_weights, validation_negative_weights) FROM ex",
-    "SELECT 5, printf('- Validation contains unseen cities: %s; exact unseen validation routes=%d.', unseen_cities, unseen_validation_routes) FROM ex",
-    "SELECT 6, printf('- Market index shifts from mean %.3f in training to %.3f in validation.', train_market_mean, validation_market_mean) FROM ex",
-] + [f"SELECT {7 + i}, '- {t}'" for i, t in enumerate(_FIXED_FINDINGS)]))
+    "SELECT 1 AS ordinal, printf('Labeled loads: %s rows from %s to %s.', format('{:,}', train_rows), train_start, train_end) AS finding FROM ex",
+    "SELECT 2, printf('Loads to score: %s rows from %s to %s.', format('{:,}', validation_rows), validation_start, validation_end) FROM ex",
+    "SELECT 3, printf('No weight on %d labeled loads and %d to score; no market index on %d and %d.', train_missing_weight, validation_missing_weight, train_missing_market_index, validation_missing_market_index) FROM ex",
+    "SELECT 4, printf('Weights below zero: %d labeled (%.2f%% of them), %d to score.', train_negative_weights, train_negative_weights * 100e0 / greatest(train_rows, 1), validation_negative_weights) FROM ex",
+    "SELECT 5, printf('%d cities and %d lanes to score never occur among the labeled loads; the cities: %s.', unseen_city_count, unseen_validation_routes, unseen_cities) FROM ex",
+    "SELECT 6, printf('The mean market index goes from %.3f to %.3f (%+.3f).', train_market_mean, validation_market_mean, validation_market_mean - train_market_mean) FROM ex",
+]))
 
 LEADERBOARD_REPORT = q(*_BASE, final="""SELECT model, format('{:,.3f}', mean_mae) AS mean_mae, format('{:,.3f}', recent_mae) AS recent_mae,
   format('{:,.3f}', mean_rmse) AS mean_rmse, format('{:,.3f}', mean_r2) AS mean_r2, format('{:,.3f}', mean_wape) AS mean_wape
@@ -523,3 +535,50 @@ SCENARIO_REPORT = q(*_BASE, final=f"""SELECT 'december_' || model AS model, {r('
 
 STREAM_SCORING = q(*[c.replace("CASE (SELECT model FROM sel)", "CASE 'equipment_median_rpm'") for c in _FINAL],
                    final=f"SELECT load_id, {r('predicted_rate', 'predicted_rate')} FROM fpp")
+
+# -- contracts over dirty tables ------------------------------------------------------------
+def _dirty(name: str, sql: str) -> str:
+    return f"{name} AS ({D.for_duckdb(sql)})"
+
+
+DIRTY_LABELED_CONTRACTS = q(_dirty("dl", D.DIRTY_LABELED), final=_load_rules(
+    "dl", "labeled", S.LABELED_PREFIX, True, S.EXPECTED_ROWS_PUBLISHED["labeled"]))
+DIRTY_SCORING_CONTRACTS = q(_dirty("ds", D.DIRTY_SCORING), final=_load_rules(
+    "ds", "scoring", S.SCORING_PREFIX, False, S.EXPECTED_ROWS_PUBLISHED["scoring"]))
+_DIRTY_TEMPLATE = _dirty("dt", D.DIRTY_TEMPLATE)
+DIRTY_TEMPLATE_CONTRACTS = q(_DIRTY_TEMPLATE, final=_id_rules("dt", "sco", "predictions") + f"""
+UNION ALL SELECT 'predictions', 'bad_prediction', CAST({_bad_rate()} AS BIGINT) FROM dt""")
+DIRTY_TEMPLATE_ORDER = q(
+    _DIRTY_TEMPLATE, "so AS (SELECT CAST(substr(load_id, 4) AS BIGINT) * 2 AS ordinal, load_id FROM sco)",
+    final="""SELECT count_if(NOT coalesce(a.load_id = b.load_id, false)) AS out_of_order
+FROM dt a FULL JOIN so b USING (ordinal)""")
+DIRTY_SCENARIO_CONTRACTS = q(
+    _dirty("dsc", D.DIRTY_SCENARIO), "known AS (SELECT pickup AS city FROM lab UNION SELECT delivery FROM lab)",
+    final=_scenario_rules("dsc", True) + """
+UNION ALL SELECT 'scenario', 'unknown_city', CAST(count(*) AS BIGINT) FROM
+  (SELECT pickup AS city FROM dsc UNION SELECT delivery FROM dsc) c ANTI JOIN known USING (city)""")
+DIRTY_FOLD_CONTRACTS = q(
+    "df(fold_id, fold, train_end, valid_start, valid_end) AS (VALUES " + ", ".join(
+        f"({o}, '{n}', DATE '{a}', DATE '{b}', DATE '{c}')" for o, n, a, b, c in D.DIRTY_FOLDS) + ")",
+    """dm AS (SELECT f.fold_id, f.fold, count_if(l.date <= f.train_end) AS t, max(CASE WHEN l.date <= f.train_end THEN l.date END) AS te,
+    count_if(l.date > f.train_end AND l.date BETWEEN f.valid_start AND f.valid_end) AS v,
+    min(CASE WHEN l.date > f.train_end AND l.date BETWEEN f.valid_start AND f.valid_end THEN l.date END) AS vs
+    FROM df f CROSS JOIN lab l GROUP BY f.fold_id, f.fold)""",
+    final="""SELECT fold_id, fold, CAST(t = 0 AS INTEGER) AS empty_train, CAST(v = 0 AS INTEGER) AS empty_valid,
+  CAST(coalesce(te >= vs, false) AS INTEGER) AS leaks_chronology FROM dm""")
+DIRTY_CITY_CONSISTENCY = q(
+    """moved AS (SELECT pickup AS city, pickup_lat + CASE WHEN CAST(substr(load_id, 4) AS BIGINT) % 97 = 1 THEN 1e-3 ELSE 0 END AS lat,
+    pickup_lon AS lon FROM lab UNION ALL SELECT delivery, delivery_lat, delivery_lon FROM lab)""",
+    f"""mb AS (SELECT city FROM moved GROUP BY city HAVING max(lat) - min(lat) > {_d(S.CITY_COORD_TOLERANCE)}
+    OR max(lon) - min(lon) > {_d(S.CITY_COORD_TOLERANCE)})""",
+    final="SELECT count(*) AS inconsistent_cities, min(city) AS first_city FROM mb")
+DIRTY_MERGE_CONTRACTS = q(_DIRTY_TEMPLATE, "mc AS (SELECT load_id, count(*) AS c FROM dt GROUP BY load_id)", final="""
+SELECT 'merge' AS "table", 'unmatched' AS rule, count_if(c IS NULL) AS violations FROM sco LEFT JOIN mc USING (load_id)
+UNION ALL SELECT 'merge', 'not_one_to_one', count_if(c > 1) FROM sco LEFT JOIN mc USING (load_id)""")
+# id and target were left in: two leaked columns
+DIRTY_FEATURE_CONTRACT = q(_dirty("dl", D.DIRTY_LABELED), final=f"""
+SELECT 'features' AS "table", 'leaked_columns' AS rule, CAST(2 AS BIGINT) AS violations
+UNION ALL SELECT 'features', 'nonfinite_features', {' + '.join(f"count_if(NOT coalesce(isfinite({_num(c)}), false))"
+  for c in ('pickup_lat', 'pickup_lon', 'delivery_lat', 'quote_signal'))} FROM dl""")
+EQUIPMENT_COUNTS = q(final="""SELECT 'train' AS dataset, equipment, count(*) AS rows FROM lab GROUP BY equipment
+UNION ALL SELECT 'validation', equipment, count(*) FROM sco GROUP BY equipment""")

@@ -34,7 +34,7 @@ def _order():
             F.asc_nulls_last("std_mae"), "model"]
 
 
-OUTPUTS = ["eda/profile", "eda/drift", "eda/findings", "eda/city_lookup", "eda/audit", "metrics/folds",
+OUTPUTS = ["eda/profile", "eda/drift", "eda/findings", "eda/city_lookup", "eda/audit", "eda/equipment_counts", "metrics/folds",
            "metrics/model_results", "metrics/model_rankings", "metrics/scenario_model_results",
            "metrics/scenario_model_rankings", "metrics/selected_model", "metrics/top_absolute_errors",
            "metrics/error_by_equipment", "predictions/validation", "predictions/scenario",
@@ -69,15 +69,22 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, full_specs=None, scenari
     SK.write_findings(findings(lab, sco), f"{out_dir}/eda/findings")
     dim = PR.city_coordinates(lab, sco)
     V.require(V.scenario_city_violations(scenario, dim))
-    bad = PR.inconsistent_cities(dim).collect()
-    if bad:
-        raise V.ContractError(f"Inconsistent city coordinates: {[r.city for r in bad]}")
+    bad = PR.inconsistent_cities(dim)
+    spread = bad.count()
+    if spread:
+        names = [r.city for r in bad.orderBy("city").limit(10).collect()]
+        raise V.ContractError(f"{spread} cities with inconsistent coordinates, first: {names}")
+    SK.write_table(_small(PR.equipment_counts(lab, "train").unionByName(PR.equipment_counts(sco, "validation"))),
+                   f"{out_dir}/eda/equipment_counts", "csv")
     SK.write_json_doc(_small(dim.select("city", "lat", "lon")), f"{out_dir}/eda/city_lookup")
     audit = PR.table_profile(lab, "train").unionByName(PR.table_profile(sco, "validation"), allowMissingColumns=True)
     SK.write_json_doc(_small(audit.crossJoin(PR.overlap_summary(lab, sco)).crossJoin(
         PR.market_shift(tagged).select(F.struct("*").alias("market_index_shift")))), f"{out_dir}/eda/audit")
 
-    from ..operators.folds import fold_manifest
+    from ..operators.folds import fold_manifest, fold_violations
+    folds = fold_violations(lab)
+    V.require(folds.unpivot(["fold"], ["empty_train", "empty_valid", "leaks_chronology"], "rule", "violations")
+              .select(F.concat(F.lit("folds."), "fold").alias("table"), "rule", "violations"))
     SK.write_table(_small(fold_manifest(lab)), f"{out_dir}/metrics/folds", "csv")
 
     # Back-tests (M15), rankings (A16, A17), selection.

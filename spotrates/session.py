@@ -28,12 +28,12 @@ def build_session(master: str | None = None, app: str = "spotrates",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.bindAddress", "127.0.0.1")
     )
     if master and master.startswith("local"):
-        # Local mode: the driver JVM is the whole cluster.
-        builder = builder.config("spark.driver.memory", os.environ.get("SPOTRATES_DRIVER_MEMORY", "16g"))
+        # Local mode: the driver JVM is the whole cluster; small tables are spread over its cores.
+        builder = (builder.config("spark.driver.memory", os.environ.get("SPOTRATES_DRIVER_MEMORY", "16g"))
+                   .config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1")
+                   .config("spark.spotrates.spreadSmallScans", "true"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -45,8 +45,9 @@ def build_session(master: str | None = None, app: str = "spotrates",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is. Only when the
-    session has none (local tests) is a private scratch folder created.
+    The folder named by ``spark.checkpoint.dir`` is used as is. A local session
+    without one gets a private scratch folder; on a cluster that would be another
+    folder on every machine, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spotrates-ckpt-", dir=os.environ.get("SPOTRATES_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

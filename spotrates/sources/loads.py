@@ -54,20 +54,16 @@ SPREAD_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has cores.
+    """Hash-spread a scan over the cores of a local session.
 
-    A small single-row-group file is one split, and broadcast joins keep it one
-    task. A large table already has many splits and is returned unchanged, so
-    this never adds a shuffle at scale (and never defeats map-side combining).
+    The test tables are one row group, so one split. Only sessions that set
+    ``spark.spotrates.spreadSmallScans`` (local ones, see ``build_session``) do
+    this; elsewhere the scan stays as it is.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
+    spark = df.sparkSession
+    if spark.conf.get("spark.spotrates.spreadSmallScans", "false") != "true":
         return df
-    if splits < cores:
-        return df.repartition(cores, key)
-    return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
 
 
 def loads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +86,6 @@ def scoring_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads_all(spark, sf_dir).where(F.col("is_score")).select(*S.SCORING_COLUMNS)
 
 
-def scoring_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden target of the scoring rows (our own checks only)."""
-    return loads_all(spark, sf_dir).where(F.col("is_score")).select("load_id", "posted_rate")
-
-
 def prediction_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template ``load_id, predicted_rate`` (null) built from the scoring ids."""
     return scoring_loads(spark, sf_dir).select("load_id", F.lit(None).cast("double").alias("predicted_rate"))
@@ -113,9 +104,3 @@ def scenario_template(spark: SparkSession) -> DataFrame:
                              F.expr("interval 1 day"))).alias("date"),
         F.lit(None).cast("double").alias("predicted_rate"),
     )
-
-
-def register_oracle_views(con, sf_dir: str) -> None:
-    """Register the driver tables in a DuckDB connection (tests only)."""
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")

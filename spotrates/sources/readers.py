@@ -3,7 +3,9 @@ raw snapshot with an order-insensitive fingerprint."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -11,14 +13,35 @@ from ..functions import expr as X
 from ..operators import contracts as V
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header CSV read with every column as text (PERMISSIVE), then typed with
-    ``try_cast``/date parsing so dirty values become NULL and are counted by the
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a CSV file, as written in its first line."""
+    line = spark.read.text(path).limit(1).collect()
+    return next(csv.reader([line[0]["value"].lstrip("\ufeff")])) if line else []
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], table: str = "input") -> DataFrame:
+    """Header CSV whose header must be exactly ``columns``, in order.
+
+    Every column is read as text (PERMISSIVE) and typed later with
+    ``try_cast``/date parsing, so dirty values become NULL and are counted by the
     contracts instead of failing the scan."""
+    found = header_of(spark, path)
+    if found != list(columns):
+        raise V.ContractError(f"{table} schema mismatch: {found} != {list(columns)}")
     schema = ", ".join(f"`{c}` string" for c in columns)
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-           .schema(schema).csv(path))
-    return raw
+    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
+            .schema(schema).csv(path))
+
+
+def with_ordinal(df: DataFrame) -> DataFrame:
+    """Rows numbered from 0 in file order: the place within a split plus the rows
+    of all splits before it (one small row per split)."""
+    at = df.select("*", F.monotonically_increasing_id().alias("_at"))
+    at = at.withColumn("_split", F.shiftright("_at", 33))
+    sizes = at.groupBy("_split").agg(F.count("*").alias("_n"))
+    before = sizes.select("_split", (F.sum("_n").over(Window.orderBy("_split")) - F.col("_n")).alias("_before"))
+    return at.join(before, "_split").withColumn(
+        "ordinal", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_split", "_before")
 
 
 def typed_loads(raw: DataFrame) -> DataFrame:
@@ -37,19 +60,33 @@ def typed_loads(raw: DataFrame) -> DataFrame:
     return raw.select(*out)
 
 
-def load_all(spark: SparkSession, root: str, expected_rows: dict | None = None) -> dict[str, DataFrame]:
-    """Read the four CSV inputs, type them and enforce every contract (raises)."""
+FILES = {"labeled": "train-test.csv", "scoring": "validation.csv",
+         "template": "validation-predictions-template.csv", "scenario": "december-chart-inputs.csv"}
+
+
+def load_all(spark: SparkSession, root: str, expected_rows: dict | None = None, scenario: dict | None = None,
+             scenario_month: tuple[str, str] = (S.SCENARIO_START, S.SCENARIO_END)) -> dict[str, DataFrame]:
+    """Read the four CSV inputs, type them and enforce every contract (raises).
+
+    ``scenario`` names the fixed lane (pickup, delivery, equipment, distance,
+    weight) and ``scenario_month`` its first and last day. The template lists
+    the scoring ids in the order of the scoring file (V8, V18)."""
     expected_rows = expected_rows or {}
-    lab = typed_loads(read_csv(spark, f"{root}/train-test.csv", S.LABELED_COLUMNS))
-    sco = typed_loads(read_csv(spark, f"{root}/validation.csv", S.SCORING_COLUMNS))
-    tmpl = read_csv(spark, f"{root}/validation-predictions-template.csv", S.TEMPLATE_COLUMNS)
-    scen = read_csv(spark, f"{root}/december-chart-inputs.csv", S.SCENARIO_COLUMNS)
-    V.require_columns(lab, S.LABELED_COLUMNS, "labeled")
-    V.require_columns(sco, S.SCORING_COLUMNS, "scoring")
+    lab = typed_loads(read_csv(spark, f"{root}/{FILES['labeled']}", S.LABELED_COLUMNS, "labeled"))
+    sco = typed_loads(read_csv(spark, f"{root}/{FILES['scoring']}", S.SCORING_COLUMNS, "scoring"))
+    tmpl = read_csv(spark, f"{root}/{FILES['template']}", S.TEMPLATE_COLUMNS, "template")
+    scen = read_csv(spark, f"{root}/{FILES['scenario']}", S.SCENARIO_COLUMNS, "scenario")
+    order = V.order_differences(with_ordinal(tmpl.select("load_id")), with_ordinal(sco.select("load_id")))
     checks = (V.load_violations(lab, "labeled", True, S.LABELED_PREFIX, expected_rows.get("labeled"))
               .unionByName(V.load_violations(sco, "scoring", False, S.SCORING_PREFIX, expected_rows.get("scoring")))
-              .unionByName(V.template_violations(tmpl))
-              .unionByName(V.scenario_violations(scen)))
+              .unionByName(V.template_violations(tmpl, sco.select("load_id")))
+              .unionByName(order.select(F.lit("template").alias("table"), F.lit("out_of_order").alias("rule"),
+                                        F.col("out_of_order").cast("bigint").alias("violations")))
+              .unionByName(V.scenario_violations(scen, start=scenario_month[0], end=scenario_month[1], fixed=scenario)))
+    for name, df in (("template", tmpl), ("scenario", scen)):
+        if name in expected_rows:
+            checks = checks.unionByName(df.agg(F.abs(F.count("*") - expected_rows[name]).alias("violations")).select(
+                F.lit(name).alias("table"), F.lit("row_count").alias("rule"), F.col("violations").cast("bigint")))
     V.require(checks)
     scen_t = scen.select("pickup", "delivery", X.to_double("distance").alias("distance"), "equipment",
                          X.to_double("weight").alias("weight"), X.to_date("date").alias("date"),

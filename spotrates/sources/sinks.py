@@ -3,7 +3,6 @@ model persistence, run summary. Every sink is a distributed DataFrame write."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +39,3 @@ def read_back(spark, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "csv":
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     return spark.read.format(fmt).load(path)
-
-
-def save_model(model, path: str) -> None:
-    """Spark ML persistence (fitted statistics tables are written with ``write_table``)."""
-    if isinstance(model, PipelineModel) or hasattr(model, "write"):
-        model.write().overwrite().save(path)
-    else:
-        raise TypeError("not a Spark ML model")

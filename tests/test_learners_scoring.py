@@ -11,26 +11,24 @@ from spotrates.sources.loads import labeled_loads, prediction_template, scenario
 from conftest import SF_SMALL
 
 
-def test_ridge_matches_closed_form(spark):
+@pytest.mark.parametrize("solver", ["auto", "l-bfgs"])
+def test_ridge_matches_closed_form(spark, solver):
+    """Both solvers of ``fit_predict_ridge`` give the closed-form ridge predictions."""
+    from spotrates.operators.learners import fit_predict_ridge
     rng = np.random.default_rng(0)
     n = 400
     x = rng.normal(size=(n, 3))
-    y = 5 + x @ np.array([1.0, -2.0, 2.0]) + rng.normal(scale=0.5, size=n)
-    alpha = 20.0
-    xc, yc = x - x.mean(0), y - y.mean()
-    w = np.linalg.solve(xc.T @ xc + alpha * np.eye(3), xc.T @ yc)
-    rows = [(float(a), float(b), float(c), float(t), "train", "t") for (a, b, c), t in zip(x, y)]
-    df = spark.createDataFrame(rows, "a double, b double, c double, posted_rate double, side string, k string")
-    from pyspark.ml.regression import LinearRegression
-    from spotrates.operators.learners import assemble
-    reg = alpha * float(np.std(y, ddof=1)) / n
-    m = LinearRegression(featuresCol="features", labelCol="posted_rate", regParam=reg, elasticNetParam=0.0,
-                         standardization=False, solver="l-bfgs", maxIter=200, tol=1e-10).fit(assemble(df, ["a", "b", "c"]))
-    assert np.allclose(m.coefficients.toArray(), w, atol=1e-4)
-    # The one-pass normal-equation solver used for <= 4096 features agrees as well.
-    m2 = LinearRegression(featuresCol="features", labelCol="posted_rate", regParam=reg, elasticNetParam=0.0,
-                          standardization=False, solver="normal").fit(assemble(df, ["a", "b", "c"]))
-    assert np.allclose(m2.coefficients.toArray(), w, atol=1e-3), (m2.coefficients, w)
+    k = rng.integers(0, 3, n)
+    y = 50 + x @ np.array([1.0, -2.0, 2.0]) + 3 * (k == 0) + rng.normal(scale=0.5, size=n)
+    hot = np.column_stack([x, k == 0, k == 1]).astype(float)      # the last level is dropped
+    xc, yc = hot - hot.mean(0), y - y.mean()
+    w = np.linalg.solve(xc.T @ xc + 20.0 * np.eye(5), xc.T @ yc)
+    want = y.mean() + xc @ w
+    rows = [(i, float(a), float(b), float(c), float(g), float(t)) for i, ((a, b, c), g, t) in enumerate(zip(x, k, y))]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double, g double, posted_rate double")
+    got = fit_predict_ridge(df, df, ["a", "b", "c"], ["g"], log_target=False, solver=solver) \
+        .orderBy("i").select("raw_prediction").collect()
+    assert np.allclose([r[0] for r in got], want, atol=1e-3)
 
 
 def test_learned_backtests_run_and_beat_the_median(spark):
