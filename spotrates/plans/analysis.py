@@ -6,6 +6,8 @@ DataFrame; they are the bodies of the registered queries.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -375,11 +377,25 @@ def scenario_report_table(spark, sf_dir):
 
 
 # -- learned families (rows-only checks) -----------------------------------------------
+# Settings of the registered back-tests: Spark ML needs about ten jobs a tree, so 140
+# rounds of five folds or trees of depth 30 take tens of minutes even on small tables.
+# The library's own defaults are the published ones (see README).
+QUERY_BOOST = {"rounds": 30, "learning_rate": 0.2}
+QUERY_FOREST = {"max_depth": 10}
+
+
+def _query_settings():
+    from ..operators import learners as LN
+    return {"boost": LN.BoostParams(**QUERY_BOOST),
+            "forest_params": {"extra_trees": replace(LN.EXTRA_TREES, **QUERY_FOREST),
+                              "random_forest": replace(LN.RANDOM_FOREST, **QUERY_FOREST)}}
+
+
 def _learned(spark, sf_dir, family, catalog=None):
     from .backtest import learned_backtest
     lab, _ = tables(spark, sf_dir)
     spec = [s for s in (catalog or S.full_candidate_specs()) if s.family == family][:1]
-    r = learned_backtest(lab, spec)
+    r = learned_backtest(lab, spec, **_query_settings())
     return R6(r.results.select("model", "fold", "n", "mae", "rmse", "r2", "median_ae", "wape",
                                "seen_route_mae", "seen_route_rows", "unseen_route_mae", "unseen_route_rows",
                                "normal_target_mae", "normal_target_rows", "extreme_target_mae",
@@ -403,7 +419,7 @@ def random_forest_backtest(spark, sf_dir):
     from .backtest import learned_backtest
     lab, _ = tables(spark, sf_dir)
     spec = S.CandidateSpec("random_forest_full_abs_weight", "random_forest", True, "abs", False)
-    r = learned_backtest(lab, [spec])
+    r = learned_backtest(lab, [spec], **_query_settings())
     return R6(r.results.select("model", "fold", "n", "mae", "rmse", "r2", "median_ae", "wape"))
 
 
