@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder_of_crc, staged, table
+from .words import slices
 
 SEGMENT = 64
 BITS = 18
@@ -49,7 +50,8 @@ TRAIN_DOCS, TRAIN_SEGMENTS = 10_000, 20_000
 LEAST_CONTEXTS, LEAST_LOG_RATIO, LEXICON = 5, 2.0, 2000
 ROUNDS, STEP, RIDGE = 120, 0.5, 1e-4
 THRESHOLD = 0.3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+CHARS = 4_000_000    # of text, turned into tokens at a time
 
 tokens_in = re.compile(r"[^\W_]+").findall
 token_spans = re.compile(r"[^\W_]+").finditer
@@ -156,7 +158,14 @@ def fit_field(rows):
 
 
 def marginals(texts, model, emissions):
-    """Per text the marginals of its tokens."""
+    """Per text the number of its tokens; the marginals of all tokens."""
+    parts = [_marginals(texts[i:j], model, emissions) for i, j in slices(texts, CHARS)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _marginals(texts, model, emissions):
     lists = [tokens_in(t) if t else [] for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     owner, row, column = segments(sizes)
@@ -165,7 +174,7 @@ def marginals(texts, model, emissions):
     inside[row, column] = True
     potential[row, column] = np.fromiter((emissions[w] for x in lists for w in x), float, int(sizes.sum()))
     out = np.empty(int(sizes.sum()))
-    block = 8192
+    block = 4096
     starts = np.searchsorted(row, np.arange(0, len(owner) + block, block))
     for i in range(0, len(owner), block):
         s = slice(starts[i // block], starts[i // block + 1])

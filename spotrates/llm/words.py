@@ -44,3 +44,15 @@ def shingle_set(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
     for i in range(1, k):
         out = mixed(out * _M2 + h[i: n - k + 1 + i])
     return np.unique(out)
+
+
+def slices(texts, size: int):
+    """(begin, end) of neighbouring texts with about ``size`` characters together, at least one text."""
+    begin = total = 0
+    for i, text in enumerate(texts):
+        if i > begin and total + len(text or "") > size:
+            yield begin, i
+            begin, total = i, 0
+        total += len(text or "")
+    if begin < len(texts):
+        yield begin, len(texts)
