@@ -6,7 +6,7 @@ that score at least ``SCORE_SHARE`` of the score they give themselves are
 retrieved, then confirmed by their word overlap.
 
 Pruning (WAND with block maxima): of each item the heaviest terms are essential,
-so many that the remaining ones alone can't reach its threshold. Only passages
+so many that the remaining ones alone reach only a share of its threshold. Only passages
 that hold an essential term are looked at. First the block maxima of ``BLOCK``
 neighbouring items are added up per passage; items are scored only in blocks
 whose bound reaches the least threshold of the block, and scored in full only if
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .words import slices
 
 K1, B = 1.2, 0.75
 SCORE_SHARE, OVERLAP, SHINGLE = 0.5, 0.8, 5
 ANSWER_SHARE = 0.2
+REST_SHARE = 0.6           # of an item's threshold that its non-essential terms may reach
 LEAST_PASSAGE = 64
 BLOCK = 16                 # items that share a block maximum
 ITEM_WORDS = 500_000       # words of items in one broadcast index, about
+CHARS = 4_000_000          # of text, cut into passages at a time
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
                      T.StructField("question_overlap", T.DoubleType()),
@@ -114,7 +118,7 @@ class ItemIndex:
             for t in sorted(w, key=lambda t: (-w[t], t)):
                 essential.append((t, i, w[t]))
                 left -= w[t]
-                if left < self.threshold[i]:
+                if left < REST_SHARE * self.threshold[i]:
                     break
             rest[i] = max(left, 0)
             self.weights.append(w)
@@ -138,7 +142,7 @@ class ItemIndex:
         get, none = self.vocabulary.get, len(self.vocabulary)
         lists = [words_in(t.lower()) if t else [] for t in texts]
         size = np.array([len(x) for x in lists], np.int64)
-        ids = np.fromiter((get(w, none) for x in lists for w in x), np.int64, int(size.sum()))
+        ids = np.fromiter(map(get, chain.from_iterable(lists), repeat(none)), np.int64, int(size.sum()))
         del lists
         start = np.cumsum(size) - size                       # of each text among all words
         steps = size // self.step + 2                        # passages -1 .. of each text
@@ -206,7 +210,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str) -> DataFrame:
 
         def run(batches, index=index, first=not block):
             for batch in batches:
-                found = index.value.leaks(batch.column("text").to_pylist())
+                texts = batch.column("text").to_pylist()
+                found = [f for i, j in slices(texts, CHARS) for f in index.value.leaks(texts[i:j])]
                 rows = [[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), (i, *v)))
                          for i, v in sorted(f.items(), key=lambda x: (x[0] is not None, x[0] or 0))] for f in found]
                 if not first:
