@@ -34,6 +34,7 @@ SIZE = 1 << BITS
 CENTROIDS, ROUNDS = 4, 12
 TRAIN_DOCS = 800
 REJECT = 0.005
+FEW_LANGUAGES = 10_000
 ROWS = 512            # texts turned into vectors at a time
 
 letter = re.compile(r"[^\W\d_]").search
@@ -80,6 +81,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS):
     # One row per language; the share that gives about train_docs of each.
     share = known.groupBy("lang").count().select(
         "lang", F.when(F.col("count") <= train_docs, span).otherwise(F.lit(span) * train_docs / F.col("count")).alias("share"))
+    if share.count() <= FEW_LANGUAGES:   # a checked size; else an ordinary join
+        share = F.broadcast(share)
     chosen = known.join(share, "lang").filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(span)) < F.col("share"))
 
     def sparse(batches):
