@@ -91,9 +91,10 @@ class FittedStats:
     negative_weight: str
 
 
-def relative_frequency(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Count / non-null total per fold; NULL keys count in neither."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(FOLD, key).agg(F.count(F.lit(1)).alias("_c"))
+def relative_frequency(counts: DataFrame, key: str, out: str) -> DataFrame:
+    """Count / non-null total per fold, from lane counts ``_c``; NULL keys
+    count in neither."""
+    counts = counts.where(F.col(key).isNotNull()).groupBy(FOLD, key).agg(F.sum("_c").alias("_c"))
     totals = counts.groupBy(FOLD).agg(F.sum("_c").alias("_t"))
     # One row per fold: a proven bound. Broadcasting it also keeps the join a
     # broadcast when ``fold_id`` is a literal (single fit) and the key folds away.
@@ -116,15 +117,26 @@ def fit_stats(train: DataFrame, negative_weight: str = "abs", exact: bool = True
                .select(FOLD, "start_date", "weight_median",
                        F.coalesce("market_median", F.lit(1.0)).alias("market_median")))
     scalars = cut_lineage(scalars)
+    # One pass over the rows gives all three frequencies.
+    lanes = cut_lineage(train.groupBy(FOLD, "pickup", "delivery", "route").agg(F.count(F.lit(1)).alias("_c")))
     return FittedStats(
         scalars=scalars,
-        pickup=relative_frequency(train, "pickup", "pickup_frequency"),
-        delivery=relative_frequency(train, "delivery", "delivery_frequency"),
-        route=relative_frequency(train, "route", "route_frequency"),
+        pickup=relative_frequency(lanes, "pickup", "pickup_frequency"),
+        delivery=relative_frequency(lanes, "delivery", "delivery_frequency"),
+        route=relative_frequency(lanes, "route", "route_frequency"),
         negative_weight=negative_weight,
     )
 
 
+def lane_frequencies(df: DataFrame, stats: FittedStats) -> DataFrame:
+    """The three frequencies of every lane in ``df``, one row per fold and
+    route (a route's text names both cities)."""
+    lanes = df.groupBy(FOLD, "route").agg(F.max("pickup").alias("pickup"), F.max("delivery").alias("delivery"))
+    return (lanes.join(stats.pickup, [FOLD, "pickup"], "left").join(stats.delivery, [FOLD, "delivery"], "left")
+            .join(stats.route, [FOLD, "route"], "left")
+            .select(FOLD, "route", "pickup_frequency", "delivery_frequency", "route_frequency"))
+
+
 def transform(df: DataFrame, stats: FittedStats, include_market: bool = True,
               keep: list[str] | None = None) -> DataFrame:
     """Apply fitted stats to rows of the same ``fold_id``.
@@ -133,11 +145,10 @@ def transform(df: DataFrame, stats: FittedStats, include_market: bool = True,
     categorical ones (P11).
     """
     keep = list(keep or [])
-    # The scalars table has one row per fold: bounded, safe to broadcast.
-    out = (df.join(F.broadcast(stats.scalars), FOLD, "left")
-           .join(stats.pickup, [FOLD, "pickup"], "left")
-           .join(stats.delivery, [FOLD, "delivery"], "left")
-           .join(stats.route, [FOLD, "route"], "left"))
+    # The scalars table has one row per fold: bounded, safe to broadcast. The wide
+    # rows meet the frequencies in one join by lane; the joins by city, whose keys
+    # are few and hot, happen on the lane table.
+    out = df.join(F.broadcast(stats.scalars), FOLD, "left").join(lane_frequencies(df, stats), [FOLD, "route"], "left")
     wclean = F.coalesce(X.repair_weight("_weight_raw", stats.negative_weight), F.col("weight_median"))
     market = F.coalesce(F.col("_market_raw"), F.col("market_median"))
     out = out.withColumns({

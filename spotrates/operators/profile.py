@@ -1,7 +1,8 @@
 """Profiles, drift and overlap: A1-A11, A20-A25, A30 and set operations U1-U4.
 
-Labeled and scoring rows are profiled in the same scan: both are tagged with
-a ``dataset`` column, unioned, and grouped by it.
+Labeled and scoring rows are tagged with a ``dataset`` column and unioned where
+one aggregation serves both; profiles that need distinct counts read each table
+on its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def tag_datasets(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame, dataset: str) -> DataFrame:
-    """A1-A6 for one table, as one wide row."""
+    """A1-A4, A6 for one table, as one wide row."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("rows"), F.lit(len(cols)).cast("bigint").alias("columns")]
     if "date" in cols:
