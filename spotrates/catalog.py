@@ -8,6 +8,7 @@ from __future__ import annotations
 from . import oracle as O
 from .plans import analysis as A
 from .plans import dirty_checks as DC
+from .plans import encoder_checks as EC
 
 # name: (callable(spark, sf_dir) -> DataFrame, oracle sql | None)
 REGISTRY = {
@@ -72,6 +73,11 @@ REGISTRY = {
     "v17_dirty_merge": (DC.dirty_merge_contracts, O.DIRTY_MERGE_CONTRACTS),
     "v19_dirty_features": (DC.dirty_feature_contract, O.DIRTY_FEATURE_CONTRACT),
     "a5_equipment_counts": (DC.equipment_counts, O.EQUIPMENT_COUNTS),
+    # Encoders fitted on the train side of each fold.
+    "m8_imputer_medians": (EC.imputer_medians, O.IMPUTER_MEDIANS),
+    "m9_ordinal_codes": (EC.ordinal_codes, O.ORDINAL_CODES),
+    "m10_onehot_table": (EC.onehot_table, O.ONEHOT_TABLE),
+    "m11_scaled_columns": (EC.scaled_columns, O.SCALED_COLUMNS),
     # Learned families: Spark ML fits, no SQL oracle (rows-only check + pytest).
     "m4_m8_m10_m11_ridge_backtest": (A.ridge_backtest, None),
     "m5_m9_hgb_backtest": (A.hgb_backtest, None),

@@ -582,3 +582,25 @@ UNION ALL SELECT 'features', 'nonfinite_features', {' + '.join(f"count_if(NOT co
   for c in ('pickup_lat', 'pickup_lon', 'delivery_lat', 'quote_signal'))} FROM dl""")
 EQUIPMENT_COUNTS = q(final="""SELECT 'train' AS dataset, equipment, count(*) AS rows FROM lab GROUP BY equipment
 UNION ALL SELECT 'validation', equipment, count(*) FROM sco GROUP BY equipment""")
+
+# -- encoders --------------------------------------------------------------------------------
+_ENC = ["et AS (SELECT * REPLACE (CASE WHEN weight >= 0 THEN weight END AS weight) FROM tagged)",
+        "etr AS (SELECT * FROM et WHERE side = 'train')", "eva AS (SELECT * FROM et WHERE side = 'valid')"]
+IMPUTER_MEDIANS = q(*_ENC, """em AS (SELECT fold_id, quantile_cont(weight, 0.5) AS w, quantile_cont(market_index, 0.5) AS m
+  FROM etr GROUP BY fold_id)""", final=f"""SELECT load_id, fold_id, {r('coalesce(weight, w, 0e0)', 'weight')},
+  {r('coalesce(market_index, m, 0e0)', 'market_index')} FROM eva JOIN em USING (fold_id)
+WHERE weight IS NULL OR market_index IS NULL""")
+_CODES = [f"""c_{c} AS (SELECT fold_id, {c}, CAST(row_number() OVER (PARTITION BY fold_id ORDER BY {c}) - 1 AS DOUBLE) AS code
+  FROM (SELECT DISTINCT fold_id, {c} FROM etr WHERE {c} IS NOT NULL))""" for c in ("pickup", "equipment", "route")]
+ORDINAL_CODES = q(*_ENC, *_CODES, final="SELECT load_id, fold_id, " + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN -2e0 ELSE coalesce(c_{c}.code, -1e0) END AS {c}_code" for c in ("pickup", "equipment", "route"))
+    + " FROM eva " + " ".join(f"LEFT JOIN c_{c} USING (fold_id, {c})" for c in ("pickup", "equipment", "route")))
+ONEHOT_TABLE = q(*_ENC, """oc AS (SELECT fold_id, 'equipment' AS "column", equipment AS value, count(*) AS n FROM etr GROUP BY ALL
+  UNION ALL SELECT fold_id, 'route', route, count(*) FROM etr GROUP BY ALL)""",
+                 """os AS (SELECT fold_id, "column", count_if(n >= 5) AS f, max(CAST(n < 5 AS INTEGER)) AS rare FROM oc GROUP BY ALL)""",
+                 final="""SELECT fold_id, "column", value, CAST(CASE WHEN n >= 5 THEN
+    row_number() OVER (PARTITION BY fold_id, "column", n >= 5 ORDER BY value) - 1 ELSE f END AS BIGINT) AS index,
+  CAST(f + rare + 1 AS BIGINT) AS levels FROM oc JOIN os USING (fold_id, "column")""")
+SCALED_COLUMNS = q(*_ENC, """es AS (SELECT fold_id, avg(distance) AS md, stddev_pop(distance) AS sd, avg(quote_signal) AS mq,
+  stddev_pop(quote_signal) AS sq FROM etr GROUP BY fold_id)""", final=f"""SELECT load_id, fold_id,
+  {r('(distance - md) / sd', 'distance')}, {r('(quote_signal - mq) / sq', 'quote_signal')} FROM eva JOIN es USING (fold_id)""")
