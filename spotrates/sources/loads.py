@@ -30,7 +30,8 @@ h AS (SELECT g.*, 40e0*(abs(delivery_lat-pickup_lat)+abs(delivery_lon-pickup_lon
         date >= date '2000-11-01' AS is_score FROM g)
 SELECT CASE WHEN is_score THEN 'TE-' ELSE 'TR-' END || lpad(cast(o_orderkey+1 AS string),8,'0') AS load_id,
   CASE WHEN is_score AND o_orderkey % 10 = 0 THEN pn || '_X'
-    WHEN NOT is_score AND date >= date '2000-07-15' AND o_orderkey % 211 = 0 THEN pn || '_N' ELSE pn END AS pickup, dn AS delivery,
+    WHEN date >= date '2000-07-01' AND NOT is_score AND o_orderkey % 53 = 0 THEN pn || '_N' || cast(month(date) AS string)
+    ELSE pn END AS pickup, dn AS delivery,
   pickup_lat, pickup_lon, delivery_lat, delivery_lon, distance, equipment,
   CASE WHEN o_orderkey % 101 = 0 THEN -300e0*q ELSE 300e0*q END AS weight, date, market_index,
   1.5e0 + (o_custkey % 100)/1e2 AS quote_signal,
