@@ -132,11 +132,8 @@ def selected_top_errors(spark, sf_dir):
 
 def selected_residual_histogram(spark, sf_dir):
     """Residuals of the selected model clipped to their p1..p99, 60 bins."""
-    p = M.residuals(_selected_fold_predictions(spark, sf_dir))
-    from ..operators.quantiles import quantiles
-    cuts = quantiles(p, "residual", {"lo": 0.01, "hi": 0.99})
-    clipped = p.crossJoin(F.broadcast(cuts)).select(X.clip("residual", "lo", "hi").alias("residual"))
-    return R6(PR.histogram(clipped, "residual", S.HIST_BINS), 4)
+    from .report import residual_histogram
+    return R6(residual_histogram(_selected_fold_predictions(spark, sf_dir)), 4)
 
 
 # -- fitted feature statistics --------------------------------------------------

@@ -22,9 +22,10 @@ from ..operators import contracts as V
 from ..operators import metrics as M
 from ..operators import profile as PR
 from ..sources import loads as L
+from ..sources import readers as RD
 from ..sources import sinks as SK
 from .backtest import RESULT_COLUMNS, full_backtest
-from .report import executive_numbers, findings
+from .report import executive_numbers, findings, residual_histogram
 from .scoring import (final_predictions, merged_predictions, prediction_summary, scenario_chart,
                       scenario_predictions)
 
@@ -37,21 +38,45 @@ def _order():
 OUTPUTS = ["eda/profile", "eda/drift", "eda/findings", "eda/city_lookup", "eda/audit", "eda/equipment_counts", "metrics/folds",
            "metrics/model_results", "metrics/model_rankings", "metrics/scenario_model_results",
            "metrics/scenario_model_rankings", "metrics/selected_model", "metrics/top_absolute_errors",
-           "metrics/error_by_equipment", "predictions/validation", "predictions/scenario",
+           "metrics/error_by_equipment", "metrics/selected_fold_predictions", "metrics/residual_histogram", "predictions/validation", "predictions/scenario",
            "predictions/scenario_chart", "manifests/run_summary"]
 
 
+PARQUET = {"metrics/selected_fold_predictions"}
+
+
 def _small(df: DataFrame) -> DataFrame:
     return df.coalesce(1)
 
 
 def run(spark: SparkSession, sf_dir: str, out_dir: str, full_specs=None, scenario_specs=None,
         learned_kw: dict | None = None) -> dict:
+    """The job on the loads view of the given tables."""
+    return run_tables(spark, {
+        "labeled": L.labeled_loads(spark, sf_dir), "scoring": L.scoring_loads(spark, sf_dir),
+        "template": L.prediction_template(spark, sf_dir), "scenario": L.scenario_template(spark)},
+        out_dir, full_specs, scenario_specs, learned_kw)
+
+
+def run_files(spark: SparkSession, input_dir: str, out_dir: str, expected_rows: dict | None = None, **kw) -> dict:
+    """The job on the four CSV files: contracts (S2), a manifest with sizes and
+    hashes (S4), a verified copy of every input (S5), then ``run_tables``."""
+    tables = RD.load_all(spark, input_dir, expected_rows, kw.get("scenario_fixed"),
+                         kw.get("scenario_month", (S.SCENARIO_START, S.SCENARIO_END)))
+    SK.write_table(_small(RD.file_inventory(spark, [f"{input_dir}/{f}" for f in RD.FILES.values()])),
+                   f"{out_dir}/manifests/inputs", "csv")
+    copies = {name: RD.snapshot(df, f"{out_dir}/raw/{name}") for name, df in tables.items()}
+    return run_tables(spark, copies, out_dir, **kw)
+
+
+def run_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, full_specs=None, scenario_specs=None,
+               learned_kw: dict | None = None, folds=None, scenario_fixed: dict | None = None,
+               scenario_month: tuple[str, str] = (S.SCENARIO_START, S.SCENARIO_END)) -> dict:
     t0 = time.perf_counter()
+    month = {"start": scenario_month[0], "end": scenario_month[1], "fixed": scenario_fixed}
     full_specs = full_specs or S.full_candidate_specs()
     scenario_specs = scenario_specs or S.scenario_candidate_specs()
-    lab, sco = L.labeled_loads(spark, sf_dir), L.scoring_loads(spark, sf_dir)
-    template, scenario = L.prediction_template(spark, sf_dir), L.scenario_template(spark)
+    lab, sco, template, scenario = (tables[t] for t in ("labeled", "scoring", "template", "scenario"))
 
     # Contracts (V1-V8, V13) before anything else.
     V.require_columns(lab, S.LABELED_COLUMNS, "labeled")
@@ -59,7 +84,7 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, full_specs=None, scenari
     V.require(V.load_violations(lab, "labeled", True, S.LABELED_PREFIX)
               .unionByName(V.load_violations(sco, "scoring", False, S.SCORING_PREFIX))
               .unionByName(V.template_violations(template, sco.select("load_id")))
-              .unionByName(V.scenario_violations(scenario)))
+              .unionByName(V.scenario_violations(scenario, **month)))
 
     # Audit, drift, findings, city dimension.
     tagged = PR.tag_datasets(lab, sco)
@@ -82,18 +107,18 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, full_specs=None, scenari
         PR.market_shift(tagged).select(F.struct("*").alias("market_index_shift")))), f"{out_dir}/eda/audit")
 
     from ..operators.folds import fold_manifest, fold_violations
-    folds = fold_violations(lab)
-    V.require(folds.unpivot(["fold"], ["empty_train", "empty_valid", "leaks_chronology"], "rule", "violations")
+    checked = fold_violations(lab, folds)
+    V.require(checked.unpivot(["fold"], ["empty_train", "empty_valid", "leaks_chronology"], "rule", "violations")
               .select(F.concat(F.lit("folds."), "fold").alias("table"), "rule", "violations"))
-    SK.write_table(_small(fold_manifest(lab)), f"{out_dir}/metrics/folds", "csv")
+    SK.write_table(_small(fold_manifest(lab, folds)), f"{out_dir}/metrics/folds", "csv")
 
     # Back-tests (M15), rankings (A16, A17), selection.
     learned_kw = learned_kw or {}
-    full = full_backtest(lab, full_specs, **learned_kw)
+    full = full_backtest(lab, full_specs, folds, **learned_kw)
     SK.write_table(_small(full.results.select(*RESULT_COLUMNS)), f"{out_dir}/metrics/model_results", "csv")
     ranked = M.rank_models(full.results)
     SK.write_table(_small(ranked), f"{out_dir}/metrics/model_rankings", "csv")
-    dec = full_backtest(lab, scenario_specs, **learned_kw)
+    dec = full_backtest(lab, scenario_specs, folds, **learned_kw)
     SK.write_table(_small(dec.results.select(*RESULT_COLUMNS)), f"{out_dir}/metrics/scenario_model_results", "csv")
     dec_rank = M.rank_scenario_models(dec.results)
     SK.write_table(_small(dec_rank), f"{out_dir}/metrics/scenario_model_rankings", "csv")
@@ -110,6 +135,8 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, full_specs=None, scenari
         "load_id", "date", "equipment", "distance", "posted_rate", "predicted_rate", "fold", "abs_error")),
         f"{out_dir}/metrics/top_absolute_errors", "csv")
     SK.write_table(_small(M.mae_by_equipment(sel_pred)), f"{out_dir}/metrics/error_by_equipment", "csv")
+    SK.write_table(sel_pred, f"{out_dir}/metrics/selected_fold_predictions")
+    SK.write_table(_small(residual_histogram(sel_pred)), f"{out_dir}/metrics/residual_histogram", "csv")
 
     # Final fit + scoring + keyed merge + contracts.
     spec = next(s for s in full_specs if s.name == best_full)
@@ -123,7 +150,7 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, full_specs=None, scenari
     dspec = next(s for s in scenario_specs if s.name == best_dec)
     scen = scenario_predictions(lab, sco, scenario, dspec, model_dir=f"{out_dir}/models/final_scenario",
                                 **learned_kw)
-    V.require(V.scenario_violations(scen, with_predictions=True))
+    V.require(V.scenario_violations(scen, with_predictions=True, **month))
     SK.write_table(_small(scen.withColumn("predicted_rate", X.fmt6("predicted_rate"))),
                    f"{out_dir}/predictions/scenario", "csv")
     SK.write_table(_small(scenario_chart(scen)), f"{out_dir}/predictions/scenario_chart", "csv")
@@ -146,7 +173,8 @@ def check_outputs(spark: SparkSession, out_dir: str) -> None:
     missing = []
     for rel in OUTPUTS:
         try:
-            if not spark.read.text(f"{out_dir}/{rel}").limit(1).count():
+            kind = spark.read.parquet if rel in PARQUET else spark.read.text
+            if not kind(f"{out_dir}/{rel}").limit(1).count():
                 missing.append(rel)
         except Exception:  # noqa: BLE001 - a missing folder is a failed check
             missing.append(rel)

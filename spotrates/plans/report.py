@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions import expr as X
+from ..operators import metrics as M
 from ..operators import profile as PR
+from ..operators.quantiles import quantiles
 
 
 def executive_numbers(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
@@ -63,3 +66,11 @@ def formatted_table(df: DataFrame, k: int, order: list) -> DataFrame:
     top = df.orderBy(*order).limit(k)
     return top.select(*[F.coalesce(F.format_number(F.col(c).cast("double"), 3), F.lit("")).alias(c) if c in num
                         else F.col(c) for c in df.columns])
+
+
+def residual_histogram(pred: DataFrame) -> DataFrame:
+    """Residuals clipped to their p1..p99, in equal-width bins."""
+    rows = M.residuals(pred)
+    cuts = quantiles(rows, "residual", {"lo": 0.01, "hi": 0.99})
+    clipped = rows.crossJoin(F.broadcast(cuts)).select(X.clip("residual", "lo", "hi").alias("residual"))
+    return PR.histogram(clipped, "residual", S.HIST_BINS)
