@@ -51,6 +51,7 @@ LEAST_CONTEXTS, LEAST_LOG_RATIO, LEXICON = 5, 2.0, 2000
 ROUNDS, STEP, RIDGE = 120, 0.5, 1e-4
 THRESHOLD = 0.3
 CACHE_WORDS = 200_000
+BLOCK = 4096         # segments that are passed through at a time
 CHARS = 4_000_000    # of text, turned into tokens at a time
 
 tokens_in = re.compile(r"[^\W_]+").findall
@@ -127,25 +128,26 @@ def segments(sizes):
     return owner, np.repeat(first, sizes) + place // SEGMENT, place % SEGMENT
 
 
-def fit_field(rows):
-    """rows: (features of all tokens, flattened; token labels) of each segment."""
-    n = len(rows)
-    sizes = np.array([len(y) for _, y in rows])
+def fit_field(ids, labels, sizes):
+    """ids: three features of every token; labels of the tokens; tokens of each segment."""
+    n = len(sizes)
     inside = np.arange(SEGMENT) < sizes[:, None]
-    ids = np.concatenate([np.asarray(x, np.int64) for x, _ in rows]).reshape(-1, 3)
     label = np.zeros((n, SEGMENT))
-    label[inside] = np.concatenate([np.asarray(y, float) for _, y in rows])
+    label[inside] = labels
     weights, bias, links = np.zeros(1 << BITS), -4.0, np.zeros((2, 2))
     pair = inside[:, 1:]
     seen = np.array([[((label[:, :-1] == i) & (label[:, 1:] == j) & pair).sum() for j in (0, 1)] for i in (0, 1)], float)
     scale_w, scale_b, scale_l = np.full(1 << BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    flat_label = label[inside]
+    potential, marginal = np.zeros((n, SEGMENT)), np.zeros((n, SEGMENT))
     for _ in range(ROUNDS):
-        potential = np.zeros((n, SEGMENT))
-        potential[inside] = bias + weights[ids].sum(axis=1)
-        marginal, expected = forward_backward(potential, inside, links)
-        error = flat_label - marginal[inside]
-        g = np.bincount(ids.ravel(), np.repeat(error, 3), 1 << BITS) - RIDGE * n * weights
+        potential[inside] = bias + weights[ids[:, 0]] + weights[ids[:, 1]] + weights[ids[:, 2]]
+        expected = np.zeros((2, 2))
+        for i in range(0, n, BLOCK):
+            s = slice(i, i + BLOCK)
+            marginal[s], counts = forward_backward(potential[s], inside[s], links)
+            expected += counts
+        error = labels - marginal[inside]
+        g = sum(np.bincount(ids[:, k], error, 1 << BITS) for k in range(3)) - RIDGE * n * weights
         scale_w += g * g
         weights += STEP * g / np.sqrt(scale_w)
         gb = error.sum()
@@ -174,11 +176,10 @@ def _marginals(texts, model, emissions):
     inside[row, column] = True
     potential[row, column] = np.fromiter((emissions[w] for x in lists for w in x), float, int(sizes.sum()))
     out = np.empty(int(sizes.sum()))
-    block = 4096
-    starts = np.searchsorted(row, np.arange(0, len(owner) + block, block))
-    for i in range(0, len(owner), block):
-        s = slice(starts[i // block], starts[i // block + 1])
-        m, _ = forward_backward(potential[i: i + block], inside[i: i + block], model["links"])
+    starts = np.searchsorted(row, np.arange(0, len(owner) + BLOCK, BLOCK))
+    for i in range(0, len(owner), BLOCK):
+        s = slice(starts[i // BLOCK], starts[i // BLOCK + 1])
+        m, _ = forward_backward(potential[i: i + BLOCK], inside[i: i + BLOCK], model["links"])
         out[s] = m[row[s] - i, column[s]]
     return sizes, out
 
@@ -277,7 +278,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
         return None
     chosen = rows.filter(F.pmod("key", F.lit(span)) < F.when(F.col("marked") == 1, share[1]).otherwise(share[0]))
     got = chosen.orderBy("key").select("x", "y").toArrow()
-    weights, bias, links = fit_field(list(zip(got["x"].to_pylist(), got["y"].to_pylist())))
+    y = got["y"].combine_chunks()
+    sizes = np.diff(y.offsets.to_numpy())
+    ids = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 3)
+    weights, bias, links = fit_field(ids, y.flatten().to_numpy().astype(float), sizes)
+    del got, y, ids
     model = {"weights": weights, "bias": bias, "links": links}
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
