@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 from .components import connected_components
-from .words import WordHashes, mixed, shingle_set
+from .words import mixed, shingle_set, word_hashes
 
 PERMUTATIONS, ROWS = 196, 7
 VALUES = 2 * PERMUTATIONS
@@ -80,11 +80,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), cls (key of the set, null if empty), bands."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             n, cls, bands = [], [], []
-            for text in _binary(batch.column("text")):
-                s = shingle_set(text, k, cache)
+            for h in word_hashes(_binary(batch.column("text"))):
+                s = shingle_set(h, k)
                 n.append(len(s))
                 cls.append(class_key(s) if len(s) else None)
                 bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
@@ -100,9 +99,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """cls, shingles of every document that has any."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
-            sets = [s for s in (shingle_set(t, k, cache) for t in _binary(batch.column("text"))) if len(s)]
+            sets = [s for s in (shingle_set(h, k) for h in word_hashes(_binary(batch.column("text")))) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_key(s) for s in sets], pa.binary()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles"])

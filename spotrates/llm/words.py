@@ -5,21 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 500_000
+CHARS = 4_000_000     # of text, hashed at a time
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered for at most ``CACHE_WORDS`` words."""
-
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased; words are runs without the six ASCII space characters."""
     return text.lower().split() if text else []
@@ -30,14 +20,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S29)
 
 
-def shingle_set(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is
-    one shingle of all its words; no words: empty."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.array([cache[w] for w in words], np.uint64)
+def word_hashes(texts):
+    """For every text (bytes or None) the 64-bit hashes of its words, in order."""
+    for i, j in slices(texts, CHARS):
+        lists = [words_of(t) for t in texts[i:j]]
+        distinct = list(set().union(*lists))
+        table = dict(zip(distinct, map(xxhash.xxh64_intdigest, distinct)))
+        for words in lists:
+            yield np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of word hashes; a
+    shorter text is one shingle of all its words; no words: empty."""
     n = len(h)
+    if not n:
+        return h
     if n < k:
         k = n
     out = mixed(h[: n - k + 1] + np.uint64(k))

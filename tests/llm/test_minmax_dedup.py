@@ -5,7 +5,7 @@ import numpy as np
 from spotrates.llm import minmax_dedup as M
 from spotrates.llm.common import table
 from spotrates.llm.components import connected_components
-from spotrates.llm.words import WordHashes, shingle_set
+from spotrates.llm.words import shingle_set, word_hashes
 
 
 def shingles(text, k):
@@ -76,10 +76,10 @@ def test_null_ids_repeats_clashes_and_empty(spark):
 
 
 def test_signature_values_agree_as_often_as_the_sets():
-    cache, rng = WordHashes(), random.Random(1)
+    rng = random.Random(1)
     common = [str(rng.random()) for _ in range(160)]
-    a = shingle_set(" ".join(common + [str(rng.random()) for _ in range(40)]).encode(), 1, cache)
-    b = shingle_set(" ".join(common + [str(rng.random()) for _ in range(40)]).encode(), 1, cache)
+    texts = [" ".join(common + [str(rng.random()) for _ in range(40)]).encode() for _ in (0, 1)]
+    a, b = (shingle_set(h, 1) for h in word_hashes(texts))
     exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((M.signature(a) == M.signature(b)).mean() - exact) < 0.1
 
