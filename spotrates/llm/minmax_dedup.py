@@ -16,8 +16,8 @@ are candidates; links are confirmed on the full sets.
   linked only if D(x) and D(y) share more than
   ``(|D(y)| + K * (|c| - |y|)) / 2`` elements, where K = (1 - s) / (1 + s) and x is
   not linked to c. So it is enough to look up x's differences among that many
-  less one left out of y's, its rarest ones; only pairs that meet there are
-  confirmed. Nothing is lost by this step.
+  less one left out of y's, its rarest ones (fewer still once x's own distance is
+  known); only pairs that meet there are confirmed. Nothing is lost by this step.
 
 Defined cases: null or empty text (or one without words) has no shingles, is
 linked with nothing and kept; a null doc_id gets the smallest id of its group
@@ -142,10 +142,12 @@ def undecided(star: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int
         .withColumn("often", F.coalesce("often", F.lit(1))) \
         .withColumn("place", F.row_number().over(rarest)) \
         .filter((F.col("place") <= F.col("d") - F.floor(F.col("shared") - 1e-9)) & (F.col("often") > 1)) \
-        .select("a", "e", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("root_b").alias("root_y"), F.col("d").alias("dy"))
+        .select("a", "e", "place", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("root_b").alias("root_y"),
+                F.col("d").alias("dy"))
     x = each.filter("outside").select("a", "e", F.col("b").alias("x"), "nb", "root_b", "d")
+    least = (F.col("d") + F.col("dy") - k * (F.col("nb") + F.col("ny"))) / 2   # that this pair must share
     met = x.join(y, ["a", "e"]).filter(
-        (F.col("root_b") != F.col("root_y"))
+        (F.col("root_b") != F.col("root_y")) & (F.col("place") <= F.col("dy") + 1 - F.ceil(least - 1e-9))
         & (F.least("nb", "ny") * 100 >= F.greatest("nb", "ny") * threshold)
         & (F.abs(F.col("d") - F.col("dy")) <= k * (F.col("nb") + F.col("ny")) + 1e-9))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
