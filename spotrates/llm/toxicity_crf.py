@@ -7,16 +7,20 @@ five characters); a 2 x 2 matrix links neighbours.
 
 Learning (labels of whole documents -> labelled tokens):
 
-1. A bounded sample of labelled documents is taken by hash (``TRAIN_DOCS``).
-2. A word is evidence if its first occurrences in toxic documents have at least
-   ``LEAST_CONTEXTS`` different contexts (its two neighbours) in as many kinds of
-   document (by smallest word hash, so copies and near copies of one text add
-   little) and it is much more frequent there than in clean documents. Its tokens in toxic
-   documents are labelled toxic, all other tokens clean.
+1. A bounded sample of labelled documents is taken by hash, for each label: all
+   toxic ones up to half of ``TRAIN_DOCS``, clean ones for the rest.
+2. A word's toxic documents are counted by the different contexts (two
+   neighbours) of its first occurrences, or by kinds of document (smallest hash of
+   word pairs) if these are fewer, so copies and near copies of one text add
+   little. A word is evidence if its smoothed log-odds are at least
+   ``LEAST_LOG_RATIO`` and its log likelihood ratio, against toxic documents by
+   chance, is at least ``SURENESS`` more than the log of the sample's size: few
+   labels ask for fewer documents. If no word is, the ones with the largest ratio
+   are. Their tokens in toxic documents are labelled toxic, all other tokens clean.
 3. The field is fitted by gradient ascent on its conditional likelihood over at
    most about ``TRAIN_SEGMENTS`` segments; forward-backward gives the gradient.
 4. A logistic curve from a document's marginals to its label is fitted on the
-   sampled documents.
+   sampled documents, weighted to the labels' shares before sampling.
 
 Scoring runs forward-backward over all segments of the whole text; tokens with a
 marginal of at least one half are the offending spans (code points, end
@@ -25,13 +29,15 @@ tokens gives the document's score.
 
 Defined cases: null or empty texts get the score of a text without any toxic
 token and no spans; a null label is no label; a document with several labels is
-toxic if one says so; without labels of both kinds every score is 0; repeated
+toxic if one says so; without labels of both kinds,
+or any word in a toxic document, every score is 0; repeated
 rows get equal scores; ties don't matter, as no order is used; extra columns are
 kept by ``with_toxicity``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -47,7 +53,7 @@ from .words import slices
 SEGMENT = 64
 BITS = 18
 TRAIN_DOCS, TRAIN_SEGMENTS = 10_000, 20_000
-LEAST_CONTEXTS, LEAST_LOG_RATIO, LEXICON = 5, 2.0, 2000
+LEAST_LOG_RATIO, SURENESS, LEXICON = 2.0, 1.0, 2000
 ROUNDS, STEP, RIDGE = 120, 0.5, 1e-4
 THRESHOLD = 0.3
 CACHE_WORDS = 200_000
@@ -196,13 +202,13 @@ def evidence(sizes, marginal):
     return np.column_stack([np.log(largest / (1 - largest)), np.log1p(total), np.ones(len(sizes))])
 
 
-def fit_curve(x, y):
-    """Logistic regression by Newton steps, with a small ridge."""
+def fit_curve(x, y, weight):
+    """Logistic regression of weighted rows by Newton steps, with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * w)
     return w
 
 
@@ -213,13 +219,16 @@ def _texts(batch):
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
     """Model of bounded size from the labelled documents outside the held-out quarter."""
     known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+             .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+             .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
              .filter(remainder_of_crc(F.col("doc_id"), 4) != 2))
-    n = known.count()
+    every = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    most = {1: train_docs // 2, 0: train_docs - min(every.get(1, 0), train_docs // 2)}
+    bound = {m: 1_000_000 if n <= most[m] else 1_000_000 * most[m] // n for m, n in every.items()}
     chance = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000))
-    known = known.filter(chance < (1_000_000 if n <= train_docs else 1_000_000 * train_docs // n))
+    known = known.filter(chance < F.when(F.col("toxic") == 1, bound.get(1, 0)).otherwise(bound.get(0, 0)))
     sample = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-                    .select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxicity-sample")
+                    .select("text", "toxic"), "toxicity-sample")
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return None
@@ -235,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
                         first.setdefault(w, f"{a} {b}")
                     words += first
                     contexts += [xxhash.xxh64_intdigest(x) >> 1 for x in first.values()]
-                    kinds += [min((xxhash.xxh64_intdigest(w, seed=1) >> 1 for w in first), default=0)] * len(first)
+                    pairs = {f"{a} {b}" for a, b in zip(found, found[1:])} or first
+                    kinds += [min((xxhash.xxh64_intdigest(x, seed=1) >> 1 for x in pairs), default=0)] * len(first)
                 else:
                     for w in set(found):
                         clean[w] = clean.get(w, 0) + 1
@@ -246,12 +256,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
                  pa.array([0] * len(words) + list(clean.values()), pa.int64())],
                 names=["word", "context", "kind", "clean"])
 
-    ratio = (F.log((F.col("contexts") + 0.5) / (size[1] + 1)) - F.log((F.col("clean") + 0.5) / (size[0] + 1)))
-    lexicon = {r["word"] for r in (
+    total = size[0] + size[1]
+    toxic, clean = F.col("contexts"), F.col("clean")
+    ratio = F.log((toxic + 0.5) / (size[1] + 1)) - F.log((clean + 0.5) / (size[0] + 1))
+    gain = (toxic * F.log(toxic * total / ((toxic + clean) * size[1]))
+            + F.when(clean > 0, clean * F.log(clean * total / ((toxic + clean) * size[0]))).otherwise(0.0))
+    words = (
         sample.mapInArrow(occurrences, "word string, context long, kind long, clean long").groupBy("word")
         .agg(F.least(F.countDistinct("context"), F.countDistinct("kind")).alias("contexts"), F.sum("clean").alias("clean"))
-        .filter((F.col("contexts") >= LEAST_CONTEXTS) & (ratio >= LEAST_LOG_RATIO))
-        .orderBy(F.desc(ratio), "word").limit(LEXICON).select("word").collect())}
+        .filter(toxic > 0).select("word", ratio.alias("ratio"), gain.alias("gain"))
+        .withColumn("sure", (F.col("ratio") >= LEAST_LOG_RATIO) & (F.col("gain") >= SURENESS + math.log(total)))
+        .orderBy(F.desc("sure"), F.desc("ratio"), "word").limit(LEXICON).collect())
+    lexicon = {r["word"] for r in words if r["sure"] or not words[0]["sure"] and r["ratio"] == words[0]["ratio"]}
 
     def labelled(batches):
         for batch in batches:
@@ -273,9 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
                   .dropDuplicates(["key"]), "toxicity-segments")
     count = {r["marked"]: r["count"] for r in rows.groupBy("marked").count().collect()}
     half, span = TRAIN_SEGMENTS // 2, 1_000_000
-    share = {m: span if c <= half else span * half // c for m, c in count.items()}
-    if len(share) < 2:
+    if 1 not in count:
         return None
+    share = {m: span if count.get(m, 0) <= half else span * half // count[m] for m in (0, 1)}
     chosen = rows.filter(F.pmod("key", F.lit(span)) < F.when(F.col("marked") == 1, share[1]).otherwise(share[0]))
     got = chosen.orderBy("key").select("x", "y").toArrow()
     y = got["y"].combine_chunks()
@@ -295,7 +311,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
 
     points = sample.mapInArrow(seen, "a double, b double, toxic int").orderBy("a", "b", "toxic").toArrow()
     x = np.column_stack([points["a"].to_numpy(), points["b"].to_numpy(), np.ones(len(points))])
-    return model | {"curve": fit_curve(x, points["toxic"].to_numpy().astype(float))}
+    y = points["toxic"].to_numpy().astype(float)
+    drawn = {m: every[m] / size[m] for m in (0, 1)}
+    weight = np.where(y == 1, drawn[1], drawn[0])
+    return model | {"curve": fit_curve(x, y, weight * len(y) / weight.sum())}
 
 
 def with_toxicity(docs: DataFrame, model, score: str, spans: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -63,3 +64,32 @@ def test_edge_rows(spark):
     assert X.with_toxicity(extra.limit(0), model, "s", "p").collect() == []
     assert X.fit(docs, labels.limit(0)) is None
     assert {r.s for r in X.with_toxicity(extra, None, "s", "p").collect()} == {0.0}
+
+
+def test_few_labels_are_learned_from(spark):
+    """Nine toxic training documents at the smallest scale, and a single one."""
+    sf = "/root/testdata/sf0.001"
+    got = X.op4_toxicity_crf(spark, sf).toPandas()
+    both = got.merge(table(spark, sf, "labels").toPandas().drop_duplicates("doc_id"), on="doc_id")
+    hit = (both.predicted == 1) & (both.toxic == 1)
+    assert hit.sum() >= 0.5 * (both.toxic == 1).sum() and hit.sum() >= 0.8 * (both.predicted == 1).sum()
+    docs = spark.createDataFrame([(1, "you idiot"), (3, "you there"), (4, "hello there")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in (1, 3, 4))
+    score = {r.doc_id: r.s for r in X.with_toxicity(docs, X.fit(docs, labels), "s", "p").collect()}
+    assert score[1] > max(score[3], score[4])
+
+
+def test_other_languages_with_few_toxic_documents(spark):
+    """A language with four toxic documents beside one with many."""
+    def text(i, word, common):
+        return " ".join(f"{common}{(i * 7 + j * j) % 31}" for j in range(20)) + f" {common}a{i} {word} {common}b{i} fin"
+    rows = [(i, text(i, "idiot" if i < 40 else "thing", "en")) for i in range(200)]
+    rows += [(i, text(i, "cr\u00e9tin" if i < 306 else "chose", "fr")) for i in range(300, 340)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 40 or 300 <= i < 306)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = X.fit(docs, labels)
+    new = spark.createDataFrame([(1, text(900, "cr\u00e9tin", "fr")), (2, text(901, "chose", "fr")), (3, text(902, "idiot", "en"))],
+                                "doc_id long, text string")
+    score = {r.doc_id: r.s for r in X.with_toxicity(new, model, "s", "p").collect()}
+    assert score[1] >= X.THRESHOLD > score[2] and score[3] >= X.THRESHOLD
