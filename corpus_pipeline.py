@@ -34,8 +34,28 @@ def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minmax_dedup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("copy"))
-    return docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["copy"]), "left_anti")
+    """Decided for each row by its id and shingle set. A group keeps the rows of
+    one document: its smallest id, with one shingle set; without any id, one row."""
+    known = F.col("cls").isNull() | F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("cls") == F.col("keeper"))
+    rows = staged(minmax_dedup.placed_rows(docs).select("doc_id", "cls", known.alias("kept")), "kept-rows")
+    ids = rows.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("of")) \
+        .agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).filter(~F.col("all"))
+    own = docs["doc_id"].cast("long")
+    out = docs.filter(own.isNotNull()).join(ids, own == ids["of"], "left_anti")
+    key = unused("cls", docs)
+    kept = rows.filter("kept AND cls IS NOT NULL").select(F.col("doc_id").alias("of"), F.col("cls").alias("kept_cls")).distinct()
+    mixed = ids.filter("some").select("of")
+    if not mixed.isEmpty():      # ids with several texts, not all of them kept
+        part = minmax_dedup.with_class(docs.join(mixed, own == mixed["of"], "left_semi"), key)
+        same = (part["doc_id"].cast("long") == kept["of"]) & (part[key] == kept["kept_cls"])
+        out = out.unionByName(part.join(kept, same, "left_semi").drop(key)).unionByName(part.filter(part[key].isNull()).drop(key))
+    if not rows.filter(F.col("doc_id").isNull()).isEmpty():
+        part = minmax_dedup.with_class(docs.filter(own.isNull()), key)
+        row = F.struct(*docs.columns)
+        single = part.join(kept.filter(F.col("of").isNull()), F.col(key) == F.col("kept_cls"), "left_semi") \
+            .groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        out = out.unionByName(single).unionByName(part.filter(F.col(key).isNull()).drop(key))
+    return out
 
 
 def keep_unleaked(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged, table
 from .components import connected_components
@@ -153,8 +154,24 @@ def undecided(star: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; see the module's text."""
+def with_class(docs: DataFrame, column: str, k: int = 5) -> DataFrame:
+    """``docs`` with the key of its text's shingle set, null if it has none."""
+    fields = list(docs.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(h, k) for h in word_hashes(_binary(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in fields),
+                 pa.array([class_key(s) if len(s) else None for s in sets], pa.binary())],
+                names=[*(f.name for f in fields), column])
+
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(column, T.BinaryType())]))
+
+
+def placed_rows(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n, cls, component (smallest id of the group), keeper: the class
+    that stands for the group, by its smallest id, then its key."""
     link = F.col("i") * 100 >= F.col("u") * threshold
     sketch = staged(sketches(docs, k), "sketches")
     classes = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
@@ -187,9 +204,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
 
     grouped = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left") \
         .withColumn("root", F.coalesce("root", "cls"))
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
-    of_class = grouped.join(smallest, "root").select("cls", "component")
-    out = sketch.select("doc_id", "n", "cls").join(of_class, "cls", "left")
+    smallest = grouped.groupBy("root").agg(
+        F.min("first_id").alias("component"),
+        F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "cls"))["cls"].alias("keeper"))
+    of_class = grouped.join(smallest, "root").select("cls", "component", "keeper")
+    return sketch.select("doc_id", "n", "cls").join(of_class, "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; see the module's text."""
+    out = placed_rows(docs, k, threshold)
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -59,3 +59,21 @@ def test_edge_rows_pass(spark):
     assert P.STAGES[-1][1](spark, docs, SF).count() == 4
     for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_near_duplicates_are_decided_row_by_row(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "some quite different text that has no copy at all here"
+    third = "a third text of its own that shares no words with them"
+    lone = "four rows without any id hold this very same long text"
+    rows = [(1, text), (None, text.upper()), (None, other), (None, third), (None, ""), (None, None),
+            (None, lone), (None, lone), (None, lone.title()), (None, lone),
+            (2, text), (2, "the second text of the id two is not a copy"), (3, "z"), (3, "z"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS cls")
+    got = P.STAGES[1][1](spark, docs, SF)
+    assert got.columns == docs.columns
+    found = sorted((str(r.doc_id), (r.text or "").lower()) for r in got.collect())
+    assert found == sorted([("1", text), ("None", other), ("None", third), ("None", ""), ("None", ""), ("None", lone),
+                            ("2", "the second text of the id two is not a copy"), ("2", ""), ("3", "z"), ("3", "z")])
+    one_id = [(5, " ".join(f"w{i}" for i in range(200))), (5, " ".join(f"w{i}" for i in range(199)))]
+    assert P.STAGES[1][1](spark, spark.createDataFrame(one_id, "doc_id long, text string"), SF).count() == 1
