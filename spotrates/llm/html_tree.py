@@ -20,7 +20,9 @@ space, blocks joined by a line feed in page order.
 
 Defined cases: null html counts as empty; a page without content gives the empty
 string; unclosed and stray tags are repaired as browsers do for paragraphs, list
-items and table cells; repeated rows get equal results; other columns are
+items, table cells and the head; scripts and embedded media are left out up to
+their end tag, without one only script, style and textarea reach to the page's
+end; formulas keep their text; repeated rows get equal results; other columns are
 ignored; an empty table, or one without labelled pages, uses the prior.
 """
 
@@ -62,10 +64,13 @@ NEVER_WORDS = re.compile(
     r"tags|disclaimer|legal|alert)(?![a-z])")
 MAIN_WORDS = re.compile(r"(?<![a-z])(?:article|content|post|entry|story|main|body|text)(?![a-z])")
 
-_RAW = "script|style|noscript|template|svg|iframe|textarea|math|canvas|object|audio|video"
+TO_END = frozenset("script style textarea".split())      # without an end tag, up to the page's end
+LEFT_OUT = TO_END | frozenset("noscript template svg iframe canvas object audio video annotation annotation-xml".split())
 _tag = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*>", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<({'|'.join(sorted(LEFT_OUT, reverse=True))})(?=[\s/>])[^>]*>|<[!?/][^>]*>", re.S | re.I)
+_ends = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in LEFT_OUT}
+_closed = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/$")   # not the end of an unquoted value
 _name = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _camel = re.compile(r"([a-z])([A-Z])")
 
@@ -107,19 +112,29 @@ class Page:
             self.text.append(text)
             self.linked.append(self.linked[stack[-1]] or tag == "a")
 
-        for m in _tag.finditer(source):
+        unclosed = set()
+        while m := _tag.search(source, at):
             if m.start() > at:
                 add("", "", source[at: m.start()])
             at = m.end()
-            if not m[3]:
+            tag = (m[2] or m[4] or "").lower()
+            if not tag:
                 continue
-            tag = m[3].lower()
+            closed = tag not in TO_END and not m[1] and m[3] and m[3][-1] == "/" and _closed.search(m[3])
+            if closed and (tag in LEFT_OUT or tag == "math"):
+                continue
+            if tag in LEFT_OUT and not m[1]:
+                end = None if tag in unclosed else _ends[tag].search(source, at)
+                if end or tag in TO_END:
+                    at = end.end() if end else len(source)
+                    continue
+                unclosed.add(tag)
             if tag == "br":
                 add("", "", " ")
                 continue
             if tag in BLOCKS:
                 block += 1
-            if m[2]:
+            if m[1]:
                 if tag in BLOCKS or tag not in VOID:
                     pop_to({tag}, set() if tag in BLOCKS else BLOCKS)
                 continue
@@ -129,7 +144,7 @@ class Page:
                 pop_to({"p"}, BLOCKS - {"p"})
             if tag in CLOSES:
                 pop_to(CLOSES[tag], SCOPES[tag])
-            names = " ".join(x.strip("\"'") for x in _name.findall(m[4])) if m[4] else ""
+            names = " ".join(x.strip("\"'") for x in _name.findall(m[3])) if m[3] else ""
             add(tag, _camel.sub(r"\1 \2", names).lower().replace("_", " "), "")
             if tag not in VOID:
                 stack.append(len(self.tag) - 1)

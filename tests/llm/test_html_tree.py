@@ -80,3 +80,26 @@ def test_edge_pages(spark, model):
     assert got[1].text == got[2].text == got[5].text == got[6].text == "" and got[3].n_chars == 200_000 * 5 - 1
     assert H.main_text(df.limit(0), model).collect() == []
     assert H.learn(df.limit(0))[0] == pytest.approx(H.PRIOR)
+
+
+@pytest.mark.parametrize("tag", [
+    "<svg class='i'/>", "<svg viewBox='0 0 1 1' />", "<video-player src=x></video-player>", "<svg-icon name=a></svg-icon>",
+    "<math/>", "<iframe src='x'/>", "<video src=x>", "<object data=x>", "<svg><text>no</text></svg>", "<script src=/x/></script>",
+    "<svg class=i/><title>no</title></svg>"])
+@pytest.mark.parametrize("later", ["", "<footer><svg><path d='M0'></path></svg><video src=y></video></footer>"])
+def test_embedded_elements_leave_the_rest(model, tag, later):
+    if later and tag in ("<video src=x>", "<object data=x>"):
+        later = ""
+    page = f"<body><article><h1>A heading</h1><p>{P1}</p>{tag}<p>{P2}</p></article>{later}"
+    assert H.extract(page, *model) == f"A heading\n{Q1}\n{Q2}"
+
+
+def test_formulas_keep_their_text(model):
+    formula = "<math><mi>x</mi> <mo>=</mo> <mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></math>"
+    page = f"<body><article><h1>A heading</h1><p>{P1} {formula}</p><p>{P2}</p></article>"
+    assert H.extract(page, *model) == f"A heading\n{Q1} x = 2\n{Q2}"
+
+
+def test_unclosed_raw_text_reaches_the_end(model):
+    for tag in ("script", "style", "textarea"):
+        assert H.extract(f"<body><article><p>{P1}</p><{tag}>var x; <p>{P2}</p></article>", *model) == Q1
