@@ -45,6 +45,7 @@ LONGEST_TRAINING_PAGE = 200_000   # characters; the sample's size is bounded
 # Tag classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title".split())
+IN_HEAD = frozenset("html head base link meta title".split())     # other tags and text end the head
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr
 ul""".split())
@@ -70,6 +71,7 @@ _tag = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     rf"|<({'|'.join(sorted(LEFT_OUT, reverse=True))})(?=[\s/>])[^>]*>|<[!?/][^>]*>", re.S | re.I)
 _ends = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in LEFT_OUT}
+_title = re.compile(r"(?:[^<]++|<(?!/?(?:head|body|title|html)[\s/>]))*+</title\s*>", re.I)
 _closed = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/$")   # not the end of an unquoted value
 _name = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _camel = re.compile(r"([a-z])([A-Z])")
@@ -104,6 +106,10 @@ class Page:
                 if t in scope:
                     return
 
+        def end_head():
+            pop_to({"title"}, set())
+            pop_to({"head"}, set())
+
         def add(tag, names, text):
             self.parent.append(stack[-1])
             self.tag.append(tag)
@@ -112,9 +118,12 @@ class Page:
             self.text.append(text)
             self.linked.append(self.linked[stack[-1]] or tag == "a")
 
-        unclosed = set()
+        unclosed, heads = set(), False
         while m := _tag.search(source, at):
             if m.start() > at:
+                if heads and self.tag[stack[-1]] == "head" and source[at: m.start()].strip():
+                    end_head()
+                    heads = False
                 add("", "", source[at: m.start()])
             at = m.end()
             tag = (m[2] or m[4] or "").lower()
@@ -129,6 +138,9 @@ class Page:
                     at = end.end() if end else len(source)
                     continue
                 unclosed.add(tag)
+            if heads and not m[1] and tag not in IN_HEAD:
+                end_head()
+                heads = False
             if tag == "br":
                 add("", "", " ")
                 continue
@@ -138,7 +150,7 @@ class Page:
                 if tag in BLOCKS or tag not in VOID:
                     pop_to({tag}, set() if tag in BLOCKS else BLOCKS)
                 continue
-            if tag in ("html", "body") and tag in self.tag:
+            if tag in ("html", "head", "body") and (tag in self.tag or tag == "head" and "body" in self.tag):
                 continue
             if tag in BLOCKS:
                 pop_to({"p"}, BLOCKS - {"p"})
@@ -148,7 +160,15 @@ class Page:
             add(tag, _camel.sub(r"\1 \2", names).lower().replace("_", " "), "")
             if tag not in VOID:
                 stack.append(len(self.tag) - 1)
+            if tag in HIDDEN:
+                heads = True
+            if tag == "title" and (end := _title.match(source, at)):    # its text has no tags
+                add("", "", source[at: source.rindex("<", at, end.end())])
+                stack.pop()
+                at = end.end()
         if at < len(source):
+            if heads and self.tag[stack[-1]] == "head" and source[at:].strip():
+                end_head()
             add("", "", source[at:])
         for i, t in enumerate(self.text):
             if t:

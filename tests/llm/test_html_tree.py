@@ -103,3 +103,12 @@ def test_formulas_keep_their_text(model):
 def test_unclosed_raw_text_reaches_the_end(model):
     for tag in ("script", "style", "textarea"):
         assert H.extract(f"<body><article><p>{P1}</p><{tag}>var x; <p>{P2}</p></article>", *model) == Q1
+
+
+@pytest.mark.parametrize("head", [
+    "<html><head><title>T</title><body>", "<html><head><meta charset=utf-8><title>T</title><script>x</script>",
+    "<head><title>T<body>", "<html><head><title>T</head><body>", "<title>T</title>", "<html><head><title>A <p> tag</title><body>",
+    "<html><head><title>T</title><link rel=x></head><body>"])
+def test_head_ends_where_the_body_starts(model, head):
+    page = f"{head}<article><h1>A heading</h1><p>{P1}</p><p>{P2}</p></article>"
+    assert H.extract(page, *model) == f"A heading\n{Q1}\n{Q2}"
