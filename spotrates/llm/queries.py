@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bm25_search, chat_format, context_tree, decontaminate, html_tree, language_id,
-               minmax_dedup, packing, pii, toxicity_crf)
+from . import (bm25_search, centroid_clustering, chat_format, context_tree, decontaminate, html_tree, language_id,
+               minmax_dedup, packing, pii, substring_dedup, toxicity_crf, turn_repair)
 
 REGISTRY = {
     "op1_best_fit_packing": (packing.op1_best_fit_packing, None),
@@ -16,6 +16,9 @@ REGISTRY = {
     "op8_bm25_decontamination": (decontaminate.op8_bm25_decontamination, None),
     "op9_nearest_centroid_language": (language_id.op9_nearest_centroid_language, None),
     "op10_bm25_top_k": (bm25_search.op10_bm25_top_k, None),
+    "op11_super_kmer_dedup": (substring_dedup.op11_super_kmer_dedup, substring_dedup.OP11_SQL),
+    "op12_centroid_clustering": (centroid_clustering.op12_centroid_clustering, centroid_clustering.OP12_SQL),
+    "op13_turn_repair": (turn_repair.op13_turn_repair, None),
 }
 
 
