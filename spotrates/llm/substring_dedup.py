@@ -45,9 +45,10 @@ from .words import mixed, slices
 
 WINDOW, PART = 13, 3
 RUN = 16                   # windows a super-k-mer may have at most: one bit each
-CHARS = 4_000_000          # of text, cut at a time
+CHARS = 2_000_000          # of text, cut at a time
 FLUSH = 8_000_000          # of text, packed at a time
-BUCKET_CHARS = 10_000_000  # of text a bucket (its super-k-mers have about three times as much)
+BUCKET_CHARS = 3_000_000   # of text a bucket (its super-k-mers have about three times as much)
+TASK_CHARS = 32_000_000    # of text a task, which takes its buckets one by one
 HOT = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -67,10 +68,16 @@ def unpack(block: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([8 + 8 * count, *ends[:-1].tolist()], ends.tolist())]
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, out=out)
+    """Powers 0 to n of ``base``, kept for the next lines of this task."""
+    if len(_known.get(base, ())) <= n:
+        out = np.full(max(n, CHARS) + 1, base, np.uint64)
+        out[0] = 1
+        _known[base] = np.cumprod(out, out=out)
+    return _known[base][: n + 1]
 
 
 class Lines:
@@ -85,10 +92,12 @@ class Lines:
         last = c[self.end] == 10
         self.line = np.cumsum(last) - last
         self.n_words = np.bincount(self.line) if len(self.line) else np.zeros(0, np.int64)
-        power = _powers(_BASE, len(c))
         self._inverse = _powers(_INVERSE, len(c))
         self._sums = np.zeros(len(c) + 1, np.uint64)
-        np.cumsum((c.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self._sums[1:])
+        part = c.astype(np.uint64)
+        part += np.uint64(1)
+        part *= _powers(_BASE, len(c))[:-1]
+        np.cumsum(part, out=self._sums[1:])
         n = max(len(self.start) - window + 1, 0)
         self.first = np.flatnonzero(self.line[:n] == self.line[window - 1: window - 1 + n])   # first words of windows
         self.window = window
@@ -231,13 +240,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, hot
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, chars // bucket_chars + 1)
+    tasks = min(buckets, max(8, chars // TASK_CHARS + 1))
     share = docs.sparkSession.sparkContext.broadcast(hot_minimisers(texts, chars, hot, part, window))
 
     def to_buckets(batches):
-        def flush(runs_of, ids_of):
-            keys = np.concatenate([r.key for r in runs_of])
-            owners = np.concatenate(ids_of)
-            strings = [s for r in runs_of for s in r.strings()]
+        def flush(keys_of, ids_of, strings):
+            keys, owners = np.concatenate(keys_of), np.concatenate(ids_of)
             order, groups = _split(_bucket(keys, buckets).astype(np.int64))
             order = order.tolist()
             where, blocks = [], []
@@ -252,20 +260,21 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, hot
             return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blocks, pa.binary())],
                                               names=["bucket", "block"])
 
-        runs_of, ids_of, size = [], [], 0
+        keys_of, ids_of, strings, size = [], [], [], 0
         for ids, found in _blocks(batches, CHARS):
             rows = _with_words(ids, found)
             if not rows:
                 continue
             runs = SuperKmers(Lines(b"\n".join(t for _, t in rows) + b"\n", window), share.value, part)
-            runs_of.append(runs)
+            keys_of.append(runs.key)
             ids_of.append(np.array([i for i, _ in rows], np.int64)[runs.line])
+            strings += runs.strings()
             size += len(runs.lines.text)
             if size >= FLUSH:
-                yield flush(runs_of, ids_of)
-                runs_of, ids_of, size = [], [], 0
-        if runs_of:
-            yield flush(runs_of, ids_of)
+                yield flush(keys_of, ids_of, strings)
+                keys_of, ids_of, strings, size = [], [], [], 0
+        if keys_of:
+            yield flush(keys_of, ids_of, strings)
 
     def tell_owners(batches):
         def told(blocks):
@@ -352,9 +361,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, hot
                                     np.frombuffer(bits, np.uint16).tolist()))
 
     kind_of_row = "bucket int, kind int, block binary"
-    told = texts.mapInArrow(to_buckets, "bucket int, block binary").repartition(buckets, "bucket") \
+    told = texts.mapInArrow(to_buckets, "bucket int, block binary").repartition(tasks, "bucket") \
         .sortWithinPartitions("bucket").mapInArrow(tell_owners, kind_of_row)
-    return told.unionByName(texts.mapInArrow(by_document, kind_of_row)).repartition(buckets, "bucket") \
+    return told.unionByName(texts.mapInArrow(by_document, kind_of_row)).repartition(tasks, "bucket") \
         .sortWithinPartitions("bucket", "kind").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
