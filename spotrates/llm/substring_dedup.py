@@ -35,20 +35,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import mixed, slices
+from .words import mixed
 
 WINDOW, PART = 13, 3
 RUN = 16                   # windows a super-k-mer may have at most: one bit each
 CHARS = 2_000_000          # of text, cut at a time
-FLUSH = 8_000_000          # of text, packed at a time
+FLUSH = 6_000_000          # of text, packed at a time
 BUCKET_CHARS = 3_000_000   # of text a bucket (its super-k-mers have about three times as much)
-TASK_CHARS = 32_000_000    # of text a task, which takes its buckets one by one
+TASK_CHARS = 16_000_000    # of text a task, which takes its buckets one by one
 HOT = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -164,10 +165,14 @@ def normal(text: bytes | None) -> bytes:
 def _blocks(batches, chars: int):
     """(ids, texts) of about ``chars`` characters; texts are normal forms."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        texts = batch.column("text").cast(pa.binary())
         ids = batch.column("doc_id").to_pylist()
-        for i, j in slices(texts, chars):
-            yield ids[i:j], [normal(t) for t in texts[i:j]]
+        sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+        i = 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + chars, side="right")) - 1)
+            yield ids[i:j], [normal(t.as_py()) for t in texts[i:j]]
+            i = j
 
 
 def _with_words(ids, texts):
@@ -297,7 +302,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, hot
 
         bucket, blocks = None, []
         for batch in batches:
-            for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            for b, block in zip(batch.column("bucket").to_pylist(), (v.as_py() for v in batch.column("block"))):
                 if b != bucket and blocks:
                     yield told(blocks)
                     blocks = []
@@ -350,7 +355,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, hot
 
         bucket, owns = None, {}
         for batch in batches:
-            for b, kind, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block"))):
+            for b, kind, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind")), (v.as_py() for v in batch.column("block"))):
                 if b != bucket:
                     bucket, owns = b, {}
                 if kind:
