@@ -78,11 +78,14 @@ REGISTRY = {
     "m9_ordinal_codes": (EC.ordinal_codes, O.ORDINAL_CODES),
     "m10_onehot_table": (EC.onehot_table, O.ONEHOT_TABLE),
     "m11_scaled_columns": (EC.scaled_columns, O.SCALED_COLUMNS),
-    # Learned families: Spark ML fits, no SQL oracle (rows-only check + pytest).
-    "m4_m8_m10_m11_ridge_backtest": (A.ridge_backtest, None),
-    "m5_m9_hgb_backtest": (A.hgb_backtest, None),
-    "m6_extra_trees_backtest": (A.extra_trees_backtest, None),
-    "m7_random_forest_backtest": (A.random_forest_backtest, None),
+    # Learned families: SQL has their rows, subgroups and floors.
+    "m4_m8_m10_m11_ridge_backtest": (A.ridge_backtest, O.learned_backtest_sql("ridge_log_full_abs_weight")),
+    "m5_m9_hgb_backtest": (A.hgb_backtest, O.learned_backtest_sql("hgb_mae_full_abs_weight")),
+    "m6_extra_trees_backtest": (A.extra_trees_backtest, O.learned_backtest_sql("extra_trees_full_abs_weight")),
+    "m7_random_forest_backtest": (A.random_forest_backtest, O.learned_backtest_sql("random_forest_full_abs_weight")),
+    "s11_e4_reloaded_linear_models": (A.reloaded_linear_models, O.reloaded_sql(
+        ["global_median", "distance_linear", "equipment_rpm", "ridge"])),
+    "s11_e4_reloaded_tree_models": (A.reloaded_tree_models, O.reloaded_sql(["hgb", "extra_trees", "random_forest"])),
     "m17_final_ridge_predictions": (A.final_ridge_predictions, None),
     "m18_scenario_ridge_predictions": (A.scenario_ridge_predictions, None),
 }

@@ -23,21 +23,23 @@ MISSING_CODE = -2.0         # ordinal code of a missing category
 
 
 def fit_imputer(train: DataFrame, numeric: list[str], exact: bool = True,
-                 rows: DataFrame | None = None) -> DataFrame:
+                 rows: DataFrame | None = None, every: bool = False) -> DataFrame:
     """M8: median per (fold, column) of the train rows; one row per fold.
 
     A median is only ever used where a value is missing, so it is computed
     only for (fold, column) pairs that have a missing value in ``rows`` (all
     rows the imputer will be applied to; default: ``train``). One cheap
     null-count pass decides; the exact medians come from one batched
-    quantile job. Pairs without missing values carry NULL (never read).
+    quantile job. Pairs without missing values carry NULL (never read), unless
+    ``every`` asks for all, for a model that will meet other rows.
     """
     rows = rows if rows is not None else train
     nulls = rows.groupBy(FOLD).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric])
     need = nulls.unpivot([FOLD], numeric, "column", "missing").where(F.col("missing") > 0).select(FOLD, "column")
     long = train.select(FOLD, *[F.col(c).cast("double").alias(c) for c in numeric]) \
         .unpivot([FOLD], numeric, "column", "value")
-    long = long.join(F.broadcast(need), [FOLD, "column"], "left_semi")   # <= folds x columns rows
+    if not every:
+        long = long.join(F.broadcast(need), [FOLD, "column"], "left_semi")   # <= folds x columns rows
     med = grouped_quantiles(long, [FOLD, "column"], "value", {"median": 0.5}, exact=exact)
     folds = rows.select(FOLD).distinct()
     wide = folds.join(med.groupBy(FOLD).pivot("column", numeric).agg(F.first("median")), FOLD, "left")

@@ -1,21 +1,19 @@
-"""Learned model families on Spark ML: M4 ridge (log target), M5 absolute-error
-boosting, M6 extra-trees-like forest, M7 random forest; M12 log wrapper,
-M13 floor. Each ``fit_predict_*`` fits on the train rows of ONE fold and
-returns predictions for all rows passed in ``rows``.
-"""
+"""M4 ridge on Spark ML (with M12, the log target), one fold at a time, and the tree
+families (M5-M7, see ``boosting`` and ``forests``) of all folds at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .quantiles import grouped_quantiles, quantiles
+from . import boosting, forests, tree_blocks
+from .boosting import BoostParams
+from .forests import EXTRA_TREES, RANDOM_FOREST, ForestParams
 
 Y = "posted_rate"
 
@@ -25,48 +23,13 @@ class RidgeParams:
     alpha: float = 20.0
 
 
-@dataclass(frozen=True)
-class BoostParams:
-    """Absolute-error gradient boosting with the published settings. Spark's trees
-    are bounded by depth, so 31 leaves become depth 5 (at most 32), and leaf
-    values are medians, to which the published l2 term doesn't apply."""
-    rounds: int = 140
-    learning_rate: float = 0.06
-    max_depth: int = 5
-    min_leaf: int = 20
-    max_bins: int = 255
-    hold_out: float = 0.1            # the last dates of the train side, for early stopping
-    patience: int = 10               # rounds without a better hold-out error
-    checkpoint_every: int = 10
-    seed: int = 42
-
-
-@dataclass(frozen=True)
-class ForestParams:
-    """Published tree counts, leaf sizes and feature share; depth up to Spark's own
-    limit. Category codes beyond ``max_bins`` share bins."""
-    trees: int = 90
-    min_leaf: int = 3
-    feature_fraction: str = "0.75"
-    bootstrap: bool = False
-    max_depth: int = 30
-    max_bins: int = 255
-    memory_mb: int = 1024            # for the nodes that one pass grows
-    seed: int = 42
-
-
-EXTRA_TREES = ForestParams()
-RANDOM_FOREST = ForestParams(trees=80, min_leaf=4, bootstrap=True)
-
-
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def fit_predict_ridge(train: DataFrame, rows: DataFrame, numeric: list[str], onehot: list[str],
-                      params: RidgeParams = RidgeParams(), log_target: bool = True,
-                      model_dir: str | None = None, solver: str = "auto") -> DataFrame:
-    """M4: standardized numerics + one-hot categories -> ridge on log1p(y).
+def fit_ridge(train: DataFrame, numeric: list[str], onehot: list[str], params: RidgeParams = RidgeParams(),
+              log_target: bool = True, solver: str = "auto"):
+    """M4: standardized numerics + one-hot categories -> ridge on log1p(y); ``(encoder, model)``.
 
     scikit-learn's ``||y - Xw||^2 + alpha ||w||^2`` equals Spark's scaled objective
     with ``regParam = alpha * std(y) / n`` and ``standardization=False``.
@@ -82,79 +45,69 @@ def fit_predict_ridge(train: DataFrame, rows: DataFrame, numeric: list[str], one
     cols = numeric + [c + "_vec" for c in onehot]
     lr = LinearRegression(featuresCol="features", labelCol="_t", regParam=reg, elasticNetParam=0.0,
                           standardization=False, fitIntercept=True, solver=solver, maxIter=1000, tol=1e-10)
-    model = lr.fit(assemble(enc.transform(tr), cols))
-    if model_dir:                                  # S11
-        enc.write().overwrite().save(f"{model_dir}/onehot")
-        model.write().overwrite().save(f"{model_dir}/ridge")
-    pred = model.transform(assemble(enc.transform(rows), cols))
-    raw = F.expm1(F.col("prediction")) if log_target else F.col("prediction")
-    return pred.withColumn("raw_prediction", raw).drop("features", "prediction", *[c + "_vec" for c in onehot])
+    return enc, lr.fit(assemble(enc.transform(tr), cols))
 
 
-def fit_predict_forest(train: DataFrame, rows: DataFrame, cols: list[str], params: ForestParams,
-                       log_target: bool = False, model_dir: str | None = None) -> DataFrame:
-    """M6/M7: random forest regressor on imputed numerics + ordinal codes."""
-    target = F.log1p(F.col(Y)) if log_target else F.col(Y)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="_t", numTrees=params.trees,
-                               minInstancesPerNode=params.min_leaf, featureSubsetStrategy=params.feature_fraction,
-                               bootstrap=params.bootstrap, maxDepth=params.max_depth, maxBins=params.max_bins,
-                               maxMemoryInMB=params.memory_mb, seed=params.seed, subsamplingRate=1.0)
-    model = rf.fit(assemble(train.withColumn("_t", target), cols))
-    if model_dir:                                  # S11
-        model.write().overwrite().save(f"{model_dir}/forest")
-    pred = model.transform(assemble(rows, cols))
+def predict_ridge(enc, model, rows: DataFrame, numeric: list[str], onehot: list[str], log_target: bool) -> DataFrame:
+    cols = numeric + [c + "_vec" for c in onehot]
+    pred = model.transform(assemble(enc.transform(rows), cols))
     raw = F.expm1(F.col("prediction")) if log_target else F.col("prediction")
-    return pred.withColumn("raw_prediction", raw).drop("features", "prediction")
-
+    return pred.withColumn("raw_prediction", raw).drop("features", "prediction", *[c + "_vec" for c in onehot])
 
-def fit_predict_boost(train_rows: DataFrame, cols: list[str], params: BoostParams = BoostParams(),
-                      key: str = "load_id", model_dir: str | None = None) -> DataFrame:
-    """M5: boosting for absolute error, one fold.
 
-    ``train_rows`` holds train AND scored rows with a ``side`` column; only
-    ``side = 'train'`` rows fit, and of these the last dates (``hold_out`` of the
-    rows) only decide when to stop. Start at the train median; each round fits a
-    regression tree to ``sign(y - p)`` and moves every leaf by the learning rate
-    times the MEDIAN residual of its train rows (leaf refit, as for the absolute
-    loss). Predictions of all rows advance in the same pass, which also gives the
-    hold-out error; rounds after the best one are taken back.
-    """
-    train = F.col("side") == "train"
-    cut = quantiles(train_rows.where(train).select(F.unix_date("date").cast("double").alias("_d")), "_d",
-                    {"_cut": 1 - params.hold_out})
-    held = train & (F.unix_date("date") > F.col("_cut"))
-    base = assemble(train_rows.crossJoin(F.broadcast(cut)), cols).select(
-        key, "side", F.col(Y).cast("double").alias("_y"), "features",
-        F.when(held, "held").when(train, "fit").otherwise("score").alias("_use"))
-    m0 = quantiles(base.where(F.col("_use") == "fit"), "_y", {"_p0": 0.5})
-    if model_dir:
-        m0.write.mode("overwrite").parquet(f"{model_dir}/initial")
-    cur = base.crossJoin(F.broadcast(m0)).withColumnRenamed("_p0", "_p").withColumn("_best", F.col("_p"))
-    cur = cut_lineage(cur)
-    error = F.avg(F.when(F.col("_use") == "held", F.abs(F.col("_y") - F.col("_p"))))
-    n_train, best = cur.agg(F.count_if(F.col("_use") == "fit"), error).first()   # n bounds every leaf group
-    best_round = 0
-    tree = DecisionTreeRegressor(featuresCol="features", labelCol="_g", leafCol="_leaf", maxDepth=params.max_depth,
-                                 minInstancesPerNode=params.min_leaf, maxBins=params.max_bins, seed=params.seed)
-    for r in range(params.rounds):
-        tr = cur.where(F.col("_use") == "fit").withColumn("_g", F.signum(F.col("_y") - F.col("_p")))
-        model = tree.fit(tr)
-        leaves = model.transform(cur).drop("prediction")
-        med = grouped_quantiles(leaves.where(F.col("_use") == "fit"), ["_leaf"], F.col("_y") - F.col("_p"),
-                                {"_m": 0.5}, max_group_rows=n_train)
-        if model_dir:                              # S11: tree + leaf values of each round
-            model.write().overwrite().save(f"{model_dir}/round_{r:03d}/tree")
-            med.write.mode("overwrite").parquet(f"{model_dir}/round_{r:03d}/leaf_values")
-        nxt = (leaves.join(F.broadcast(med), "_leaf", "left")
-               .withColumn("_p", F.col("_p") + F.lit(params.learning_rate) * F.coalesce(F.col("_m"), F.lit(0.0)))
-               .select(key, "side", "_y", "features", "_use", "_p", "_best"))
-        nxt = cut_lineage(nxt) if (r + 1) % params.checkpoint_every == 0 else nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        now = nxt.agg(error).first()[0]            # materialises the round
-        cur.unpersist()
-        if best is None or now is None or now < best * (1 - 1e-7):
-            best, best_round = now, r + 1
-            nxt = nxt.withColumn("_best", F.col("_p"))
-        cur = nxt
-        if r + 1 - best_round >= params.patience:
-            break
-    return cur.select(key, "side", F.col("_best").alias("raw_prediction"))
+def fit_predict_ridge(train: DataFrame, rows: DataFrame, numeric: list[str], onehot: list[str],
+                      params: RidgeParams = RidgeParams(), log_target: bool = True, solver: str = "auto") -> DataFrame:
+    enc, model = fit_ridge(train, numeric, onehot, params, log_target, solver)
+    return predict_ridge(enc, model, rows, numeric, onehot, log_target)
+
+
+# -- tree families: all folds of ``x`` at once ---------------------------------------------
+def tree_params(family: str, boost: BoostParams | None = None, forest: dict | None = None):
+    if family == "hgb":
+        return boost or BoostParams()
+    if family not in ("extra_trees", "random_forest"):
+        raise ValueError(f"Unknown family: {family}")
+    return (forest or {}).get(family) or (EXTRA_TREES if family == "extra_trees" else RANDOM_FOREST)
+
+
+def _on_target(x: DataFrame, log_target: bool) -> DataFrame:
+    return x.withColumn(Y, F.log1p(F.col(Y))) if log_target else x
+
+
+def _raw(scores: DataFrame, value, log_target: bool) -> DataFrame:
+    value = F.expm1(value) if log_target else value
+    return scores.select("fold_id", F.col("id").alias("load_id"), value.alias("raw_prediction"))
+
+
+def fit_predict_trees(x: DataFrame, cols: list[str], params, log_target: bool = False) -> DataFrame:
+    """``(fold_id, load_id, raw_prediction)`` of the valid side, fitted on the train side."""
+    x = _on_target(x, log_target)
+    if isinstance(params, BoostParams) or params.binned:
+        edges = tree_blocks.bin_edges(x.filter("side = 'train'"), cols)
+        blocks = tree_blocks.pack(x, cols, edges=edges)
+    else:
+        blocks = tree_blocks.pack(x, cols)
+    if isinstance(params, BoostParams):
+        model = boosting.fit_boost(x, blocks, len(cols), params)
+        return _raw(boosting.predict_boost(model, blocks, len(cols)), F.col("raw_prediction"), log_target)
+    _, scores = forests.fit_forest(blocks, len(cols), params, keep_trees=False)
+    return _raw(scores, F.col("total") / F.lit(params.trees), log_target)
+
+
+def fit_trees(x: DataFrame, cols: list[str], params, log_target: bool = False):
+    """``(trees, edges)`` of the train rows ``x``; ``edges`` is None for raw columns."""
+    x, edges = _on_target(x, log_target), None
+    if isinstance(params, BoostParams) or params.binned:
+        edges = tree_blocks.bin_edges(x, cols)
+    blocks = tree_blocks.pack(x, cols, edges=edges)
+    if isinstance(params, BoostParams):
+        return boosting.fit_boost(x, blocks, len(cols), params), edges
+    return forests.fit_forest(blocks, len(cols), params)[0], edges
+
+
+def predict_trees(trees: DataFrame, edges, x: DataFrame, cols: list[str], family: str, n_trees: int, log_target: bool = False) -> DataFrame:
+    blocks = tree_blocks.pack(x, cols, edges=edges)
+    if family == "hgb":
+        return _raw(boosting.predict_boost(trees, blocks, len(cols)), F.col("raw_prediction"), log_target)
+    dtype = np.float32 if edges is None else np.uint8
+    return _raw(forests.predict_forest(trees, blocks, len(cols), dtype), F.col("total") / F.lit(n_trees), log_target)

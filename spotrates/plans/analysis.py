@@ -6,7 +6,7 @@ DataFrame; they are the bodies of the registered queries.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -373,51 +373,72 @@ def scenario_report_table(spark, sf_dir):
     return R6(M.mean_mae_top(res, 5).withColumnRenamed("mean_mae", "mean_temporal_mae"))
 
 
-# -- learned families (rows-only checks) -----------------------------------------------
-# Settings of the registered back-tests: Spark ML needs about ten jobs a tree, so 140
-# rounds of five folds or trees of depth 30 take tens of minutes even on small tables.
-# The library's own defaults are the published ones (see README).
-QUERY_BOOST = {"rounds": 30, "learning_rate": 0.2}
-QUERY_FOREST = {"max_depth": 10}
-
-
-def _query_settings():
-    from ..operators import learners as LN
-    return {"boost": LN.BoostParams(**QUERY_BOOST),
-            "forest_params": {"extra_trees": replace(LN.EXTRA_TREES, **QUERY_FOREST),
-                              "random_forest": replace(LN.RANDOM_FOREST, **QUERY_FOREST)}}
-
-
-def _learned(spark, sf_dir, family, catalog=None):
+# -- learned families, at the published settings -----------------------------------------
+def _learned(spark, sf_dir, spec):
+    """Per fold what SQL can tell of a learned back-test: rows and subgroup rows, the floor, that no
+    prediction is below it, and that the model's MAE is below the global median's."""
     from .backtest import learned_backtest
     lab, _ = tables(spark, sf_dir)
-    spec = [s for s in (catalog or S.full_candidate_specs()) if s.family == family][:1]
-    r = learned_backtest(lab, spec, **_query_settings())
-    return R6(r.results.select("model", "fold", "n", "mae", "rmse", "r2", "median_ae", "wape",
-                               "seen_route_mae", "seen_route_rows", "unseen_route_mae", "unseen_route_rows",
-                               "normal_target_mae", "normal_target_rows", "extreme_target_mae",
-                               "extreme_target_rows"))
+    r = learned_backtest(lab, [spec])
+    low = r.predictions.groupBy("fold_id", "floor").agg(F.min("predicted_rate").alias("_low"))
+    medians = baseline_backtest(lab, [s for s in S.full_candidate_specs() if s.family == "global_median"]).results \
+        .select("fold_id", F.col("mae").alias("_median_mae"))
+    return r.results.join(low, "fold_id").join(medians, "fold_id").select(
+        "model", "fold", "n", "seen_route_rows", "unseen_route_rows", "normal_target_rows", "extreme_target_rows",
+        F.round("floor", 6).alias("floor"), (F.col("_low") >= F.col("floor")).alias("at_least_floor"),
+        (F.col("mae") < F.col("_median_mae")).alias("beats_median"))
+
+
+def _spec(family):
+    return next(s for s in S.full_candidate_specs() if s.family == family)
 
 
 def ridge_backtest(spark, sf_dir):
-    return _learned(spark, sf_dir, "ridge")
+    return _learned(spark, sf_dir, _spec("ridge"))
 
 
 def hgb_backtest(spark, sf_dir):
-    return _learned(spark, sf_dir, "hgb")
+    return _learned(spark, sf_dir, _spec("hgb"))
 
 
 def extra_trees_backtest(spark, sf_dir):
-    return _learned(spark, sf_dir, "extra_trees")
+    return _learned(spark, sf_dir, _spec("extra_trees"))
 
 
 def random_forest_backtest(spark, sf_dir):
     """M7: the random-forest family (implemented, in no published catalog)."""
-    from .backtest import learned_backtest
-    lab, _ = tables(spark, sf_dir)
-    spec = S.CandidateSpec("random_forest_full_abs_weight", "random_forest", True, "abs", False)
-    r = learned_backtest(lab, [spec], **_query_settings())
-    return R6(r.results.select("model", "fold", "n", "mae", "rmse", "r2", "median_ae", "wape"))
+    return _learned(spark, sf_dir, S.CandidateSpec("random_forest_full_abs_weight", "random_forest", True, "abs", False))
+
+
+def _reloaded(spark, sf_dir, families):
+    """A model of each family is saved, loaded and applied to the scoring table; its
+    predictions against those of the model that was saved."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from .fitted import RateEstimator, RateModel
+    lab, sco = tables(spark, sf_dir)
+    parts = []
+    for family in families:
+        spec = S.CandidateSpec(family, family, True, "abs", family == "ridge")
+        model = RateEstimator(spec).fit(lab)
+        path = f"{ensure_checkpoint_dir(spark)}/model-{family}-{uuid.uuid4().hex}"
+        model.write().save(path)
+        one = model.transform(sco).select("load_id", "predicted_rate")
+        two = RateModel.load(path).transform(sco).select("load_id", F.col("predicted_rate").alias("_two"))
+        parts.append(one.join(two, "load_id", "full").agg(
+            F.lit(family).alias("family"), F.count(F.lit(1)).alias("n"),
+            F.count_if(~F.col("predicted_rate").eqNullSafe(F.col("_two"))).alias("different"),
+            F.count_if(F.col("predicted_rate") > 0).alias("positive")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reloaded_linear_models(spark, sf_dir):
+    return _reloaded(spark, sf_dir, [*S.BASELINE_FAMILIES, "ridge"])
+
+
+def reloaded_tree_models(spark, sf_dir):
+    return _reloaded(spark, sf_dir, ["hgb", "extra_trees", "random_forest"])
 
 
 def final_ridge_predictions(spark, sf_dir):

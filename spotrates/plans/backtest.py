@@ -1,8 +1,9 @@
 """M15 back-test: candidates x expanding folds -> per-fold metrics + fold predictions.
 
 Baseline families (M1-M3) of all folds run as one set of grouped jobs. Learned
-families (M4-M7) fit one Spark ML model per fold, on the fold-tagged feature
-table that is built once per feature setting and shared by the candidates.
+families (M4-M7) are fitted on the fold-tagged feature table that is built once per
+feature setting and shared by the candidates: trees for all folds at once, ridge
+per fold.
 """
 
 from __future__ import annotations
@@ -121,47 +122,29 @@ def _encoded(feats: DataFrame, family: str, numeric: list[str], cats: list[str])
     return EN.apply_ordinal(x, codes, cats), None, None
 
 
-def _fit_one_fold(spec: S.CandidateSpec, x: DataFrame, fold_id: int, numeric, cats, onehot_table, levels,
-                  boost, forest_params, model_dir: str | None = None):
+def _ridge_fold(spec: S.CandidateSpec, x: DataFrame, fold_id: int, numeric, cats, levels):
     from ..operators import encoders as EN
     from ..operators import learners as LN
     rows = x.where(F.col("fold_id") == fold_id)
     t0 = time.perf_counter()
-    if spec.family == "ridge":
-        lv = {c: levels[(fold_id, c)] for c in cats}
-        rows = EN.with_onehot_metadata(rows, cats, lv)
-        pred = LN.fit_predict_ridge(rows.where(F.col("side") == "train"), rows.where(F.col("side") == "valid"),
-                                    numeric, [c + "_oh" for c in cats], log_target=spec.log_target,
-                                    model_dir=model_dir)
-    elif spec.family == "hgb":
-        cols = numeric + [c + "_code" for c in cats]
-        pred = LN.fit_predict_boost(rows, cols, boost, model_dir=model_dir).where(F.col("side") == "valid") \
-            .join(rows.where(F.col("side") == "valid").drop("side"), "load_id")
-    elif spec.family in ("extra_trees", "random_forest"):
-        cols = numeric + [c + "_code" for c in cats]
-        params = forest_params.get(spec.family) or (LN.EXTRA_TREES if spec.family == "extra_trees"
-                                                    else LN.RANDOM_FOREST)
-        pred = LN.fit_predict_forest(rows.where(F.col("side") == "train"), rows.where(F.col("side") == "valid"),
-                                     cols, params, log_target=spec.log_target, model_dir=model_dir)
-    else:
-        raise ValueError(f"Unknown family: {spec.family}")
-    fit_s = time.perf_counter() - t0
+    rows = EN.with_onehot_metadata(rows, cats, {c: levels[(fold_id, c)] for c in cats})
+    onehot = [c + "_oh" for c in cats]
+    enc, model = LN.fit_ridge(rows.where(F.col("side") == "train"), numeric, onehot, log_target=spec.log_target)
     t1 = time.perf_counter()
-    out = pred.select("fold_id", "fold", "load_id", "date", "posted_rate", "route", "equipment", "distance",
-                      "pickup", "delivery", "raw_prediction")
-    out = cut_lineage(out)
-    return out, fit_s, time.perf_counter() - t1
+    out = LN.predict_ridge(enc, model, rows.where(F.col("side") == "valid"), numeric, onehot, spec.log_target)
+    return cut_lineage(out.select(*VALID_COLUMNS, "raw_prediction")), t1 - t0, time.perf_counter() - t1
+
+
+VALID_COLUMNS = ["fold_id", "fold", "load_id", "date", "posted_rate", "route", "equipment", "distance", "pickup", "delivery"]
 
 
 def learned_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=None, boost=None,
                      forest_params: dict | None = None, threads: int = 5) -> BacktestResult:
-    """M15 for M4-M7: one Spark ML fit per (candidate, fold); folds fitted concurrently
-    from driver threads (Spark schedules their jobs side by side)."""
+    """M15 for M4-M7. Trees of all folds grow in the same jobs (their time is shared evenly among
+    the folds); ridge is one Spark ML fit per fold, concurrently from driver threads."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from ..operators.learners import BoostParams
-    boost = boost or BoostParams()
-    forest_params = forest_params or {}
+    from ..operators import learners as LN
     spark = labeled.sparkSession
     fold_rows = folds or S.FOLDS
     specs = [s for s in specs if s.family in LEARNED]
@@ -182,18 +165,24 @@ def learned_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=Non
         cats = list(S.CATEGORICAL)
         x, table, levels = _encoded(feats, spec.family, numeric, cats)
         x = cut_lineage(x)
-        # Forest fits aggregate large split histograms: fewer of them side by side.
-        width = threads if spec.family in ("ridge", "hgb") else min(threads, 2)
-        with ThreadPoolExecutor(max_workers=max(1, min(width, len(fold_rows)))) as pool:
-            futs = [pool.submit(_fit_one_fold, spec, x, f[0], numeric, cats, table, levels, boost, forest_params)
-                    for f in fold_rows]
+        if spec.family != "ridge":
+            t0 = time.perf_counter()
+            raw = cut_lineage(LN.fit_predict_trees(x, numeric + [c + "_code" for c in cats],
+                                                   LN.tree_params(spec.family, boost, forest_params), spec.log_target))
+            spent = (time.perf_counter() - t0) / len(fold_rows)
+            out = x.where(F.col("side") == "valid").select(*VALID_COLUMNS).join(raw, ["fold_id", "load_id"])
+            preds.append(out.withColumn("model", F.lit(spec.name)))
+            timing += [(spec.name, f[0], spent, 0.0) for f in fold_rows]
+            continue
+        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(fold_rows)))) as pool:
+            futs = [pool.submit(_ridge_fold, spec, x, f[0], numeric, cats, levels) for f in fold_rows]
             for f, fut in zip(fold_rows, futs):
                 out, fit_s, pred_s = fut.result()
                 preds.append(out.withColumn("model", F.lit(spec.name)))
                 timing.append((spec.name, f[0], fit_s, pred_s))
     pred = reduce(DataFrame.unionByName, preds)
     pred = pred.join(F.broadcast(stats.select("fold_id", "floor")), "fold_id") \
-        .withColumn("predicted_rate", X.prediction_safety("raw_prediction", "floor")).drop("floor", "raw_prediction")
+        .withColumn("predicted_rate", X.prediction_safety("raw_prediction", "floor")).drop("raw_prediction")
     pred = cut_lineage(pred)
     res = evaluate(pred, train_side, stats)
     tim = spark.createDataFrame(timing, "model string, fold_id int, fit_seconds double, predict_seconds double")

@@ -7,58 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expr as X
-from ..operators import baselines as B
 from ..operators import profile as PR
-from ..operators.features import fit_stats, stateless_features, transform
-from ..session import cut_lineage
-from .backtest import _encoded, _fit_one_fold
+from .fitted import RateEstimator
 
-FOLD = "fold_id"
 DESCRIBE_PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def final_predictions(labeled: DataFrame, rows: DataFrame, spec: S.CandidateSpec, boost=None,
                       forest_params: dict | None = None, model_dir: str | None = None) -> DataFrame:
-    """Fit ``spec`` on ALL labeled rows and predict ``rows`` (load_id or scenario rows).
+    """Fit ``spec`` on ALL labeled rows and predict ``rows`` (load_id or scenario rows); the fitted
+    model is saved to ``model_dir`` if given (S11).
 
     Returns ``rows`` columns + ``predicted_rate`` (floored with the labeled target).
     """
-    key = "load_id" if "load_id" in rows.columns else "_rid"
-    # Rows without an id get a generated one. Generated ids are only stable
-    # within one computation, so the keyed rows are materialised once.
-    scored = rows if key == "load_id" else cut_lineage(rows.withColumn("_rid", F.monotonically_increasing_id()))
-    train = labeled.withColumn(FOLD, F.lit(0)).withColumn("side", F.lit("train"))
-    if spec.family in S.BASELINE_FAMILIES:
-        fitted = B.fit_baselines(train.select(FOLD, "equipment", "distance", "posted_rate"))
-        if model_dir:                                  # S11: the fitted tables are the model
-            fitted.fold_stats.write.mode("overwrite").parquet(f"{model_dir}/fold_stats")
-            fitted.rpm.write.mode("overwrite").parquet(f"{model_dir}/equipment_rpm")
-        pred = B.predict_baselines(scored.withColumn(FOLD, F.lit(0)), fitted, [(spec.name, spec.family)])
-        return pred.drop(FOLD, "model")
-    from ..operators.learners import BoostParams
-    stats = B.target_stats(train.select(FOLD, "posted_rate"))
-    tr = stateless_features(train)
-    sc = stateless_features(scored.withColumn(FOLD, F.lit(0)).withColumn("side", F.lit("valid"))
-                            .withColumn("posted_rate", F.lit(None).cast("double")))
-    st = fit_stats(tr, spec.negative_weight)
-    keep = [key, FOLD, "side", "date", "posted_rate"]
-    feats = transform(tr.unionByName(sc, allowMissingColumns=True), st, spec.include_market, keep=keep)
-    feats = feats.withColumn("fold", F.lit("final"))
-    if key != "load_id":
-        feats = feats.withColumnRenamed(key, "load_id")
-    feats = cut_lineage(feats)
-    numeric = S.numeric_features(spec.include_market)
-    cats = list(S.CATEGORICAL)
-    x, table, levels = _encoded(feats, spec.family, numeric, cats)
-    if model_dir:                                      # S11: fitted feature statistics
-        st.scalars.write.mode("overwrite").parquet(f"{model_dir}/feature_scalars")
-        st.route.write.mode("overwrite").parquet(f"{model_dir}/route_frequency")
-    out, _, _ = _fit_one_fold(spec, cut_lineage(x), 0, numeric, cats, table, levels, boost or BoostParams(),
-                              forest_params or {}, model_dir=model_dir)
-    out = out.join(F.broadcast(stats), FOLD).select(
-        F.col("load_id").alias(key), X.prediction_safety("raw_prediction", "floor").alias("predicted_rate"))
-    res = scored.join(out, key)
-    return res.drop("_rid") if key == "_rid" else res
+    model = RateEstimator(spec, boost, forest_params).fit(labeled)
+    if model_dir:
+        model.write().overwrite().save(model_dir)
+    return model.transform(rows)
 
 
 def merged_predictions(template: DataFrame, pred: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ def test_end_to_end_job_writes_every_output(spark, scratch):
     specs = S.full_candidate_specs()
     dec = S.scenario_candidate_specs()
     kw = {"boost": BoostParams(rounds=3, learning_rate=0.3),
-          "forest_params": {"extra_trees": ForestParams(trees=5, max_depth=5)}}
+          "forest_params": {"extra_trees": ForestParams(trees=5)}}
     sel = run(spark, SF_SMALL, out, specs, dec, learned_kw=kw)
     assert sel["full_model"] in {s.name for s in specs}
     assert sel["december_model"] in {s.name for s in dec}

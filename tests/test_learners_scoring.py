@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spotrates import schemas as S
 from spotrates.operators import contracts as V
-from spotrates.operators.learners import BoostParams, RidgeParams, fit_predict_ridge
+from spotrates.operators.learners import BoostParams, ForestParams
 from spotrates.plans.backtest import learned_backtest
 from spotrates.plans.scoring import final_predictions, merged_predictions, scenario_chart, scenario_predictions
 from spotrates.sources.loads import labeled_loads, prediction_template, scenario_template, scoring_loads
@@ -61,22 +61,47 @@ def test_scenario_scoring_contracts(spark):
     assert chart[0].shade_floor == pytest.approx(lo - max(10.0, 0.02 * lo))
 
 
-def test_models_persist_and_reload(spark, scratch):
-    """The final ridge fit writes Spark ML models that load back and score alike."""
-    import os
-    from pyspark.ml.regression import LinearRegressionModel
+FAMILIES = ["global_median", "distance_linear", "equipment_rpm", "ridge", "hgb", "extra_trees", "random_forest"]
+
+
+@pytest.mark.parametrize("family", FAMILIES)
+def test_saved_models_score_alike(spark, scratch, family):
+    """A loaded model gives the predictions of the model that was saved, on any rows."""
+    from spotrates.plans.fitted import RateEstimator, RateModel
     lab, sco = labeled_loads(spark, SF_SMALL), scoring_loads(spark, SF_SMALL)
+    spec = S.CandidateSpec(family, family, True, "missing", family == "ridge")
+    model = RateEstimator(spec, BoostParams(rounds=3), {f: ForestParams(trees=4, random_thresholds=f == "extra_trees")
+                                                       for f in FAMILIES[-2:]}).fit(lab)
+    model.write().save(f"{scratch}/m")
+    with pytest.raises(Exception):
+        model.write().save(f"{scratch}/m")                   # only with overwrite()
+    model.write().overwrite().save(f"{scratch}/m")
+    loaded = RateModel.load(f"{scratch}/m")
+    assert loaded.spec == spec
+    rows = sco.withColumn("market_index", F.when(F.col("distance") < 500, F.col("market_index"))) \
+        .withColumn("pickup", F.when(F.col("distance") > 400, F.col("pickup")).otherwise("NOWHERE"))
+    one, two = ({r.load_id: r.predicted_rate for r in m.transform(rows).collect()} for m in (model, loaded))
+    assert len(one) == sco.count() and one == two
+    assert loaded.transform(rows.limit(0)).count() == 0
+
+
+def test_reloaded_ridge_equals_the_spark_model(spark):
+    """The table of coefficients predicts what Spark's own model predicts."""
+    from spotrates.operators import encoders as EN, learners as LN
+    from spotrates.plans import fitted as FT
+    lab = labeled_loads(spark, SF_SMALL)
     spec = next(s for s in S.full_candidate_specs() if s.family == "ridge")
-    d = os.path.join(scratch, "model")
-    pred = final_predictions(lab, sco, spec, model_dir=d)
-    assert pred.count() == sco.count()
-    m = LinearRegressionModel.load(os.path.join(d, "ridge"))
-    assert m.numFeatures > 33
-    assert spark.read.parquet(os.path.join(d, "feature_scalars")).count() == 1
+    model = FT.RateEstimator(spec).fit(lab)
+    feats, _ = FT._features(lab, "train", None, spec)
+    numeric, cats, t = S.numeric_features(True), list(S.CATEGORICAL), model.tables
+    x = EN.apply_scaler(EN.apply_imputer(feats, t["medians"], numeric), t["scales"], numeric)
+    x = EN.with_onehot_metadata(EN.apply_onehot_index_all(x, t["onehot"], cats), cats, FT._levels(t["onehot"]))
+    want = LN.fit_predict_ridge(x, x, numeric, [c + "_oh" for c in cats]).select("load_id", "raw_prediction")
+    both = model._raw(lab).withColumnRenamed("raw_prediction", "mine").join(want, "load_id").collect()
+    assert len(both) == lab.count() and np.allclose([r.mine for r in both], [r.raw_prediction for r in both], rtol=1e-9)
 
 
 def test_unknown_family_raises(spark):
-    from spotrates.plans.backtest import _fit_one_fold
-    lab = labeled_loads(spark, SF_SMALL).withColumn("fold_id", F.lit(1))
+    from spotrates.plans.fitted import RateEstimator
     with pytest.raises(ValueError):
-        _fit_one_fold(S.CandidateSpec("x", "neural_net", True), lab, 1, [], [], None, None, BoostParams(), {})
+        RateEstimator(S.CandidateSpec("x", "neural_net", True)).fit(labeled_loads(spark, SF_SMALL))
