@@ -18,7 +18,7 @@ Learning (labels of whole documents -> labelled tokens):
    labels ask for fewer documents. If no word is, the ones with the largest ratio
    are. Their tokens in toxic documents are labelled toxic, all other tokens clean.
 3. The field is fitted by gradient ascent on its conditional likelihood over at
-   most about ``TRAIN_SEGMENTS`` segments; forward-backward gives the gradient.
+   most about ``TRAIN_SEGMENTS`` segments, in one task; forward-backward gives the gradient.
 4. A logistic curve from a document's marginals to its label is fitted on the
    sampled documents, weighted to the labels' shares before sampling.
 
@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
     bound = {m: 1_000_000 if n <= most[m] else 1_000_000 * most[m] // n for m, n in every.items()}
     chance = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000))
     known = known.filter(chance < F.when(F.col("toxic") == 1, bound.get(1, 0)).otherwise(bound.get(0, 0)))
-    sample = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+    # ``known`` now has about ``train_docs`` ids at most: sent to the texts, which stay where they are.
+    sample = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
                     .select("text", "toxic"), "toxicity-sample")
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(size) < 2:
@@ -293,13 +294,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
         return None
     share = {m: span if count.get(m, 0) <= half else span * half // count[m] for m in (0, 1)}
     chosen = rows.filter(F.pmod("key", F.lit(span)) < F.when(F.col("marked") == 1, share[1]).otherwise(share[0]))
-    got = chosen.orderBy("key").select("x", "y").toArrow()
-    y = got["y"].combine_chunks()
-    sizes = np.diff(y.offsets.to_numpy())
-    ids = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 3)
-    weights, bias, links = fit_field(ids, y.flatten().to_numpy().astype(float), sizes)
-    del got, y, ids
-    model = {"weights": weights, "bias": bias, "links": links}
+
+    def train(batches):
+        """The bounded sample's field, in one task; only its weights come back."""
+        parts = [(k, x, y) for batch in batches for k, x, y in zip(
+            batch.column("key").to_pylist(), (v.values.to_numpy() for v in batch.column("x")), (v.values.to_numpy() for v in batch.column("y")))]
+        parts.sort(key=lambda p: p[0])
+        weights, bias, links = fit_field(np.concatenate([x for _, x, _ in parts]).reshape(-1, 3),
+                                         np.concatenate([y for _, _, y in parts]).astype(float), np.array([len(y) for _, _, y in parts]))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias]), pa.array([links.tobytes()], pa.binary())],
+                                         names=["weights", "bias", "links"])
+
+    fitted = chosen.select("key", "x", "y").coalesce(1).mapInArrow(train, "weights binary, bias double, links binary").first()
+    model = {"weights": np.frombuffer(fitted["weights"], np.float32), "bias": fitted["bias"],
+             "links": np.frombuffer(fitted["links"]).reshape(2, 2)}
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def seen(batches):
@@ -309,7 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), batch.column("toxic")],
                                              names=["a", "b", "toxic"])
 
-    points = sample.mapInArrow(seen, "a double, b double, toxic int").orderBy("a", "b", "toxic").toArrow()
+    points = sample.mapInArrow(seen, "a double, b double, toxic int").toArrow().sort_by([("a", "ascending"), ("b", "ascending"), ("toxic", "ascending")])
+    shared.destroy()
     x = np.column_stack([points["a"].to_numpy(), points["b"].to_numpy(), np.ones(len(points))])
     y = points["toxic"].to_numpy().astype(float)
     drawn = {m: every[m] / size[m] for m in (0, 1)}
