@@ -30,21 +30,24 @@ def _fold_array(folds=None):
 
 
 def assign_folds(df: DataFrame, folds=None, date_col: str = "date") -> DataFrame:
-    """Each row x each fold it belongs to, with ``side`` train/valid.
+    """Each row x each fold and side it belongs to, ``side`` train/valid.
 
     A row is in the train side of every fold whose ``train_end`` is on or
     after its date, and in the valid side of every fold whose window covers
-    it. Expressed as a generator over the (fixed, tiny) fold list, so it is a
-    narrow per-row operation: no join, no shuffle, codegen stays intact.
+    it. A window that begins before its train side ends puts a row into both,
+    which V14 reports. Expressed as a generator over the (fixed, tiny) fold list,
+    so it is a narrow per-row operation: no join, no shuffle, codegen stays intact.
     """
     d = F.col(date_col)
-    hits = F.filter(_fold_array(folds), lambda f: (d <= f["train_end"]) | d.between(f["valid_start"], f["valid_end"]))
+
+    def side(name, covers):
+        return F.transform(F.filter(_fold_array(folds), covers), lambda f: F.struct(
+            f["fold_id"].alias(FOLD), f["fold"].alias("fold"), F.lit(name).alias("side")))
+
+    hits = F.concat(side("train", lambda f: d <= f["train_end"]),
+                    side("valid", lambda f: d.between(f["valid_start"], f["valid_end"])))
     out = df.withColumn("_f", F.explode(hits))
-    return out.select(
-        *[c for c in df.columns],
-        F.col("_f.fold_id").alias(FOLD), F.col("_f.fold").alias("fold"),
-        F.when(d <= F.col("_f.train_end"), F.lit("train")).otherwise(F.lit("valid")).alias("side"),
-    )
+    return out.select(*df.columns, F.col("_f.fold_id").alias(FOLD), F.col("_f.fold").alias("fold"), F.col("_f.side").alias("side"))
 
 
 def fold_manifest(labeled: DataFrame, folds=None) -> DataFrame:

@@ -437,7 +437,7 @@ def predict_forest(trees: DataFrame, blocks: DataFrame, columns: int, dtype=np.f
 
 def _trees_of(table) -> dict:
     out: dict = {}
-    for r in table.to_pylist():
+    for r in sorted(table.to_pylist(), key=lambda r: (r["fold_id"], r["tree"])):
         out.setdefault(r["fold_id"], []).append((np.array(r["feature"], np.int32), np.array(r["threshold"]), np.array(r["left"], np.int32),
                                                  np.array(r["right"], np.int32), np.array(r["value"])))
     return out

@@ -29,9 +29,8 @@ lab AS (SELECT {_LAB_COLS} FROM loads WHERE NOT is_score),
 sco AS (SELECT {_SCO_COLS} FROM loads WHERE is_score),
 folds(fold_id, fold, train_end, valid_start, valid_end) AS (VALUES
   {_FOLD_ROWS}),
-tagged AS (SELECT f.fold_id, f.fold, CASE WHEN l.date <= f.train_end THEN 'train' ELSE 'valid' END AS side,
-             l.*, {ROUTE} AS route
-           FROM lab l JOIN folds f ON l.date <= f.train_end OR l.date BETWEEN f.valid_start AND f.valid_end)"""
+tagged AS (SELECT f.fold_id, f.fold, 'train' AS side, l.*, {ROUTE} AS route FROM lab l JOIN folds f ON l.date <= f.train_end
+  UNION ALL SELECT f.fold_id, f.fold, 'valid', l.*, {ROUTE} FROM lab l JOIN folds f ON l.date BETWEEN f.valid_start AND f.valid_end)"""
 
 
 def q(*ctes: str, final: str) -> str:
@@ -576,8 +575,8 @@ DIRTY_FOLD_CONTRACTS = q(
     "df(fold_id, fold, train_end, valid_start, valid_end) AS (VALUES " + ", ".join(
         f"({o}, '{n}', DATE '{a}', DATE '{b}', DATE '{c}')" for o, n, a, b, c in D.DIRTY_FOLDS) + ")",
     """dm AS (SELECT f.fold_id, f.fold, count_if(l.date <= f.train_end) AS t, max(CASE WHEN l.date <= f.train_end THEN l.date END) AS te,
-    count_if(l.date > f.train_end AND l.date BETWEEN f.valid_start AND f.valid_end) AS v,
-    min(CASE WHEN l.date > f.train_end AND l.date BETWEEN f.valid_start AND f.valid_end THEN l.date END) AS vs
+    count_if(l.date BETWEEN f.valid_start AND f.valid_end) AS v,
+    min(CASE WHEN l.date BETWEEN f.valid_start AND f.valid_end THEN l.date END) AS vs
     FROM df f CROSS JOIN lab l GROUP BY f.fold_id, f.fold)""",
     final="""SELECT fold_id, fold, CAST(t = 0 AS INTEGER) AS empty_train, CAST(v = 0 AS INTEGER) AS empty_valid,
   CAST(coalesce(te >= vs, false) AS INTEGER) AS leaks_chronology FROM dm""")

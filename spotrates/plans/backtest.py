@@ -181,7 +181,7 @@ def learned_backtest(labeled: DataFrame, specs: list[S.CandidateSpec], folds=Non
                 preds.append(out.withColumn("model", F.lit(spec.name)))
                 timing.append((spec.name, f[0], fit_s, pred_s))
     pred = reduce(DataFrame.unionByName, preds)
-    pred = pred.join(F.broadcast(stats.select("fold_id", "floor")), "fold_id") \
+    pred = pred.join(F.broadcast(stats.select("fold_id", "floor", "global_median")), "fold_id") \
         .withColumn("predicted_rate", X.prediction_safety("raw_prediction", "floor")).drop("raw_prediction")
     pred = cut_lineage(pred)
     res = evaluate(pred, train_side, stats)

@@ -105,3 +105,13 @@ def test_backtest_is_partition_invariant(spark):
         assert x.model == y.model and x.fold == y.fold and x.n == y.n
         assert (x.mae, x.rmse, x.r2, x.median_ae, x.wape) == pytest.approx((y.mae, y.rmse, y.r2, y.median_ae, y.wape),
                                                                            rel=1e-9)
+
+
+def test_overlapping_fold_leaks_chronology(spark):
+    """A window that begins before the train side ends is found, and its rows stay on both sides."""
+    lab = labeled_loads(spark, SF_SMALL)
+    folds = [(1, "leaks", "2000-08-15", "2000-08-01", "2000-08-31"), (2, "sound", "2000-06-30", "2000-07-01", "2000-07-31")]
+    found = {r.fold: (r.empty_train, r.empty_valid, r.leaks_chronology) for r in fold_violations(lab, folds).collect()}
+    assert found == {"leaks": (0, 0, 1), "sound": (0, 0, 0)}
+    man = {r.fold: r for r in fold_manifest(lab, folds).collect()}
+    assert man["leaks"].valid_rows == lab.where("date BETWEEN '2000-08-01' AND '2000-08-31'").count()
