@@ -85,7 +85,8 @@ REGISTRY = {
     "m7_random_forest_backtest": (A.random_forest_backtest, O.learned_backtest_sql("random_forest_full_abs_weight")),
     "s11_e4_reloaded_linear_models": (A.reloaded_linear_models, O.reloaded_sql(
         ["global_median", "distance_linear", "equipment_rpm", "ridge"])),
-    "s11_e4_reloaded_tree_models": (A.reloaded_tree_models, O.reloaded_sql(["hgb", "extra_trees", "random_forest"])),
+    "s11_e4_reloaded_boosting": (A.reloaded_boosting, O.reloaded_sql(["hgb"])),
+    "s11_e4_reloaded_forests": (A.reloaded_forests, O.reloaded_sql(["extra_trees", "random_forest"])),
     "m17_final_ridge_predictions": (A.final_ridge_predictions, None),
     "m18_scenario_ridge_predictions": (A.scenario_ridge_predictions, None),
 }

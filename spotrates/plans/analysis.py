@@ -439,8 +439,12 @@ def reloaded_linear_models(spark, sf_dir):
     return _reloaded(spark, sf_dir, [*S.BASELINE_FAMILIES, "ridge"])
 
 
-def reloaded_tree_models(spark, sf_dir):
-    return _reloaded(spark, sf_dir, ["hgb", "extra_trees", "random_forest"])
+def reloaded_boosting(spark, sf_dir):
+    return _reloaded(spark, sf_dir, ["hgb"])
+
+
+def reloaded_forests(spark, sf_dir):
+    return _reloaded(spark, sf_dir, ["extra_trees", "random_forest"])
 
 
 def final_ridge_predictions(spark, sf_dir):
