@@ -7,13 +7,20 @@ parent and child. Sum-product message passing, once upward and once downward,
 gives every node's marginal; a block of text is kept if the mean marginal of its
 text nodes, weighted by their characters, is at least one half.
 
+Inside an article (``article``, or ``main`` on pages without one) other weights
+hold than outside: what is short, linked or in lists is mostly navigation on the
+page around it, but belongs to the article within. There, class words that
+articles use themselves (``DOUBTFUL``) only weigh against blocks that are links.
+
 Training: a bounded sample of pages that mark their article with an ``article``
 element labels its own nodes (text inside it, outside of elements that are never
-content, is content; an element is content if it holds content). Each is used a
-second time with its sectioning tags, classes and ids hidden, so the other
-features are learned too. The likelihood's gradient comes from the same message
-passing; weights are pulled towards ``PRIOR``, which carries what tag and class
-names mean and holds where the sample shows nothing else.
+content, is content; an element is content if it holds content). Each is used
+three times: as it is; with lists, tables, links and sections made of its own
+words added to its article; and so extended with its sectioning tags, classes
+and ids hidden, so the other features are learned too. The likelihood's gradient comes
+from the same message passing; weights are pulled towards ``PRIOR``, which
+carries what tag and class names mean and holds where the sample shows nothing
+else.
 
 Text: character references decoded, white space inside a block turned into one
 space, blocks joined by a line feed in page order.
@@ -47,22 +54,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("head title".split())
 IN_HEAD = frozenset("html head base link meta title".split())     # other tags and text end the head
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure
-footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr
+footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr
 ul""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
           "th": {"tr", "table"}, "option": {"select"}}
 KIND = {t: k for k, tags in {
-    "main": "article main", "never": "nav footer aside form menu dialog button select label fieldset legend",
+    "main": "article main", "never": "nav footer aside form menu dialog button select",
     "header": "header", "text": "p blockquote pre dd figcaption", "head": "h1 h2 h3 h4 h5 h6",
-    "list": "ul ol dl li dt table tbody thead tr td th", "group": "div section body html center details",
+    "list": "ul ol dl li dt table tbody thead tr td th", "group": "div section body html center details fieldset legend label",
     "link": "a"}.items() for t in tags.split()}
 NEVER_WORDS = re.compile(
-    r"(?<![a-z])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|notice|cookies?|consent|gdpr|banner|"
-    r"advert\w*|ads?|sponsor\w*|promo\w*|share|sharing|social|comments?|repl(?:y|ies)|respond|discussion|related|recommend\w*|"
-    r"breadcrumbs?|subscribe|newsletter|signup|login|form|search|widget|popup|modal|overlay|copyright|toolbar|pagination|pager|"
-    r"tags|disclaimer|legal|alert)(?![a-z])")
+    r"(?<![a-z])(?:nav|navbar|navigation|menu|masthead|footer|sidebar|notice|cookies?|gdpr|banner|advert\w*|ads?|sponsor\w*|promo\w*|"
+    r"share|sharing|comments?|repl(?:y|ies)|respond|breadcrumbs?|subscribe|newsletter|signup|login|popup|modal|overlay|toolbar|"
+    r"pagination|pager)(?![a-z])")
+# as above outside an article; inside, its own sections have such names
+DOUBTFUL = re.compile(
+    r"(?<![a-z])(?:header|side|aside|consent|social|discussion|related|recommend\w*|form|search|widget|copyright|tags|disclaimer|"
+    r"legal|alert)(?![a-z])")
 MAIN_WORDS = re.compile(r"(?<![a-z])(?:article|content|post|entry|story|main|body|text)(?![a-z])")
 
 TO_END = frozenset("script style textarea".split())      # without an end tag, up to the page's end
@@ -78,13 +88,16 @@ _camel = re.compile(r"([a-z])([A-Z])")
 
 FEATURES = [f"{kind} {what}" for kind in ("text", "element") for what in (
     "any", "main", "never", "header", "text", "head", "list", "group", "link", "other", "never words", "main words",
-    "in never", "in main", "no links", "some links", "mostly links", "tiny", "short", "long", "very long", "sentence", "sign")]
+    "in never", "in main", "no links", "some links", "mostly links", "tiny", "short", "long", "very long", "sentence", "sign",
+    "inside", "inside list", "inside group", "inside no links", "inside some links", "inside mostly links", "inside tiny",
+    "inside short", "inside long", "inside very long", "inside doubtful", "inside doubtful links")]
 PLACE = {f: i for i, f in enumerate(FEATURES)}
 PRIOR = np.zeros(len(FEATURES))
 for _f, _w in {"text in never": -6.0, "element in never": -3.0, "element never": -4.0, "element never words": -3.0,
                "element header": -1.5, "element main": 2.0, "element main words": 0.5, "text in main": 1.0,
                "text mostly links": -1.5, "element mostly links": -1.0, "text text": 0.7, "text head": 0.5,
-               "text sentence": 0.5, "text sign": -0.5}.items():
+               "text sentence": 0.5, "text sign": -0.5, "text inside": 2.0, "element inside": 1.0,
+               "text inside doubtful links": -6.0, "element inside doubtful links": -3.0}.items():
     PRIOR[PLACE[_f]] = _w
 # log potentials of (parent, child) in the states not content, content
 LINK_PRIOR = np.array([[1.0, -3.0], [-0.5, 0.5]])
@@ -191,14 +204,15 @@ class Page:
                 b = self.block[i]
                 block_size[b] = block_size.get(b, 0) + size[i]
                 block_links[b] = block_links.get(b, 0) + links[i]
-        never, main, out = [False] * n, [False] * n, []
+        never, main, inside, doubt, out = [False] * n, [False] * n, [False] * n, [False] * n, []
+        article = "article" if "article" in self.tag else "main"
         kinds = [KIND.get(t, "other") for t in self.tag]
         if hide:
             kinds = ["group" if k in ("main", "never", "header") else k for k in kinds]
         for i in range(n):
             up = self.parent[i]
             if i:
-                never[i], main[i] = never[up], main[up]
+                never[i], main[i], inside[i], doubt[i] = never[up], main[up], inside[up], doubt[up]
             what = ["any"]
             if self.tag[i]:
                 total, linked, names = size[i], links[i], "" if hide else self.names[i]
@@ -207,12 +221,15 @@ class Page:
                     kind = "group"
                 what.append(kind)
                 bad, good = (bool(NEVER_WORDS.search(names)), bool(MAIN_WORDS.search(names))) if names else (False, False)
+                if names and not bad and DOUBTFUL.search(names):
+                    bad, doubt[i] = not inside[i], doubt[i] or inside[i]
                 what += ["never words"] * bad + ["main words"] * (good and not bad)
                 what += ["in never"] * never[i] + ["in main"] * main[i]
                 if kind in ("never", "header") or bad and kind != "main" and self.tag[i] not in ("body", "html"):
                     never[i] = True
                 if kind == "main":
                     main[i] = True
+                    inside[i] = inside[i] or self.tag[i] == article
             else:
                 b = self.block[i]
                 total, linked = block_size[b], block_links[b]
@@ -224,8 +241,14 @@ class Page:
                 what += ["in never"] * never[i] + ["in main"] * main[i]
                 what += ["sentence"] * text.endswith((".", "!", "?", "…")) + ["sign"] * any(c in text for c in "©®|»")
             share = linked / total if total else 0
-            what.append("no links" if share == 0 else "some links" if share < 0.5 else "mostly links")
-            what.append("tiny" if total < 20 else "short" if total < 80 else "long" if total < 400 else "very long")
+            links_ = "no links" if share == 0 else "some links" if share < 0.5 else "mostly links"
+            length = "tiny" if total < 20 else "short" if total < 80 else "long" if total < 400 else "very long"
+            if inside[i] and not never[i]:
+                what = ["inside", f"inside {links_}", f"inside {length}",
+                        *(f"inside {k}" for k in ("list", "group") if k in what),
+                        *(["inside doubtful"] + ["inside doubtful links"] * (share >= 0.5)) * doubt[i]]
+            else:
+                what += [links_, length]
             prefix = "element " if self.tag[i] else "text "
             out.append([PLACE[prefix + w] for w in what])
         return out
@@ -246,6 +269,19 @@ class Page:
         return content
 
 
+def enriched(source: str) -> str:
+    """The page, its article extended by blocks that articles may hold, of its own words."""
+    start, end = source.lower().find("<article"), source.lower().rfind("</article")
+    words = re.sub(r"<[^>]*>", " ", source[start:end]).split()[1:] if 0 <= start < end else []
+    if len(words) < 20:
+        return source
+    one, some, many = words[0], " ".join(words[1:4]), " ".join(words[4:20])
+    return (f"{source[:end]}<ul><li>{one}</li><li>{some}</li><li>{many}</li></ul><ol><li><a href=x>{some}</a></li><li>{one}</li></ol>"
+            f"<table><tr><th>{one}</th><th>{one}</th></tr><tr><td>{some}</td><td>{one}</td></tr></table><p><a href=x>{many}</a></p>"
+            f"<p>{one}</p><div>{some}</div><div class=legal><p>{some}</p></div><fieldset><legend>{one}</legend>{many}</fieldset>"
+            f"<section class=related-work><h2>{one}</h2><p>{many}</p></section>{source[end:]}")
+
+
 def sum_product(parent, local, links, pairs=None):
     """Marginal probability of content of every node. ``pairs`` (2 x 2) gets the
     expected counts of parent and child states."""
@@ -275,9 +311,9 @@ def fit(pages):
     weights, links = PRIOR.copy(), LINK_PRIOR.copy()
     data = []
     for source in pages:
-        page = Page(source)
-        labels = np.array(page.labels(), float)
-        for hide in (False, True):
+        for text, hide in (source, False), (enriched(source), False), (enriched(source), True):
+            page = Page(text)
+            labels = np.array(page.labels(), float)
             active = page.features(hide)
             flat = np.array([f for x in active for f in x])
             data.append((page.parent, flat, np.repeat(np.arange(len(active)), [len(x) for x in active]), labels))

@@ -72,6 +72,37 @@ def test_other_layouts(model, around):
     assert H.extract(page, *model) == f"A heading\n{Q1}\n{Q2}"
 
 
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<main><p><article>{}</article></main>"])
+@pytest.mark.parametrize("block, text", [
+    ("<ul><li>one</li><li>two</li></ul>", "one\ntwo"),
+    ("<ul><li><a href=/x>one</a></li><li><a href=/y>two</a></li></ul>", "one\ntwo"),
+    ("<table><tr><td>1</td><td>2</td></tr></table>", "1\n2"), ("<p>Note</p>", "Note"), ("<pre>x = 1</pre>", "x = 1"),
+    ("<p><a href=/x>All of this is one link</a></p>", "All of this is one link"),
+    ("<section class='related-work'><h2>Others</h2><p>They did it.</p></section>", "Others\nThey did it."),
+    ("<div class='legal'>Text of the law</div>", "Text of the law"),
+    ("<fieldset><legend>A box</legend>of text</fieldset>", "A box\nof text"),
+    ("<div class='related-posts'><ul><li><a href=/x>one</a></li><li><a href=/y>two other</a></li></ul></div>", ""),
+    ("<div class='tags'><a href=/x>one</a> <a href=/y>two</a></div>", ""), ("<div class='share'><a href=/x>Send</a></div>", ""),
+    ("<aside><p>A side story with many words in it.</p></aside>", ""), ("<div class=notice>We use data.</div>", ""),
+    ("<form><label>Name</label><fieldset><legend>x</legend><input></fieldset></form>", "")])
+def test_blocks_of_an_article(model, around, block, text):
+    page = "<body><nav><ul><li><a href=/>Home</a></ul></nav>" + around.format(
+        f"<h1>A heading</h1><p>{P1}</p>{block}<p>{P2}</p>") + "<footer>(c) x</footer>"
+    assert H.extract(page, *model) == "\n".join(x for x in ("A heading", Q1, text, Q2) if x)
+
+
+def test_article_without_paragraphs(model):
+    page = "<body><article><h1>A heading</h1><div class='legal'>Text of the law</div><fieldset>some fields</fieldset></article>"
+    assert H.extract(page, *model) == "A heading\nText of the law\nsome fields"
+
+
+@pytest.mark.parametrize("around", ["<div id=content>{}</div>", "<div class=post>{}</div>", "<div>{}</div>"])
+def test_lists_on_pages_without_an_article(model, around):
+    page = "<body><div class=nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div>" + around.format(
+        f"<h1>A heading</h1><p>{P1}</p><ul><li>one</li><li>two</li></ul><p>{P2}</p>") + "<div class=footer>(c) x</div>"
+    assert H.extract(page, *model) == f"A heading\n{Q1}\none\ntwo\n{Q2}"
+
+
 def test_edge_pages(spark, model):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<"), (3, "u", "<article><p>" + "word " * 200_000 + "</p></article>"),
             (4, "u", "<div>" * 3000 + "x"), (5, "u", "<!-- open"), (6, "u", "<script>never closed"), (1, "u", None)]
