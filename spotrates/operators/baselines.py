@@ -1,7 +1,9 @@
 """M1-M3 baselines, prediction floor (A28, M13) and extreme cut.
 
-All folds are fitted in the same jobs: statistics are grouped by ``fold_id``
-and predictions join them back (one row per fold, so the join is a broadcast).
+All folds are fitted in the same jobs. Expanding folds are prefixes of periods
+(``fit_expanding_baselines``); folds of any other shape come as rows tagged with
+``fold_id`` (``fit_baselines``). Predictions join the statistics back (one row
+per fold, so the join is a broadcast).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import expr as X
 from ..session import cut_lineage
+from . import prefixes as PF
 from .quantiles import grouped_quantiles
 
 FOLD = "fold_id"
@@ -58,6 +61,35 @@ def fit_baselines(train: DataFrame, exact: bool = True) -> FittedBaselines:
     return FittedBaselines(fold_stats=cut_lineage(stats), rpm=rpm_t)
 
 
+def fit_expanding_baselines(rows: DataFrame, folds=None, exact: bool = True) -> FittedBaselines:
+    """As ``fit_baselines`` for expanding folds, from rows with a ``period`` (``prefixes.with_period``).
+
+    A row gives its rate, its rate per mile and that of its equipment to one
+    quantile job, whatever the number of folds.
+    """
+    rpm = F.try_divide(F.col(Y), F.col("distance"))
+    long = rows.select(PF.PERIOD, F.explode(F.array(
+        F.struct(F.lit("y").alias("kind"), F.col(Y).cast("double").alias("v")),
+        F.struct(F.lit("rpm").alias("kind"), rpm.alias("v")),
+        F.struct(F.concat(F.lit("rpm:"), "equipment").alias("kind"), rpm.alias("v")))).alias("_r")).select(PF.PERIOD, "_r.*")
+    q = PF.prefix_quantiles(long, "kind", "v", len(PF.ends(folds)),
+                            {"_q005": S.FLOOR_QUANTILE, "_q50": 0.5, "_q99": S.EXTREME_QUANTILE}, exact=exact)
+    q = q if exact else cut_lineage(q)
+
+    def of(kind, column):
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    stats = q.where("kind IN ('y', 'rpm')").groupBy(PF.PREFIX).agg(
+        F.greatest(F.lit(1.0), F.lit(S.FLOOR_FACTOR) * of("y", "_q005")).alias("floor"), of("y", "_q50").alias("global_median"),
+        of("y", "_q99").alias("extreme_cut"), of("rpm", "_q50").alias("global_rpm"))
+    stats = stats.join(PF.linear_fits(rows, Y, "distance", folds), PF.PREFIX, "left")
+    fold = F.broadcast(PF.fold_prefixes(rows.sparkSession, folds))
+    stats = fold.join(stats, PF.PREFIX).select(FOLD, "floor", "global_median", "extreme_cut", "slope", "intercept", "global_rpm")
+    by_equipment = q.where(F.col("kind").startswith("rpm:")).join(fold, PF.PREFIX).select(
+        FOLD, F.substring("kind", 5, 1 << 30).alias("equipment"), F.col("_q50").alias("rpm"))
+    return FittedBaselines(fold_stats=cut_lineage(stats), rpm=by_equipment)
+
+
 def target_stats(train: DataFrame, exact: bool = True) -> DataFrame:
     """A28 floor ``max(1, 0.5 * q0.005(y))``, A29 extreme cut p99, M1 median, per fold."""
     q = grouped_quantiles(train, [FOLD], Y, {"_q005": S.FLOOR_QUANTILE, "global_median": 0.5,

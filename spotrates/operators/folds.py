@@ -29,8 +29,8 @@ def _fold_array(folds=None):
     ])
 
 
-def assign_folds(df: DataFrame, folds=None, date_col: str = "date") -> DataFrame:
-    """Each row x each fold and side it belongs to, ``side`` train/valid.
+def assign_folds(df: DataFrame, folds=None, date_col: str = "date", sides=("train", "valid")) -> DataFrame:
+    """Each row x each fold and side it belongs to, ``side`` train/valid (of ``sides``).
 
     A row is in the train side of every fold whose ``train_end`` is on or
     after its date, and in the valid side of every fold whose window covers
@@ -44,8 +44,8 @@ def assign_folds(df: DataFrame, folds=None, date_col: str = "date") -> DataFrame
         return F.transform(F.filter(_fold_array(folds), covers), lambda f: F.struct(
             f["fold_id"].alias(FOLD), f["fold"].alias("fold"), F.lit(name).alias("side")))
 
-    hits = F.concat(side("train", lambda f: d <= f["train_end"]),
-                    side("valid", lambda f: d.between(f["valid_start"], f["valid_end"])))
+    covers = {"train": lambda f: d <= f["train_end"], "valid": lambda f: d.between(f["valid_start"], f["valid_end"])}
+    hits = F.concat(*[side(name, covers[name]) for name in sides])
     out = df.withColumn("_f", F.explode(hits))
     return out.select(*df.columns, F.col("_f.fold_id").alias(FOLD), F.col("_f.fold").alias("fold"), F.col("_f.side").alias("side"))
 

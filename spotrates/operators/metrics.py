@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import prefixes as PF
 from .quantiles import grouped_quantiles
 
 Y = "posted_rate"
@@ -72,6 +73,15 @@ def seen_route_flag(valid: DataFrame, train: DataFrame, fold_col: str = "fold_id
             .withColumn("seen_route", F.coalesce("_seen", F.lit(False))).drop("_seen"))
 
 
+def seen_by_prefix(valid: DataFrame, rows: DataFrame, folds=None) -> DataFrame:
+    """As ``seen_route_flag`` for expanding folds: ``rows`` with route and period, read once for all folds."""
+    first = PF.first_periods(rows, "route")
+    fold = F.broadcast(PF.fold_prefixes(rows.sparkSession, folds))
+    seen = F.coalesce(F.col("first_period") <= F.col(PF.PREFIX), F.lit(False))
+    return (valid.join(first, "route", "left").join(fold, PF.FOLD)
+            .withColumn("seen_route", seen).drop("first_period", PF.PREFIX))
+
+
 def rank_models(results: DataFrame, recent_fold: str = S.RECENT_FOLD_FULL) -> DataFrame:
     """A16 + J7 + K1: leaderboard, ``recent_mae`` = MAE on ``recent_fold``."""
     agg = results.groupBy("model").agg(

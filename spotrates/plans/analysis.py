@@ -20,7 +20,7 @@ from ..operators import profile as PR
 from ..operators.features import fit_stats, single_fold, stateless_features, transform
 from ..operators.folds import assign_folds, fold_manifest, fold_violations
 from ..sources import loads as L
-from .backtest import baseline_backtest, fold_tagged
+from .backtest import baseline_backtest, with_periods
 
 R6 = M.round_cols
 
@@ -98,8 +98,7 @@ def selected_baseline(spark, sf_dir):
 def baseline_fold_params(spark, sf_dir):
     """M1, M2, A28, A29 + global rpm per fold."""
     lab, _ = tables(spark, sf_dir)
-    tr = fold_tagged(lab).where(F.col("side") == "train")
-    fb = B.fit_baselines(tr)
+    fb = B.fit_expanding_baselines(with_periods(lab))
     return R6(fb.fold_stats.select("fold_id", "floor", "global_median", "extreme_cut", "slope", "intercept",
                                    "global_rpm"), 4)
 
@@ -107,8 +106,7 @@ def baseline_fold_params(spark, sf_dir):
 def equipment_rpm_table(spark, sf_dir):
     """M3 fitted table per fold and equipment."""
     lab, _ = tables(spark, sf_dir)
-    tr = fold_tagged(lab).where(F.col("side") == "train")
-    return R6(B.fit_baselines(tr).rpm)
+    return R6(B.fit_expanding_baselines(with_periods(lab)).rpm)
 
 
 def _selected_fold_predictions(spark, sf_dir):

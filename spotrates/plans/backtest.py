@@ -1,6 +1,7 @@
 """M15 back-test: candidates x expanding folds -> per-fold metrics + fold predictions.
 
-Baseline families (M1-M3) of all folds run as one set of grouped jobs. Learned
+Baseline families (M1-M3) are fitted by prefixes of periods: rows are read once and
+never copied by fold; a row is predicted in the folds whose window covers it. Learned
 families (M4-M7) are fitted on the fold-tagged feature table that is built once per
 feature setting and shared by the candidates: trees for all folds at once, ridge
 per fold.
@@ -20,6 +21,7 @@ from .. import schemas as S
 from ..functions import expr as X
 from ..operators import baselines as B
 from ..operators import metrics as M
+from ..operators import prefixes as PF
 from ..operators.folds import assign_folds
 from ..session import cut_lineage
 
@@ -46,10 +48,20 @@ def fold_tagged(labeled: DataFrame, folds=None) -> DataFrame:
     return assign_folds(base, folds)
 
 
+def with_periods(labeled: DataFrame, folds=None) -> DataFrame:
+    """Narrow columns, route key and the period between training ends."""
+    return PF.with_period(labeled.select(*PRED_COLS).withColumn("route", X.route_key()), folds)
+
+
 def evaluate(pred: DataFrame, train: DataFrame, stats: DataFrame, exact: bool = True) -> DataFrame:
     """A14 + A15 for predictions of many models and folds at once."""
+    return evaluate_flagged(M.seen_route_flag(pred, train), stats, exact)
+
+
+def evaluate_flagged(pred: DataFrame, stats: DataFrame, exact: bool = True) -> DataFrame:
+    """As ``evaluate``, where ``pred`` already carries ``seen_route``."""
     keys = ["model", FOLD, "fold"]
-    flagged = M.seen_route_flag(pred, train).join(F.broadcast(stats.select(FOLD, "extreme_cut")), FOLD, "left")
+    flagged = pred.join(F.broadcast(stats.select(FOLD, "extreme_cut")), FOLD, "left")
     # Read twice (one aggregation, and the quantile operator's own cached projection);
     # its inputs are already cached, so it is not persisted itself.
     return M.regression_metrics(flagged, keys, exact=exact, subgroups=True)
@@ -60,23 +72,22 @@ def baseline_backtest(labeled: DataFrame, specs: list[S.CandidateSpec] | None =
     specs = [s for s in (specs or S.full_candidate_specs()) if s.family in S.BASELINE_FAMILIES]
     spark = labeled.sparkSession
     t0 = time.perf_counter()
-    tagged = fold_tagged(labeled, folds).persist(StorageLevel.MEMORY_AND_DISK)
-    train = tagged.where(F.col("side") == "train")
-    valid = tagged.where(F.col("side") == "valid")
-    fitted = B.fit_baselines(train, exact=exact)
+    rows = with_periods(labeled, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = B.fit_expanding_baselines(rows, folds, exact=exact)
     fit_s = time.perf_counter() - t0
     t1 = time.perf_counter()
+    valid = M.seen_by_prefix(assign_folds(rows, folds, sides=["valid"]), rows, folds).drop(PF.PERIOD)
     pred = B.predict_baselines(valid, fitted, [(s.name, s.family) for s in specs])
     pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
     pred.count()
     predict_s = time.perf_counter() - t1
-    res = evaluate(pred, train, fitted.fold_stats, exact=exact)
+    res = evaluate_flagged(pred, fitted.fold_stats, exact=exact)
     per = len(specs) * max(1, len(folds or S.FOLDS))
     res = (res.join(F.broadcast(spec_table(spark, specs)), "model")
            .withColumn("fit_seconds", F.lit(fit_s / per)).withColumn("predict_seconds", F.lit(predict_s / per)))
     res = cut_lineage(res)  # small: models x folds
-    tagged.unpersist()      # pred keeps its own cache; lineage still recomputes if evicted
-    return BacktestResult(results=res, predictions=pred)
+    rows.unpersist()        # pred keeps its own cache; lineage still recomputes if evicted
+    return BacktestResult(results=res, predictions=pred.drop("seen_route"))
 
 
 RESULT_COLUMNS = ["model", "fold", "family", "include_market", "negative_weight", "log_target", "fit_seconds",
