@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expr as X
+from ..session import cut_lineage
 from .quantiles import grouped_quantiles, quantiles
 
 TRAIN, VALID = "train", "validation"
@@ -246,19 +247,26 @@ def box_stats(labeled: DataFrame) -> DataFrame:
         F.count("rpm").alias("rows"))
 
 
+def lane_table(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
+    """One row per (pickup, delivery), with a flag per dataset; each table is read once."""
+    ends = ["pickup", "delivery"]
+    return cut_lineage(tag_datasets(labeled.select(*ends), scoring.select(*ends)).groupBy(*ends).agg(
+        *[F.bool_or(F.col("dataset") == d).alias(d) for d in (TRAIN, VALID)]))
+
+
 def overlap_summary(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
-    """A30 + U2/U3: unseen scoring cities (sorted), unseen route count, route counts."""
-    def cities(df):  # U2: pickup UNION delivery
-        return df.select(F.col("pickup").alias("city")).union(df.select(F.col("delivery").alias("city"))).distinct()
-    def routes(df):
-        return df.select(X.route_key().alias("route")).distinct()
-    unseen_c = cities(scoring).join(cities(labeled), "city", "left_anti")          # U3
-    unseen_r = routes(scoring).join(routes(labeled), "route", "left_anti")
-    a = unseen_c.agg(F.array_sort(F.collect_list("city")).alias("unseen_validation_cities"))
-    b = unseen_r.agg(F.count(F.lit(1)).alias("unseen_validation_routes"))
-    c = routes(labeled).agg(F.count(F.lit(1)).alias("train_routes"))
-    d = routes(scoring).agg(F.count(F.lit(1)).alias("validation_routes"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+    """A30 + U2/U3: unseen scoring cities (sorted), unseen route count, route counts.
+
+    All of them derive from the lane table; a null route equals no other (U3).
+    """
+    lanes = lane_table(labeled, scoring)
+    either = [F.bool_or(d).alias(d) for d in (TRAIN, VALID)]
+    cities = lanes.select(F.explode(F.array("pickup", "delivery")).alias("city"), TRAIN, VALID).groupBy("city").agg(*either)
+    routes = lanes.groupBy(X.route_key().alias("route")).agg(*either)
+    a = cities.where(F.col(VALID) & ~F.col(TRAIN)).agg(F.array_sort(F.collect_list("city")).alias("unseen_validation_cities"))
+    b = routes.agg(F.count_if(F.col(VALID) & (~F.col(TRAIN) | F.col("route").isNull())).alias("unseen_validation_routes"),
+                   F.count_if(TRAIN).alias("train_routes"), F.count_if(VALID).alias("validation_routes"))
+    return a.crossJoin(b)
 
 
 def scatter_sample(labeled: DataFrame, n: int = S.SAMPLE_ROWS, seed: int = S.SEED) -> DataFrame:

@@ -74,3 +74,14 @@ def test_rows_are_not_copied_by_fold(spark):
     """The wide rows keep their number: no generator below the aggregates."""
     plan = P.linear_fits(P.with_period(loads(spark), FOLDS), "posted_rate", "distance", FOLDS)._jdf.queryExecution().toString()
     assert "Generate" not in plan
+
+
+def test_overlap_from_one_lane_table(spark):
+    from spotrates.operators.profile import overlap_summary
+    ends = "pickup string, delivery string"
+    a = spark.createDataFrame([("A", "B"), ("A", "B"), ("B", "C"), (None, "B")], ends)
+    b = spark.createDataFrame([("A", "B"), ("B", "A"), ("B", "A"), ("Z", "D"), ("A", None)], ends)
+    r = overlap_summary(a, b).first()
+    assert r.unseen_validation_cities == ["D", "Z"]
+    assert (r.train_routes, r.validation_routes, r.unseen_validation_routes) == (3, 4, 3)
+    assert overlap_summary(a, b.limit(0)).first().unseen_validation_cities == []
