@@ -8,7 +8,8 @@ predicted. A text further away than ``REJECT`` of its centroid's own training
 texts is marked as rejected.
 
 The sample holds about ``TRAIN_DOCS`` documents of each language, chosen by hash
-outside the held-out quarter; inverse document frequencies are taken from it.
+outside the held-out quarter. Inverse document frequencies are counted over all
+documents outside that quarter that have a language and a letter.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 documents with a null lang aren't learned from; equal cosines go to the first
@@ -73,6 +74,28 @@ def spherical_k_means(x: np.ndarray, k: int = CENTROIDS):
     return c, own, near[np.arange(len(x)), own]
 
 
+def document_counts(known: DataFrame) -> np.ndarray:
+    """Documents of ``known`` that hold each place; at the end, all documents with a letter.
+    Every task adds up its own, so it sends at most SIZE + 1 rows."""
+    def add_up(batches):
+        found = np.zeros(SIZE + 1, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                text = text.as_py()
+                if letter(text):
+                    found[:SIZE] += counts(text) > 0
+                    found[SIZE] += 1
+        places = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(found[places], pa.int64())],
+                                         names=["place", "n"])
+
+    out = np.zeros(SIZE + 1)
+    for r in known.select("text").mapInArrow(add_up, "place long, n long").groupBy("place").agg(
+            F.sum("n").alias("n")).collect():   # at most SIZE + 1 rows
+        out[r["place"]] = r["n"]
+    return out
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS):
     """Model from ``docs(doc_id, text, lang)``, or None if there is nothing to learn from."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(
@@ -97,13 +120,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS):
 
     sample = staged(chosen.select("lang", "text").mapInArrow(sparse, "lang string, place array<int>, n array<int>"),
                     "language-sample")
-    total = sample.count()
-    if not total:
+    if sample.isEmpty():
         return None
-    df = np.zeros(SIZE)
-    for r in sample.select(F.explode("place").alias("place")).groupBy("place").count().collect():  # at most SIZE rows
-        df[r["place"]] = r["count"]
-    idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(1)
+    found = document_counts(known)
+    idf = np.log((1 + found[SIZE]) / (1 + found[:SIZE])).astype(np.float32) + np.float32(1)
 
     def learn(pdf):
         pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: (pdf["place"].iloc[i].tobytes(), pdf["n"].iloc[i].tobytes()))]

@@ -8,10 +8,13 @@ best-fit decreasing over the whole corpus at once:
   histogram of lengths, at most ``max(capacities)`` rows whatever the corpus
   holds. ``pack_histogram`` moves whole runs of equal bins at a time and gives
   the bins that placing pieces one after another would give.
-* The permitted capacities are optimised jointly: the packing is planned once
-  for each capacity as the size that is opened (a longer piece opens the
-  smallest size that holds it), every bin is then downsized to the smallest
-  capacity that holds its contents, and the plan of least total cost is used.
+* The permitted capacities are optimised jointly: whenever a piece fits no open
+  bin, every capacity is filled on trial with the longest pieces not yet promised
+  to an earlier bin, and the one of least cost a token, after downsizing, is
+  opened (``least_cost``; ties: the smaller). The trial's pieces count as promised
+  from then on. Finally every bin is downsized to the smallest capacity that holds
+  its contents. Opening one size throughout is planned too, once for each
+  capacity, and used where its total cost is lower still.
 * Spark numbers the pieces of each length and looks up the bin of each number.
 
 Defined cases: null or empty text has length 1 (its end token); repeated rows
@@ -23,7 +26,7 @@ gives several pieces.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -54,13 +57,53 @@ def pieces(docs: DataFrame, largest: int, tokens=byte_tokens) -> DataFrame:
         F.least(F.col("total") - F.col("start"), F.lit(largest)).cast("int").alias("length"))
 
 
-def pack_histogram(counts, opened: int, capacities=CAPACITIES):
-    """Best-fit decreasing over ``counts`` (length -> number of pieces).
+def fitted(used: int, capacities=CAPACITIES) -> int:
+    return min(c for c in capacities if c >= used)
+
+
+def trial(length: int, left: int, pool, lengths, capacity: int):
+    """[(length, pieces)] of a bin of ``capacity`` that takes the longest pieces that fit:
+    of ``left`` pieces of ``length``, then of ``pool``, whose lengths are ``lengths``, ascending."""
+    taken = [(length, min(left, capacity // length))]
+    free = capacity - length * taken[0][1]
+    at = bisect_right(lengths, free)
+    while at:
+        shorter = lengths[at - 1]
+        taken.append((shorter, min(pool[shorter], free // shorter)))
+        free -= shorter * taken[-1][1]
+        at = min(at - 1, bisect_right(lengths, free))
+    return taken
+
+
+def least_cost(length: int, left: int, pool, lengths, capacities, bin_cost: int):
+    """(capacity, bins): the size to open for ``length`` and how many bins of it the pool fills
+    alike. Their pieces leave ``pool`` and ``lengths``."""
+    best = None
+    for capacity in sorted(c for c in capacities if c >= length):
+        taken = trial(length, left, pool, lengths, capacity)
+        used = sum(n * pieces for n, pieces in taken)
+        cost = fitted(used, capacities) + bin_cost
+        if best is None or cost * best[1] < best[0] * used:
+            best = cost, used, capacity, taken
+    _, _, capacity, ((_, own), *others) = best
+    bins = min([left // own, *(pool[n] // pieces for n, pieces in others)])
+    for n, pieces in others:
+        pool[n] -= pieces * bins
+        if not pool[n]:
+            del pool[n], lengths[bisect_left(lengths, n)]
+    return capacity, bins
+
+
+def pack_histogram(counts, opened: int | None, capacities=CAPACITIES, bin_cost: int = BIN_COST):
+    """Best-fit decreasing over ``counts`` (length -> number of pieces). A bin is opened
+    in the size of least cost, or of ``opened`` where that is given and long enough.
 
     Returns ``runs`` of (length, first rank, pieces, first bin, pieces a bin,
     offset in the bin) and ``bins`` of (first bin, end bin, tokens used).
     """
     runs, free, residuals, next_bin = [], {}, [], 0
+    pool = {n: int(c) for n, c in counts.items()}
+    lengths = sorted(pool)
 
     def put(residual, start, end, capacity):
         if start < end:
@@ -71,13 +114,18 @@ def pack_histogram(counts, opened: int, capacities=CAPACITIES):
 
     for length in sorted(counts, reverse=True):
         left, rank = int(counts[length]), 0
+        if pool.pop(length, 0):
+            lengths.pop()
         while left:
             at = bisect_left(residuals, length)
             if at == len(residuals):
-                capacity = opened if length <= opened else min(c for c in capacities if c >= length)
+                if opened is None:
+                    capacity, new = least_cost(length, left, pool, lengths, capacities, bin_cost)
+                else:
+                    capacity = opened if length <= opened else fitted(length, capacities)
+                    new = -(-left // (capacity // length))
                 residual, start = capacity, next_bin
-                end = start - (-left // (capacity // length))
-                next_bin = end
+                end = next_bin = start + new
             else:
                 residual = residuals[at]
                 start, end, capacity = free[residual].pop()
@@ -102,15 +150,11 @@ def pack_histogram(counts, opened: int, capacities=CAPACITIES):
     return runs, bins
 
 
-def fitted(used: int, capacities=CAPACITIES) -> int:
-    return min(c for c in capacities if c >= used)
-
-
 def plan(counts, capacities=CAPACITIES, bin_cost: int = BIN_COST):
-    """The packing of least total cost over the capacities that may be opened."""
+    """The packing of least total cost: bins opened in the size of least cost each, or one size throughout."""
     best = None
-    for opened in sorted(capacities):
-        runs, bins = pack_histogram(counts, opened, capacities)
+    for opened in (None, *sorted(capacities)):
+        runs, bins = pack_histogram(counts, opened, capacities, bin_cost)
         cost = sum((end - start) * (fitted(used, capacities) + bin_cost) for start, end, used in bins)
         if best is None or cost < best[0]:
             best = cost, runs, bins
@@ -137,8 +181,9 @@ def pack(docs: DataFrame, capacities=CAPACITIES, bin_cost: int = BIN_COST,
         .join(before, ["length", "salt"])
         .select("doc_id", "piece", "start", "length", (F.col("before") + F.col("k")).alias("rank")))
 
-    # Runs have a bound that does not depend on the corpus: a bin holds pieces of
-    # at most sqrt(2 * largest) different lengths, and each length splits two runs.
+    # Runs have a bound that does not depend on the corpus: a bin holds pieces of at most
+    # sqrt(2 * largest) different lengths, each length splits two runs, and each opening
+    # leaves some length fewer pieces than one bin takes, at least halving what is left of it.
     order = sorted(runs)
     shared = spark.sparkContext.broadcast((
         np.array([(r[0] << 40) + r[1] for r in order], np.int64),

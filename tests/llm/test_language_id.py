@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from spotrates.llm import language_id as L
@@ -29,6 +31,15 @@ def test_edge_rows(spark):
     assert {r.lang_pred for r in L.predict(docs, L.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_frequencies_are_counted_over_all_training_rows(spark):
+    rows = [(i, t, "en") for i in range(300) for t in ("the cat", "", None, "12")] + [(300, "Ωμέγα", "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    texts = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t and L.letter(t)]
+    want = np.sum([L.counts(t) > 0 for t in texts], axis=0)
+    got = L.fit(docs, 5)["idf"]
+    assert np.allclose(got, np.log((1 + len(texts)) / (1 + want)) + 1)
+
+
 def test_rejection_by_distance(spark):
     docs = table(spark, SF, "documents")
     model = L.fit(docs, 200)

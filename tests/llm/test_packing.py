@@ -60,6 +60,56 @@ def test_least_cost_plan_and_downsizing():
     assert sorted(u for s, e, u in bins for _ in range(s, e)) == [21, 63, 63, 63]
 
 
+def cost_of(bins, caps, bin_cost):
+    return sum((e - s) * (P.fitted(u, caps) + bin_cost) for s, e, u in bins)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_size_is_chosen_bin_by_bin(seed):
+    rng = random.Random(seed)
+    caps, bin_cost = (16, 24, 40, 64), rng.choice((0, 1, 4, 16))
+    lengths = [rng.choice((rng.randint(1, 64), rng.randint(1, 20), 13, 21)) for _ in range(rng.randint(0, 200))]
+    counts = Counter(lengths)
+    runs, bins = P.pack_histogram(counts, None, caps, bin_cost)
+    got = contents(runs)
+    assert sorted(n for v in got.values() for _, n in v) == sorted(lengths)
+    used = {b: u for s, e, u in bins for b in range(s, e)}
+    assert sorted(used) == sorted(got) == list(range(len(got)))
+    for b, v in got.items():
+        assert used[b] == sum(n for _, n in v) <= max(caps)
+        assert [offset for offset, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:i]) for i in range(len(v))]
+    assert counts == Counter(lengths)
+    # the plan never costs more than any single size opened throughout
+    cost, _, chosen = P.plan(counts, caps, bin_cost)
+    assert cost == cost_of(chosen, caps, bin_cost) <= cost_of(bins, caps, bin_cost)
+    assert all(cost <= cost_of(P.pack_histogram(counts, c, caps)[1], caps, bin_cost) for c in caps)
+
+
+def test_first_bin_has_the_least_cost_a_token():
+    """Against all sizes tried with single pieces in hand."""
+    rng = random.Random(5)
+    for _ in range(200):
+        caps, bin_cost = (16, 24, 40, 64), rng.choice((0, 1, 4, 16))
+        lengths = sorted((rng.randint(1, 30) for _ in range(rng.randint(1, 30))), reverse=True)
+        tried = []
+        for c in caps:
+            if c >= lengths[0]:
+                held = 0
+                for x in lengths:
+                    held += x if held + x <= c else 0
+                tried.append(((P.fitted(held, caps) + bin_cost) / held, c))
+        pool = Counter(lengths)
+        left = pool.pop(lengths[0])
+        capacity, bins = P.least_cost(lengths[0], left, pool, sorted(pool), caps, bin_cost)
+        assert bins >= 1 and (min(tried)[0], capacity) in tried
+
+
+def test_mixed_sizes_beat_every_single_size():
+    counts, caps = {22: 20, 10: 20, 9: 30}, (16, 24, 40)
+    one = [cost_of(P.pack_histogram(counts, c, caps)[1], caps, 1) for c in caps]
+    assert P.plan(counts, caps, 1)[0] < min(one)
+
+
 def test_whole_table_is_packed_once(spark):
     docs = table(spark, SF, "documents")
     out = P.op1_best_fit_packing(spark, SF).toPandas()
