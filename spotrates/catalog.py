@@ -26,6 +26,7 @@ REGISTRY = {
     "m3_j4_equipment_rpm_table": (A.equipment_rpm_table, O.EQUIPMENT_RPM_TABLE),
     "a19_selected_mae_by_equipment": (A.selected_mae_by_equipment, O.SELECTED_MAE_BY_EQUIPMENT),
     "k3_selected_top_errors": (A.selected_top_errors, O.SELECTED_TOP_ERRORS),
+    "k3_distinct_loads_top_errors": (A.selected_top_errors_of_loads, O.SELECTED_TOP_ERRORS_OF_LOADS),
     "m19_residual_histogram": (A.selected_residual_histogram, O.SELECTED_RESIDUAL_HISTOGRAM),
     "a27_fold_feature_scalars": (A.fold_feature_scalars, O.FOLD_FEATURE_SCALARS),
     "a26_fold_frequencies": (A.fold_route_frequencies, O.FOLD_ROUTE_FREQUENCIES),
@@ -34,6 +35,7 @@ REGISTRY = {
     "v19_feature_contract": (A.feature_contract, O.FEATURE_CONTRACT),
     "a1_a6_table_profile": (A.profile_wide, O.PROFILE_WIDE),
     "a2_a8_profile_long": (A.profile_long, O.PROFILE_LONG),
+    "s8_audit": (A.audit, O.AUDIT),
     "a7_target_summary": (A.target_summary, O.TARGET_SUMMARY),
     "a9_drift": (A.drift, O.DRIFT),
     "a10_market_shift": (A.market_shift, O.MARKET_SHIFT),
@@ -60,12 +62,15 @@ REGISTRY = {
     "r4_executive_numbers": (A.executive_numbers, O.EXECUTIVE_NUMBERS),
     "s9_findings": (A.findings_table, O.FINDINGS),
     "r3_leaderboard_table": (A.leaderboard_report_table, O.LEADERBOARD_REPORT),
+    "r3_fold_table": (A.fold_report_table, O.FOLD_REPORT),
+    "r3_scenario_table_text": (A.scenario_report_text, O.SCENARIO_REPORT_TEXT),
     "a18_r3_scenario_table": (A.scenario_report_table, O.SCENARIO_REPORT),
     "streaming_stream_static_scoring": (A.stream_scoring, O.STREAM_SCORING),
     # Contracts on damaged rows: every rule finds its own number of violations.
     "v2_v7_dirty_labeled": (DC.dirty_labeled_contracts, O.DIRTY_LABELED_CONTRACTS),
     "v2_v7_dirty_scoring": (DC.dirty_scoring_contracts, O.DIRTY_SCORING_CONTRACTS),
     "v8_v11_v13_dirty_template": (DC.dirty_template_contracts, O.DIRTY_TEMPLATE_CONTRACTS),
+    "v11_dirty_prediction_file": (DC.dirty_prediction_file, O.DIRTY_PREDICTION_FILE),
     "v8_v18_dirty_order": (DC.dirty_template_order, O.DIRTY_TEMPLATE_ORDER),
     "v9_v10_v12_v16_dirty_scenario": (DC.dirty_scenario_contracts, O.DIRTY_SCENARIO_CONTRACTS),
     "v14_dirty_folds": (DC.dirty_fold_contracts, O.DIRTY_FOLD_CONTRACTS),

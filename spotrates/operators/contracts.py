@@ -82,6 +82,17 @@ def prediction_violations(pred: DataFrame, expected_ids: DataFrame | None = None
     return template_violations(pred, expected_ids, table).unionByName(_long(table, vals, ["bad_prediction"]))
 
 
+def prediction_file_violations(pred: DataFrame, template: DataFrame, columns: list[str],
+                               table: str = "predictions") -> DataFrame:
+    """V11 in full: the file's ``columns`` are those of the template, in order; it has as many
+    rows, and the same id at every position (``ordinal`` of both); then ids and rates as above."""
+    sizes = pred.agg(F.count(F.lit(1)).alias("_n")).crossJoin(template.agg(F.count(F.lit(1)).alias("_m")))
+    wide = sizes.select(F.lit(int(list(columns) != S.TEMPLATE_COLUMNS)).alias("columns"),
+                        F.abs(F.col("_n") - F.col("_m")).alias("row_count")).crossJoin(order_differences(pred, template))
+    return _long(table, wide, ["columns", "row_count", "out_of_order"]).unionByName(
+        prediction_violations(pred, template.select("load_id"), table))
+
+
 def scenario_violations(scenario: DataFrame, table: str = "scenario", start: str = S.SCENARIO_START,
                         end: str = S.SCENARIO_END, with_predictions: bool = False,
                         fixed: dict | None = None) -> DataFrame:

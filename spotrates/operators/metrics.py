@@ -119,9 +119,15 @@ def mae_by_equipment(pred: DataFrame) -> DataFrame:
             .orderBy("mae", "equipment"))
 
 
-def top_absolute_errors(pred: DataFrame, k: int = S.TOP_ERRORS) -> DataFrame:
-    """K3: the k largest absolute errors (TakeOrderedAndProject: k rows per task)."""
-    return (pred.withColumn("abs_error", F.abs(F.col(Y) - F.col(P)))
+def top_absolute_errors(pred: DataFrame, k: int = S.TOP_ERRORS, distinct_loads: bool = False) -> DataFrame:
+    """K3: the k largest absolute errors (TakeOrderedAndProject: k rows per task). A load of
+    overlapping folds occurs once for each; with ``distinct_loads`` only with its largest
+    error (ties: the first fold)."""
+    rows = pred.withColumn("abs_error", F.abs(F.col(Y) - F.col(P)))
+    if distinct_loads:
+        rows = rows.groupBy("load_id").agg(F.min_by(F.struct(*rows.columns), F.struct(-F.col("abs_error"), "fold")).alias("_r")) \
+            .select("_r.*")
+    return (rows
             .orderBy(F.desc("abs_error"), "load_id", "fold").limit(k))
 
 

@@ -29,7 +29,8 @@ def tag_datasets(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
 def table_profile(df: DataFrame, dataset: str) -> DataFrame:
     """A1-A4, A6 for one table, as one wide row."""
     cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("rows"), F.lit(len(cols)).cast("bigint").alias("columns")]
+    aggs = [F.count(F.lit(1)).alias("rows"), F.lit(len(cols)).cast("bigint").alias("columns"),
+            F.lit(",".join(cols)).alias("column_names")]
     if "date" in cols:
         aggs += [X.iso_date(F.min("date")).alias("date_min"), X.iso_date(F.max("date")).alias("date_max")]
     if "load_id" in cols:
@@ -260,13 +261,24 @@ def overlap_summary(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
     All of them derive from the lane table; a null route equals no other (U3).
     """
     lanes = lane_table(labeled, scoring)
-    either = [F.bool_or(d).alias(d) for d in (TRAIN, VALID)]
-    cities = lanes.select(F.explode(F.array("pickup", "delivery")).alias("city"), TRAIN, VALID).groupBy("city").agg(*either)
-    routes = lanes.groupBy(X.route_key().alias("route")).agg(*either)
-    a = cities.where(F.col(VALID) & ~F.col(TRAIN)).agg(F.array_sort(F.collect_list("city")).alias("unseen_validation_cities"))
-    b = routes.agg(F.count_if(F.col(VALID) & (~F.col(TRAIN) | F.col("route").isNull())).alias("unseen_validation_routes"),
-                   F.count_if(TRAIN).alias("train_routes"), F.count_if(VALID).alias("validation_routes"))
-    return a.crossJoin(b)
+    a = unseen_cities(lanes).agg(F.array_sort(F.collect_list("city")).alias("unseen_validation_cities"))
+    return a.crossJoin(overlap_counts(lanes))
+
+
+def _either():
+    return [F.bool_or(d).alias(d) for d in (TRAIN, VALID)]
+
+
+def unseen_cities(lanes: DataFrame) -> DataFrame:
+    """A row per city of the scoring table that the labeled table never names."""
+    cities = lanes.select(F.explode(F.array("pickup", "delivery")).alias("city"), TRAIN, VALID)
+    return cities.groupBy("city").agg(*_either()).where(F.col(VALID) & ~F.col(TRAIN)).select("city")
+
+
+def overlap_counts(lanes: DataFrame) -> DataFrame:
+    routes = lanes.groupBy(X.route_key().alias("route")).agg(*_either())
+    return routes.agg(F.count_if(F.col(VALID) & (~F.col(TRAIN) | F.col("route").isNull())).alias("unseen_validation_routes"),
+                      F.count_if(TRAIN).alias("train_routes"), F.count_if(VALID).alias("validation_routes"))
 
 
 def scatter_sample(labeled: DataFrame, n: int = S.SAMPLE_ROWS, seed: int = S.SEED) -> DataFrame:

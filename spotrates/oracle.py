@@ -93,6 +93,9 @@ _MANIFEST = """man AS (SELECT f.fold_id, f.fold,
     CAST(count_if(side='train') AS BIGINT) AS train_rows, CAST(count_if(side='valid') AS BIGINT) AS valid_rows
   FROM folds f LEFT JOIN tagged t ON t.fold_id = f.fold_id GROUP BY f.fold_id, f.fold)"""
 FOLD_MANIFEST = q(_MANIFEST, final="SELECT * FROM man")
+FOLD_REPORT = q(_MANIFEST, final="""SELECT fold, train_start, train_end, valid_start, valid_end,
+  format('{:,.3f}', CAST(train_rows AS DOUBLE)) AS train_rows, format('{:,.3f}', CAST(valid_rows AS DOUBLE)) AS valid_rows
+FROM man ORDER BY fold_id LIMIT 8""")
 FOLD_CHECKS = q(_MANIFEST, final="""SELECT fold_id, fold, CAST(train_rows = 0 AS INTEGER) AS empty_train,
   CAST(valid_rows = 0 AS INTEGER) AS empty_valid,
   CAST(coalesce(train_end >= valid_start, false) AS INTEGER) AS leaks_chronology FROM man""")
@@ -176,6 +179,11 @@ SELECTED_TOP_ERRORS = q(*_BASE, final=f"""SELECT load_id, date, equipment, {r('d
   {r('posted_rate', 'posted_rate')}, {r('predicted_rate', 'predicted_rate')}, fold, {r(AE, 'abs_error')}
   FROM sp ORDER BY {AE} DESC, load_id, fold LIMIT {S.TOP_ERRORS}""")
 
+SELECTED_TOP_ERRORS_OF_LOADS = q(*_BASE, final=f"""SELECT load_id, date, equipment, {r('distance', 'distance')},
+  {r('posted_rate', 'posted_rate')}, {r('predicted_rate', 'predicted_rate')}, fold, {r(AE, 'abs_error')}
+  FROM (SELECT *, row_number() OVER (PARTITION BY load_id ORDER BY {AE} DESC, fold) AS nth FROM sp) WHERE nth = 1
+  ORDER BY {AE} DESC, load_id, fold LIMIT {S.TOP_ERRORS}""")
+
 
 def _hist_sql(src: str, value: str, bins: int, keys: list[str], digits: int = 4) -> tuple[list[str], str]:
     k = ", ".join(keys)
@@ -288,47 +296,6 @@ FEATURE_CONTRACT = q(*_fc, f"fx AS ({_fs})", final=f"""SELECT 'features' AS "tab
 UNION ALL SELECT 'features', 'nonfinite_features', CAST({_nonfinite} AS BIGINT) FROM fx""")
 
 # -- profile -----------------------------------------------------------------------------
-def _profile_wide(src: str, name: str, ncols: int) -> str:
-    return f"""SELECT '{name}' AS dataset, count(*) AS rows, CAST({ncols} AS BIGINT) AS columns,
-  strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max,
-  CAST(count(*) - count(DISTINCT load_id) - max(CAST(load_id IS NULL AS INTEGER)) AS BIGINT) AS duplicate_load_ids,
-  CAST(count_if(weight < 0) AS BIGINT) AS negative_weights, round(min(weight), 6) AS min_weight,
-  CAST(count(DISTINCT pickup) AS BIGINT) AS pickup_cities, CAST(count(DISTINCT delivery) AS BIGINT) AS delivery_cities,
-  CAST(count(DISTINCT {ROUTE}) AS BIGINT) AS routes,
-  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS BIGINT) AS duplicate_rows
-FROM {src}"""
-
-
-PROFILE_WIDE = q(final=_profile_wide("lab", "train", 14) + "\nUNION ALL " + _profile_wide("sco", "validation", 13))
-
-
-def _profile_long() -> str:
-    parts = []
-    for src, name, cols in (("lab", "train", S.LABELED_COLUMNS), ("sco", "validation", S.SCORING_COLUMNS),
-                            ("tmpl", "template", S.TEMPLATE_COLUMNS)):
-        parts.append(f"SELECT '{name}' AS dataset, 'rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM {src}")
-        parts.append(f"SELECT '{name}', 'columns', CAST({len(cols)} AS BIGINT)")
-        if "weight" in cols:
-            parts.append(f"SELECT '{name}', 'negative_weights', CAST(count_if(weight < 0) AS BIGINT) FROM {src}")
-        parts.append(f"SELECT '{name}', 'duplicate_rows', CAST(count(*) - (SELECT count(*) FROM "
-                     f"(SELECT DISTINCT * FROM {src})) AS BIGINT) FROM {src}")
-        parts.append(f"SELECT '{name}', 'duplicate_load_ids', CAST(count(*) - count(DISTINCT load_id) - "
-                     f"max(CAST(load_id IS NULL AS INTEGER)) AS BIGINT) FROM {src}")
-        if "pickup" in cols:
-            parts.append(f"SELECT '{name}', 'pickup_cities', CAST(count(DISTINCT pickup) AS BIGINT) FROM {src}")
-            parts.append(f"SELECT '{name}', 'delivery_cities', CAST(count(DISTINCT delivery) AS BIGINT) FROM {src}")
-            parts.append(f"SELECT '{name}', 'routes', CAST(count(DISTINCT {ROUTE}) AS BIGINT) FROM {src}")
-        for c in cols:
-            nan = f" OR isnan({c})" if c in ("pickup_lat", "pickup_lon", "delivery_lat", "delivery_lon", "distance",
-                                              "weight", "market_index", "quote_signal", "posted_rate",
-                                              "predicted_rate") else ""
-            parts.append(f"SELECT '{name}', 'missing_{c}', CAST(count_if({c} IS NULL{nan}) AS BIGINT) FROM {src}")
-    return "\nUNION ALL ".join(parts)
-
-
-PROFILE_LONG = q("tmpl AS (SELECT load_id, CAST(NULL AS DOUBLE) AS predicted_rate FROM sco)", final=_profile_long())
-
-
 def _describe(src: str, value: str, probs: dict[str, float], series: str, all_names: list[str]) -> str:
     qs = [r(f"quantile_cont({value}, {p})", n) if n in probs else f"CAST(NULL AS DOUBLE) AS {n}"
           for n, p in [(n, probs.get(n)) for n in all_names]]
@@ -526,11 +493,101 @@ _EXEC = [
      AS unseen_cities FROM uc)
   CROSS JOIN (SELECT count(*) AS unseen_validation_routes FROM (SELECT route FROM vr2 EXCEPT SELECT route FROM trr2)))""",
 ]
+_FOUR = (("lab", "train", S.LABELED_COLUMNS), ("sco", "validation", S.SCORING_COLUMNS),
+         ("tmpl", "template", S.TEMPLATE_COLUMNS), ("scen7", "scenario", S.SCENARIO_COLUMNS))
+_FOUR_CTES = [_SCEN[0], "tmpl AS (SELECT load_id, CAST(NULL AS DOUBLE) AS predicted_rate FROM sco)",
+              "scen7 AS (SELECT *, CAST(NULL AS DOUBLE) AS predicted_rate FROM scen)"]
+
+
+def _profile_wide(src: str, name: str, cols: list[str]) -> str:
+    def given(column, expr, kind="BIGINT"):
+        return f"CAST({expr if column in cols else 'NULL'} AS {kind})"
+
+    return f"""SELECT '{name}' AS dataset, count(*) AS rows, CAST({len(cols)} AS BIGINT) AS columns,
+  '{",".join(cols)}' AS column_names,
+  {given('date', "strftime(min(date), '%Y-%m-%d')", 'VARCHAR')} AS date_min,
+  {given('date', "strftime(max(date), '%Y-%m-%d')", 'VARCHAR')} AS date_max,
+  {given('load_id', 'count(*) - count(DISTINCT load_id) - max(CAST(load_id IS NULL AS INTEGER))')} AS duplicate_load_ids,
+  {given('weight', 'count_if(weight < 0)')} AS negative_weights,
+  {given('weight', 'round(min(weight), 6)', 'DOUBLE')} AS min_weight,
+  {given('pickup', 'count(DISTINCT pickup)')} AS pickup_cities,
+  {given('delivery', 'count(DISTINCT delivery)')} AS delivery_cities,
+  {given('pickup', f'count(DISTINCT {ROUTE})')} AS routes,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS BIGINT) AS duplicate_rows
+FROM {src}"""
+
+
+def _profile_long() -> str:
+    parts = []
+    for src, name, cols in _FOUR:
+        parts.append(f"SELECT '{name}' AS dataset, 'rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM {src}")
+        parts.append(f"SELECT '{name}', 'columns', CAST({len(cols)} AS BIGINT)")
+        if "weight" in cols:
+            parts.append(f"SELECT '{name}', 'negative_weights', CAST(count_if(weight < 0) AS BIGINT) FROM {src}")
+        parts.append(f"SELECT '{name}', 'duplicate_rows', CAST(count(*) - (SELECT count(*) FROM "
+                     f"(SELECT DISTINCT * FROM {src})) AS BIGINT) FROM {src}")
+        if "load_id" in cols:
+            parts.append(f"SELECT '{name}', 'duplicate_load_ids', CAST(count(*) - count(DISTINCT load_id) - "
+                         f"max(CAST(load_id IS NULL AS INTEGER)) AS BIGINT) FROM {src}")
+        if "pickup" in cols:
+            parts.append(f"SELECT '{name}', 'pickup_cities', CAST(count(DISTINCT pickup) AS BIGINT) FROM {src}")
+            parts.append(f"SELECT '{name}', 'delivery_cities', CAST(count(DISTINCT delivery) AS BIGINT) FROM {src}")
+            parts.append(f"SELECT '{name}', 'routes', CAST(count(DISTINCT {ROUTE}) AS BIGINT) FROM {src}")
+        for c in cols:
+            nan = f" OR isnan({c})" if c in ("pickup_lat", "pickup_lon", "delivery_lat", "delivery_lon", "distance",
+                                              "weight", "market_index", "quote_signal", "posted_rate",
+                                              "predicted_rate") else ""
+            parts.append(f"SELECT '{name}', 'missing_{c}', CAST(count_if({c} IS NULL{nan}) AS BIGINT) FROM {src}")
+    return "\nUNION ALL ".join(parts)
+
+
+PROFILE_WIDE = q(*_FOUR_CTES, final="\nUNION ALL ".join(_profile_wide(*t) for t in _FOUR))
+PROFILE_LONG = q(*_FOUR_CTES, final=_profile_long())
+
+
+def _audit() -> str:
+    def number(dataset, metric, value, src):
+        return f"SELECT {dataset}, {metric}, {r(f'CAST({value} AS DOUBLE)', 'value')}, CAST(NULL AS VARCHAR) AS text FROM {src}"
+
+    def text(dataset, metric, value, src):
+        return f"SELECT {dataset}, {metric}, CAST(NULL AS DOUBLE), {value} FROM {src}"
+
+    parts = [number("dataset", "metric", "value", f"({_profile_long()})")]
+    for src, name, cols in _FOUR:
+        parts.append(text(f"'{name}'", "'column_names'", f"'{','.join(cols)}'", "(SELECT 1)"))
+        if "date" in cols:
+            parts += [text(f"'{name}'", f"'date_{f}'", f"strftime({f}(date), '%Y-%m-%d')", src) for f in ("min", "max")]
+        if "weight" in cols:
+            parts.append(number(f"'{name}'", "'min_weight'", "min(weight)", src))
+        if "equipment" in cols:
+            parts.append(number(f"'{name}'", "'equipment_' || coalesce(equipment, 'null')", "c",
+                                f"(SELECT equipment, count(*) AS c FROM {src} GROUP BY equipment)"))
+    for series, value, probs in (("posted_rate", "posted_rate", _TP), ("rate_per_mile", "posted_rate / distance", _RP)):
+        stats = {"count": f"count({value})", "mean": f"avg({value})", "std": f"stddev_samp({value})",
+                 "min": f"min({value})", "max": f"max({value})"}
+        stats |= {n: f"quantile_cont({value}, {p})" for n, p in probs.items()}
+        parts += [number("'train'", f"'{series}_{n}'", e, "lab") for n, e in stats.items()]
+    for metric, sql in (("unseen_validation_routes", "SELECT route FROM vr2 EXCEPT SELECT route FROM trr2"),
+                        ("train_routes", "SELECT * FROM trr2"), ("validation_routes", "SELECT * FROM vr2")):
+        parts.append(number("'overlap'", f"'{metric}'", "count(*)", f"({sql})"))
+    parts.append(text("'unseen_validation_cities'", "'city'", "city", "uc"))
+    means = "(SELECT (SELECT avg(market_index) FROM lab) AS a, (SELECT avg(market_index) FROM sco) AS b)"
+    for metric, e in (("train_mean", "a"), ("validation_mean", "b"), ("difference", "b - a")):
+        parts.append(number("'market_index_shift'", f"'{metric}'", e, means))
+    parts.append(number("'template'", "'out_of_order'", "count(*)",
+                        "(SELECT load_id FROM tmpl t ANTI JOIN sco s USING (load_id))"))
+    return "\nUNION ALL ".join(parts)
+
+
+AUDIT = q(*_FOUR_CTES, *_EXEC, final=f"SELECT * FROM ({_audit()}) AS a(dataset, metric, value, text)")
 EXECUTIVE_NUMBERS = q(*_EXEC, final=f"""SELECT train_rows, train_start, train_end, train_missing_weight,
   train_missing_market_index, train_negative_weights, {r('train_market_mean', 'train_market_mean')}, validation_rows,
   validation_start, validation_end, validation_missing_weight, validation_missing_market_index,
   validation_negative_weights, {r('validation_market_mean', 'validation_market_mean')}, unseen_city_count,
-  unseen_cities, unseen_validation_routes FROM ex""")
+  unseen_cities, unseen_validation_routes, {', '.join(r(f'{c} * 100e0 / greatest({c.split("_")[0]}_rows, 1)', c + '_pct')
+  for side in ('train', 'validation') for c in
+  (f'{side}_missing_weight', f'{side}_missing_market_index', f'{side}_negative_weights'))},
+  {r('validation_market_mean - train_market_mean', 'market_shift')} FROM ex""")
 
 FINDINGS = q(*_EXEC, final="\nUNION ALL ".join([
     "SELECT 1 AS ordinal, printf('Labeled loads: %s rows from %s to %s.', format('{:,}', train_rows), train_start, train_end) AS finding FROM ex",
@@ -546,6 +603,8 @@ LEADERBOARD_REPORT = q(*_BASE, final="""SELECT model, format('{:,.3f}', mean_mae
 FROM rk ORDER BY mean_mae ASC NULLS LAST, recent_mae ASC NULLS LAST, model LIMIT 8""")
 SCENARIO_REPORT = q(*_BASE, final=f"""SELECT 'december_' || model AS model, {r('avg(mae)', 'mean_temporal_mae')} FROM res
   WHERE model = 'equipment_median_rpm' GROUP BY model ORDER BY 2, model LIMIT 5""")
+SCENARIO_REPORT_TEXT = q(*_BASE, final="""SELECT 'december_' || model AS model, format('{:,.3f}', avg(mae)) AS mean_temporal_mae
+  FROM res WHERE model = 'equipment_median_rpm' GROUP BY model ORDER BY avg(mae), model LIMIT 5""")
 
 STREAM_SCORING = q(*[c.replace("CASE (SELECT model FROM sel)", "CASE 'equipment_median_rpm'") for c in _FINAL],
                    final=f"SELECT load_id, {r('predicted_rate', 'predicted_rate')} FROM fpp")
@@ -562,6 +621,15 @@ DIRTY_SCORING_CONTRACTS = q(_dirty("ds", D.DIRTY_SCORING), final=_load_rules(
 _DIRTY_TEMPLATE = _dirty("dt", D.DIRTY_TEMPLATE)
 DIRTY_TEMPLATE_CONTRACTS = q(_DIRTY_TEMPLATE, final=_id_rules("dt", "sco", "predictions") + f"""
 UNION ALL SELECT 'predictions', 'bad_prediction', CAST({_bad_rate()} AS BIGINT) FROM dt""")
+DIRTY_PREDICTION_FILE = q(
+    _DIRTY_TEMPLATE, "so AS (SELECT CAST(substr(load_id, 4) AS BIGINT) * 2 AS ordinal, load_id FROM sco)",
+    # the columns are swapped
+    final=_id_rules("dt", "sco", "predictions") + f"""
+UNION ALL SELECT 'predictions', 'bad_prediction', CAST({_bad_rate()} AS BIGINT) FROM dt
+UNION ALL SELECT 'predictions', 'columns', CAST(1 AS BIGINT)
+UNION ALL SELECT 'predictions', 'row_count', CAST(abs((SELECT count(*) FROM dt) - (SELECT count(*) FROM sco)) AS BIGINT)
+UNION ALL SELECT 'predictions', 'out_of_order', CAST(count_if(NOT coalesce(a.load_id = b.load_id, false)) AS BIGINT)
+  FROM dt a FULL JOIN so b USING (ordinal)""")
 DIRTY_TEMPLATE_ORDER = q(
     _DIRTY_TEMPLATE, "so AS (SELECT CAST(substr(load_id, 4) AS BIGINT) * 2 AS ordinal, load_id FROM sco)",
     final="""SELECT count_if(NOT coalesce(a.load_id = b.load_id, false)) AS out_of_order

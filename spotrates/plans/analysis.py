@@ -128,6 +128,13 @@ def selected_top_errors(spark, sf_dir):
                                               "predicted_rate", "fold", "abs_error"))
 
 
+def selected_top_errors_of_loads(spark, sf_dir):
+    """K3 with every load once."""
+    p = _selected_fold_predictions(spark, sf_dir)
+    return R6(M.top_absolute_errors(p, distinct_loads=True).select(
+        "load_id", "date", "equipment", "distance", "posted_rate", "predicted_rate", "fold", "abs_error"))
+
+
 def selected_residual_histogram(spark, sf_dir):
     """Residuals of the selected model clipped to their p1..p99, 60 bins."""
     from .report import residual_histogram
@@ -178,17 +185,32 @@ def feature_contract(spark, sf_dir):
 
 
 # -- profile -------------------------------------------------------------------
-def profile_wide(spark, sf_dir):
+def _four_tables(spark, sf_dir):
     lab, sco = tables(spark, sf_dir)
-    a = PR.table_profile(lab, "train")
-    b = PR.table_profile(sco, "validation")
-    return R6(a.unionByName(b, allowMissingColumns=True))
+    return {"train": lab, "validation": sco, "template": L.prediction_template(spark, sf_dir),
+            "scenario": L.scenario_template(spark)}
+
+
+def profile_wide(spark, sf_dir):
+    """A1-A4, A6 of all four tables, with their column lists."""
+    parts = [PR.table_profile(df, name) for name, df in _four_tables(spark, sf_dir).items()]
+    return R6(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
 def profile_long(spark, sf_dir):
-    lab, sco = tables(spark, sf_dir)
-    tmpl = L.prediction_template(spark, sf_dir)
-    return PR.flatten_profile([(lab, "train"), (sco, "validation"), (tmpl, "template")])
+    return PR.flatten_profile([(df, name) for name, df in _four_tables(spark, sf_dir).items()])
+
+
+def audit(spark, sf_dir):
+    """The whole audit as rows."""
+    from .audit import audit_rows
+    found = _four_tables(spark, sf_dir)
+
+    def numbered(df):
+        return df.select(F.substring("load_id", 4, 20).cast("bigint").alias("ordinal"), "load_id")
+
+    order = V.order_differences(numbered(found["template"]), numbered(found["validation"]))
+    return R6(audit_rows(found, order))
 
 
 def target_summary(spark, sf_dir):
@@ -363,6 +385,23 @@ def leaderboard_report_table(spark, sf_dir):
     return formatted_table(cols, 8, [F.asc_nulls_last("mean_mae"), F.asc_nulls_last("recent_mae"), "model"])
 
 
+def fold_report_table(spark, sf_dir):
+    """The folds, numbers as 3-decimal text."""
+    from .report import formatted_table
+    lab, _ = tables(spark, sf_dir)
+    return formatted_table(fold_manifest(lab).withColumn("fold_id", F.col("fold_id").cast("string")), 8,
+                           ["fold_id"]).drop("fold_id")
+
+
+def scenario_report_text(spark, sf_dir):
+    """The table of A18, numbers as 3-decimal text."""
+    from .report import formatted_table
+    lab, _ = tables(spark, sf_dir)
+    specs = [s for s in S.scenario_candidate_specs() if s.family in S.BASELINE_FAMILIES]
+    top = M.mean_mae_top(baseline_backtest(lab, specs).results, 5).withColumnRenamed("mean_mae", "mean_temporal_mae")
+    return formatted_table(top, 5, ["mean_temporal_mae", "model"])
+
+
 def scenario_report_table(spark, sf_dir):
     """A18 + R3: mean MAE per scenario-catalog baseline, ascending, top 5."""
     lab, _ = tables(spark, sf_dir)

@@ -29,6 +29,14 @@ def dirty_template_contracts(spark, sf_dir):
                                    L.scoring_loads(spark, sf_dir).select("load_id"))
 
 
+def dirty_prediction_file(spark, sf_dir):
+    """Swapped columns, another number of rows, ids at other places, bad ids and rates."""
+    pred = D.dirty(spark, sf_dir, D.DIRTY_TEMPLATE).select("ordinal", "predicted_rate", "load_id")
+    template = L.scoring_loads(spark, sf_dir).select(
+        (F.substring("load_id", 4, 20).cast("bigint") * 2).alias("ordinal"), "load_id")
+    return V.prediction_file_violations(pred, template, pred.columns[1:])
+
+
 def dirty_template_order(spark, sf_dir):
     """Positions at which template and scoring ids differ."""
     scoring = L.scoring_loads(spark, sf_dir).select(

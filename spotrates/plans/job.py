@@ -24,6 +24,7 @@ from ..operators import profile as PR
 from ..sources import loads as L
 from ..sources import readers as RD
 from ..sources import sinks as SK
+from .audit import audit_documents, audit_rows
 from .backtest import RESULT_COLUMNS, full_backtest
 from .report import executive_numbers, findings, residual_histogram
 from .scoring import (final_predictions, merged_predictions, prediction_summary, scenario_chart,
@@ -35,14 +36,14 @@ def _order():
             F.asc_nulls_last("std_mae"), "model"]
 
 
-OUTPUTS = ["eda/profile", "eda/drift", "eda/findings", "eda/city_lookup", "eda/audit", "eda/equipment_counts", "metrics/folds",
+OUTPUTS = ["eda/profile", "eda/drift", "eda/findings", "eda/city_lookup", "eda/audit_rows", "eda/audit", "eda/equipment_counts", "metrics/folds",
            "metrics/model_results", "metrics/model_rankings", "metrics/scenario_model_results",
            "metrics/scenario_model_rankings", "metrics/selected_model", "metrics/top_absolute_errors",
            "metrics/error_by_equipment", "metrics/selected_fold_predictions", "metrics/residual_histogram", "predictions/validation", "predictions/scenario",
            "predictions/scenario_chart", "manifests/run_summary"]
 
 
-PARQUET = {"metrics/selected_fold_predictions"}
+PARQUET = {"metrics/selected_fold_predictions", "eda/audit_rows"}
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -63,15 +64,20 @@ def run_files(spark: SparkSession, input_dir: str, out_dir: str, expected_rows:
     hashes (S4), a verified copy of every input (S5), then ``run_tables``."""
     tables = RD.load_all(spark, input_dir, expected_rows, kw.get("scenario_fixed"),
                          kw.get("scenario_month", (S.SCENARIO_START, S.SCENARIO_END)))
-    SK.write_table(_small(RD.file_inventory(spark, [f"{input_dir}/{f}" for f in RD.FILES.values()])),
-                   f"{out_dir}/manifests/inputs", "csv")
+    inputs = f"{out_dir}/manifests/inputs"
+    SK.write_table(_small(RD.file_inventory(spark, [f"{input_dir}/{f}" for f in RD.FILES.values()])), inputs, "csv")
     copies = {name: RD.snapshot(df, f"{out_dir}/raw/{name}") for name, df in tables.items()}
-    return run_tables(spark, copies, out_dir, **kw)
+    # Names, sizes and hashes of four files; load_all has found template and scoring ids in one order.
+    manifest = SK.read_back(spark, inputs, "csv").agg(
+        F.array_sort(F.collect_list(F.struct("name", "size", "sha256"))).alias("input_manifest"))
+    return run_tables(spark, copies, out_dir, manifest=manifest, **kw)
 
 
 def run_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, full_specs=None, scenario_specs=None,
                learned_kw: dict | None = None, folds=None, scenario_fixed: dict | None = None,
-               scenario_month: tuple[str, str] = (S.SCENARIO_START, S.SCENARIO_END)) -> dict:
+               scenario_month: tuple[str, str] = (S.SCENARIO_START, S.SCENARIO_END),
+               manifest: DataFrame | None = None) -> dict:
+    """``manifest`` is one row that the run summary takes in."""
     t0 = time.perf_counter()
     month = {"start": scenario_month[0], "end": scenario_month[1], "fixed": scenario_fixed}
     full_specs = full_specs or S.full_candidate_specs()
@@ -88,8 +94,8 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
 
     # Audit, drift, findings, city dimension.
     tagged = PR.tag_datasets(lab, sco)
-    SK.write_table(_small(PR.flatten_profile([(lab, "train"), (sco, "validation"), (template, "template")])),
-                   f"{out_dir}/eda/profile", "csv")
+    four = {"train": lab, "validation": sco, "template": template, "scenario": scenario}
+    SK.write_table(_small(PR.flatten_profile([(df, name) for name, df in four.items()])), f"{out_dir}/eda/profile", "csv")
     SK.write_table(_small(PR.drift_table(tagged)), f"{out_dir}/eda/drift", "csv")
     SK.write_findings(findings(lab, sco), f"{out_dir}/eda/findings")
     dim = PR.city_coordinates(lab, sco)
@@ -102,9 +108,8 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
     SK.write_table(_small(PR.equipment_counts(lab, "train").unionByName(PR.equipment_counts(sco, "validation"))),
                    f"{out_dir}/eda/equipment_counts", "csv")
     SK.write_json_doc(_small(dim.select("city", "lat", "lon")), f"{out_dir}/eda/city_lookup")
-    audit = PR.table_profile(lab, "train").unionByName(PR.table_profile(sco, "validation"), allowMissingColumns=True)
-    SK.write_json_doc(_small(audit.crossJoin(PR.overlap_summary(lab, sco)).crossJoin(
-        PR.market_shift(tagged).select(F.struct("*").alias("market_index_shift")))), f"{out_dir}/eda/audit")
+    SK.write_table(audit_rows(four), f"{out_dir}/eda/audit_rows")
+    SK.write_json_doc(_small(audit_documents(SK.read_back(spark, f"{out_dir}/eda/audit_rows"))), f"{out_dir}/eda/audit")
 
     from ..operators.folds import fold_manifest, fold_violations
     checked = fold_violations(lab, folds)
@@ -144,7 +149,10 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
         .select("load_id", "predicted_rate")
     merged = merged_predictions(template, final)
     V.require(V.merge_violations(template, final).unionByName(V.prediction_violations(merged, sco.select("load_id"))))
-    SK.write_prediction_csv(merged, f"{out_dir}/predictions/validation")
+    # The template's order is that of its ids (V8).
+    SK.write_prediction_csv(merged.orderBy("load_id"), f"{out_dir}/predictions/validation")
+    written = RD.read_csv(spark, f"{out_dir}/predictions/validation", S.TEMPLATE_COLUMNS, "predictions")
+    V.require(V.prediction_violations(written, template.select("load_id")))
 
     # Scenario (M18, J1, V12, R2).
     dspec = next(s for s in scenario_specs if s.name == best_dec)
@@ -163,6 +171,8 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
                .crossJoin(executive_numbers(lab, sco).select(F.struct("*").alias("inputs")))
                .withColumn("seed", F.lit(S.SEED)).withColumn("elapsed_seconds",
                                                              F.lit(round(time.perf_counter() - t0, 3))))
+    if manifest is not None:
+        summary = summary.crossJoin(manifest)
     SK.write_json_doc(_small(summary), f"{out_dir}/manifests/run_summary")
     check_outputs(spark, out_dir)
     return {"full_model": best_full, "december_model": best_dec}

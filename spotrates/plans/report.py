@@ -13,7 +13,8 @@ from ..operators.quantiles import quantiles
 
 
 def executive_numbers(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
-    """Rows, date ranges, missing, negative weights, unseen cities/routes, market shift.
+    """Rows, date ranges, missing and negative weights with their shares in percent,
+    unseen cities/routes, market means and shift.
 
     One row; every number is computed from the tables (nothing hard-coded).
     """
@@ -34,7 +35,11 @@ def executive_numbers(labeled: DataFrame, scoring: DataFrame) -> DataFrame:
         F.size("unseen_validation_cities").cast("bigint").alias("unseen_city_count"),
         F.coalesce(F.nullif(F.array_join("unseen_validation_cities", ", "), F.lit("")), F.lit("none"))
         .alias("unseen_cities"), "unseen_validation_routes")
-    return a.crossJoin(b).crossJoin(o)
+    shares = {f"{c}_pct": F.col(c) * 100.0 / F.greatest(F.col(f"{side}_rows"), F.lit(1))
+              for side in ("train", "validation")
+              for c in (f"{side}_missing_weight", f"{side}_missing_market_index", f"{side}_negative_weights")}
+    return a.crossJoin(b).crossJoin(o).withColumns(shares).withColumn(
+        "market_shift", F.col("validation_market_mean") - F.col("train_market_mean"))
 
 
 def findings(labeled: DataFrame, scoring: DataFrame) -> DataFrame:

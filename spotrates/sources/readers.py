@@ -4,7 +4,11 @@ raw snapshot with an order-insensitive fingerprint."""
 from __future__ import annotations
 
 import csv
+import hashlib
+import re
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +98,33 @@ def load_all(spark: SparkSession, root: str, expected_rows: dict | None = None,
     return {"labeled": lab, "scoring": sco, "template": tmpl, "scenario": scen_t}
 
 
-def file_inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Size and SHA-256 per input file (``binaryFile`` source; one file per row)."""
-    df = spark.read.format("binaryFile").load(paths)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
-                     F.sha2(F.col("content"), 256).alias("sha256"))
+READ_BYTES = 8 << 20
+
+
+def file_inventory(spark: SparkSession, paths: list[str], read_bytes: int = READ_BYTES) -> DataFrame:
+    """Size and SHA-256 per input file; a missing file raises.
+
+    Files are only listed by Spark (their content column is pruned, which has a
+    2 GB limit). A task digests its files ``read_bytes`` at a time, so its memory
+    doesn't grow with them; files of one call are dealt over as many tasks. Tasks
+    open them through Arrow's file systems (local, HDFS and its mounts, S3)."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+
+    def digest(batches):
+        for batch in batches:
+            sums = []
+            for path in batch.column("path").to_pylist():
+                system, name = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path).replace("s3a://", "s3://", 1))
+                total = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while block := stream.read(read_bytes):
+                        total.update(block)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())],
+                                             names=["path", "length", "sha256"])
+
+    return listed.repartition(max(1, len(paths)), "path").mapInArrow(digest, "path string, length long, sha256 string").select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "sha256")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
