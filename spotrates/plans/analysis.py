@@ -19,6 +19,7 @@ from ..operators import metrics as M
 from ..operators import profile as PR
 from ..operators.features import fit_stats, single_fold, stateless_features, transform
 from ..operators.folds import assign_folds, fold_manifest, fold_violations
+from ..session import cut_lineage
 from ..sources import loads as L
 from .backtest import baseline_backtest, with_periods
 
@@ -205,6 +206,8 @@ def audit(spark, sf_dir):
     """The whole audit as rows."""
     from .audit import audit_rows
     found = _four_tables(spark, sf_dir)
+    for name in (PR.TRAIN, PR.VALID):   # read many times below: the joins behind them run once
+        found[name] = cut_lineage(found[name])
 
     def numbered(df):
         return df.select(F.substring("load_id", 4, 20).cast("bigint").alias("ordinal"), "load_id")

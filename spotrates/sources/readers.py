@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
-import re
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -101,20 +101,29 @@ def load_all(spark: SparkSession, root: str, expected_rows: dict | None = None,
 READ_BYTES = 8 << 20
 
 
+def _opened(path: str):
+    """Arrow file system and name of a path as Spark writes it (not percent-encoded)."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{quote(rest, safe='/:@')}")
+
+
 def file_inventory(spark: SparkSession, paths: list[str], read_bytes: int = READ_BYTES) -> DataFrame:
     """Size and SHA-256 per input file; a missing file raises.
 
     Files are only listed by Spark (their content column is pruned, which has a
     2 GB limit). A task digests its files ``read_bytes`` at a time, so its memory
     doesn't grow with them; files of one call are dealt over as many tasks. Tasks
-    open them through Arrow's file systems (local, HDFS and its mounts, S3)."""
+    open them through Arrow's file systems (local, HDFS and its mounts, S3). Spark
+    lists no empty file; ``read_csv`` rejects one by its header."""
     listed = spark.read.format("binaryFile").load(paths).select("path", "length")
 
     def digest(batches):
         for batch in batches:
             sums = []
             for path in batch.column("path").to_pylist():
-                system, name = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path).replace("s3a://", "s3://", 1))
+                system, name = _opened(path)
                 total = hashlib.sha256()
                 with system.open_input_stream(name) as stream:
                     while block := stream.read(read_bytes):
