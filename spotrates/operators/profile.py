@@ -238,7 +238,7 @@ def box_stats(labeled: DataFrame) -> DataFrame:
     """Box-plot statistics of rate per mile by equipment (whiskers at the last point within 1.5 IQR)."""
     base = labeled.select("equipment", F.try_divide(F.col("posted_rate"), F.col("distance")).alias("rpm"))
     q = grouped_quantiles(base, ["equipment"], "rpm", QUARTILES)
-    j = base.join(F.broadcast(q), "equipment")
+    j = base.join(q, "equipment")
     iqr = F.col("p75") - F.col("p25")
     lo_f, hi_f = F.col("p25") - 1.5 * iqr, F.col("p75") + 1.5 * iqr
     inside = (F.col("rpm") >= lo_f) & (F.col("rpm") <= hi_f)
