@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,7 +187,9 @@ def check_outputs(spark: SparkSession, out_dir: str) -> None:
             kind = spark.read.parquet if rel in PARQUET else spark.read.text
             if not kind(f"{out_dir}/{rel}").limit(1).count():
                 missing.append(rel)
-        except Exception:  # noqa: BLE001 - a missing folder is a failed check
+        except AnalysisException as e:   # a missing folder is a failed check, another error is not
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             missing.append(rel)
     if missing:
         raise V.ContractError(f"missing or empty outputs: {missing}")
