@@ -3,27 +3,27 @@
 A text is a sequence of tokens (words, then one end); a word is coded as its
 bytes and a closing space, the end as a line feed. Every byte is decomposed into
 eight binary decisions; the context of a decision is the bits before it and the
-last ``DEPTH`` bytes of the same token (spaces before its first byte). In every
-tree of contexts the block probability of a node is the equal mixture of its
-Krichevsky-Trofimov estimate and the product of its children's. The trees are
-learned from the counts of all training tokens and then stay fixed: a decision's
-probability mixes the estimates of all depths of its path with their posterior
-weights, down to the deepest context that the training tokens contain.
-
-All texts share few distinct words and these share few distinct (context, byte)
-grams, so each step works on distinct things only:
-
-1. Chunks of texts become lists of local word numbers and a chunk dictionary.
-2. Dictionaries are added up: the count of every word in the training texts.
-3. Blocks of distinct words become distinct grams with counts.
-4. Grams are grouped by their last two context bytes; the trees below are
+last ``DEPTH`` bytes of the running text, across words (spaces before its first
+byte). In every tree of contexts the block probability of a node is the equal
+mixture of its Krichevsky-Trofimov estimate and the product of its children's.
+The trees are learned from the counts of all training texts and then stay fixed:
+a decision's probability mixes the estimates of all depths of its path with their
+posterior weights, down to the deepest context that the training texts contain.
+``score(docs, running=False)`` is the model of single tokens: contexts end at
+the token's start, so a text's score does not depend on the order of its words.
+
+Texts have many positions but few distinct words and (context, byte) grams:
+
+1. Chunks of texts become sequences of local word numbers, a chunk dictionary of
+   words and one of grams, each dealt into buckets, with counts in training texts.
+2. Buckets are added up: the count of every word, and every distinct gram's.
+3. Grams are grouped by their last two context bytes; the trees below are
    weighted inside a group, the two levels above by joins; the way down gives
    every gram its code length.
-5. Grams give words their code length, words give texts theirs: each block or
-   chunk meets only its own grams or words.
+4. Buckets hand every chunk the counts and code lengths of its own dictionaries,
+   and the chunk, whose texts are read again from their word numbers, adds them up.
 
-Contexts end at the token's start: this is what lets each distinct word be coded
-once. Defined cases: null or empty text has the end token only; repeated rows
+Defined cases: null or empty text has the end token only; repeated rows
 count as often as they occur; a null doc_id counts as empty text for the split;
 without training texts every estimate is uniform (one half for each decision);
 other columns are ignored; an empty table gives an empty result.
@@ -32,10 +32,12 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +47,11 @@ from .words import words_of
 
 DEPTH = 6
 SPACE, END = 0x20, b"\n"
-CHUNK_BYTES = 16 << 20       # of text, at least one document
-BLOCK_WORDS = 250_000        # distinct words in one block, about
+CHUNK_BYTES = 48 << 20       # of text, about; at least one document, less than twice that besides
+BLOCK_WORDS = 300_000        # of running text worked on at a time, at eight bytes each
+PENDING_GRAMS = 2_000_000    # distinct grams of blocks that wait to be added up
+BUCKETS = 509                # of words and of grams
+WORDS, GRAMS = 0, 1          # kinds of dictionaries
 GROUP_GRAMS = 200_000        # grams in one group, about
 
 _LN2, _LNPI = math.log(2), math.log(math.pi)
@@ -129,66 +134,156 @@ def code_lengths(grams, counts, top_keys, mixed, rest, stop, top):
     return np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
 
 
-def word_grams(words):
-    """(gram of every coded byte, coded bytes of each word)."""
-    coded = [b" " * DEPTH + w + (b"" if w == END else b" ") for w in words]
-    size = np.array([len(c) for c in coded], np.int64)
-    data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
-    gram = np.zeros(max(len(data) - DEPTH, 0), np.int64)
-    for i in range(DEPTH + 1):
-        gram = (gram << 8) | data[i: len(data) - DEPTH + i]
+def byte_grams(pieces):
+    """(gram of every coded byte, coded bytes of each piece); a piece begins with the
+    ``DEPTH`` bytes before its first coded one."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    data = b"".join(pieces) + bytes(8)
+    # Eight bytes from every position on, of which the first seven are the gram.
+    gram = np.ndarray((len(data) - 8,), ">i8", data, strides=(1,)).astype(np.int64) >> 8 & (1 << 8 * (DEPTH + 1)) - 1
     start = np.cumsum(size) - size
     own = size - DEPTH
     at = np.arange(own.sum()) + np.repeat(start - (np.cumsum(own) - own), own)
     return gram[at], own
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. Texts: chunk, doc_id, held_out, ids, tfs. Chunk
-    dictionary: chunk, id, word, count in training texts."""
+def blocks(texts, words, running):
+    """(places of texts, their pieces) of about BLOCK_WORDS words at a time."""
+    most = 8 * BLOCK_WORDS
+    between = b" " * (1 if running else DEPTH + 1)
+    places, pieces, size = [], [], 0
+    for k, ids in enumerate(texts):
+        data = b" " * DEPTH + between.join([words[i] for i in ids.tolist()])
+        for at in range(0, len(data) - DEPTH, most):
+            places.append(k)
+            pieces.append(data[at: at + most + DEPTH])
+            size += len(pieces[-1])
+            if size >= most:
+                yield np.array(places), pieces
+                places, pieces, size = [], [], 0
+    if pieces:
+        yield np.array(places), pieces
+
+
+def is_padding(gram):
+    """A coded space follows a word's byte; one after a space only sets words apart."""
+    return gram & 0xFFFF == SPACE << 8 | SPACE
+
+
+def added_up(grams, counts):
+    """Sorted distinct grams of lists without repeats, and the sum of their counts."""
+    gram = np.concatenate(grams)
+    gram.sort()                                # much faster than hashing
+    gram = gram[np.append(True, gram[1:] != gram[:-1])] if len(gram) else gram
+    total = np.zeros(len(gram), np.int64)
+    for g, n in zip(grams, counts):
+        if n is not None:
+            total[np.searchsorted(gram, g)] += n
+    return gram, total
+
+
+def distinct_grams(texts, words, running, train=None):
+    """Sorted distinct grams of the texts, and their counts in those of ``train``."""
+    grams, counts, size = [], [], 0
+    for places, pieces in blocks(texts, words, running):
+        gram, own = byte_grams(pieces)
+        use = np.repeat(np.zeros(len(own), bool) if train is None else train[places], own)
+        for g, counted in ((gram[use], True), (gram[~use], False)):
+            g, n = np.unique(g if running else g[~is_padding(g)], return_counts=True)
+            grams.append(g)
+            counts.append(n if counted else None)
+            size += len(g)
+        if size > PENDING_GRAMS and len(grams) > 3:
+            gram, n = added_up(grams, counts)
+            grams, counts, size = [gram], [n if train is not None else None], 0
+    return added_up(grams, counts)
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """Bytes of equal weight lie side by side: sorted grams compress well like that."""
+    return grams.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+def chunks(docs: DataFrame, running: bool) -> DataFrame:
+    """Rows of two kinds. Texts: chunk, doc_id, held_out, ids (its words in order, the end too).
+    Dictionaries: chunk, kind, bucket, data (words, or packed grams), counts in training texts;
+    a word's id is its place in the chunk's buckets of words, one after the other."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                       (remainder_of_crc(F.col("doc_id"), 5) == 1).alias("held_out"))
-    schema = ("chunk long, doc_id long, held_out boolean, ids array<int>, tfs array<int>, "
-              "id int, word binary, count long")
+    schema = "chunk long, doc_id long, held_out boolean, ids array<int>, kind int, bucket int, data binary, counts array<long>"
+    shape = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
+                       ("ids", pa.list_(pa.int32())), ("kind", pa.int32()), ("bucket", pa.int32()),
+                       ("data", pa.binary()), ("counts", pa.list_(pa.int64()))])
+
+    def rows(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in shape], schema=shape)
+
+    def dealt(number, kind, bucket, pack, counts):
+        """The dictionary, which is in the order of its buckets, as a row for each."""
+        ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        some = [(b, i, j) for b, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if j > i]
+        return rows(chunk=[number] * len(some), kind=[kind] * len(some), bucket=[b for b, _, _ in some],
+                    data=[pack(i, j) for _, i, j in some], counts=[counts[i:j] for _, i, j in some])
+
+    def closed(number, doc_ids, held, texts, local):
+        words = list(local)
+        local.clear()
+        bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int32)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        train = ~np.array(held)
+        count = np.zeros(len(words), np.int64)
+        for t, use in zip(texts, train):
+            if use:
+                np.add.at(count, t, 1)
+        for i, j in slices_of(texts):
+            yield rows(chunk=[number] * (j - i), doc_id=doc_ids[i:j], held_out=held[i:j], ids=[rank[t] for t in texts[i:j]])
+        in_order = [words[i] for i in order.tolist()]
+        yield dealt(number, WORDS, bucket[order], lambda i, j: b" ".join(in_order[i:j]), count[order])
+        gram, count = distinct_grams(texts, words, running, train)
+        order = np.argsort(gram % BUCKETS, kind="stable")
+        gram, count = gram[order], count[order]
+        yield dealt(number, GRAMS, gram % BUCKETS, lambda i, j: packed(gram[i:j]), count)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            begin = 0
-            while begin < len(texts):
-                size, end = 0, begin
-                while end < len(texts) and (end == begin or size < CHUNK_BYTES):
-                    size += len(texts[end] or b"")
-                    end += 1
-                local, locals_, tfs = {}, [], []
-                seen = local.setdefault
-                for text in texts[begin:end]:
-                    words = words_of(text)
-                    words.append(END)
-                    t, n = np.unique(np.array([seen(w, len(local)) for w in words], np.int32), return_counts=True)
-                    locals_.append(t)
-                    tfs.append(n.astype(np.int32))
-                train = ~np.array(held[begin:end])
-                count = np.zeros(len(local), np.int64)
-                for t, n, use in zip(locals_, tfs, train):
-                    if use:
-                        count[t] += n
-                n, v = end - begin, len(local)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * (n + v), pa.int64()), pa.array(ids[begin:end] + [None] * v, pa.int64()),
-                     pa.array(held[begin:end] + [None] * v, pa.bool_()),
-                     pa.array(locals_ + [None] * v, pa.list_(pa.int32())),
-                     pa.array(tfs + [None] * v, pa.list_(pa.int32())),
-                     pa.array([None] * n + list(range(v)), pa.int32()),
-                     pa.array([None] * n + list(local), pa.binary()),
-                     pa.array([None] * n + count.tolist(), pa.int64())],
-                    names=["chunk", "doc_id", "held_out", "ids", "tfs", "id", "word", "count"])
-                number += 1
-                begin = end
-
-    return own.mapInArrow(run, schema)
+        doc_ids, held, texts, local, size = [], [], [], {}, 0
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            for doc_id, text, out in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(),
+                                         batch.column("held_out").to_pylist()):
+                words = words_of(text)
+                words.append(END)
+                doc_ids.append(doc_id)
+                held.append(out)
+                texts.append(np.array([local.setdefault(w, len(local)) for w in words], np.int32))
+                size += len(text or b"")
+                if size >= 2 * CHUNK_BYTES:
+                    yield from closed(number, doc_ids, held, texts, local)
+                    number += 1
+                    doc_ids, held, texts, local, size = [], [], [], {}, 0
+        if texts:
+            yield from closed(number, doc_ids, held, texts, local)
+
+    # Every chunk has its own dictionaries: small splits are read together, as long as all cores have work.
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return own.coalesce(max(cores, -(-size // CHUNK_BYTES))).mapInArrow(run, schema)
+
+
+def slices_of(texts, most: int = 4_000_000):
+    """(begin, end) of neighbouring texts with about ``most`` words together."""
+    begin = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= most or i + 1 == len(texts):
+            yield begin, i + 1
+            begin, total = i + 1, 0
 
 
 def gram_code_lengths(grams: DataFrame) -> DataFrame:
@@ -241,66 +336,91 @@ def gram_code_lengths(grams: DataFrame) -> DataFrame:
     return grouped.groupBy("part").cogroup(top.groupBy("part")).applyInArrow(lengths, "gram long, lp double")
 
 
-def word_code_lengths(words: DataFrame) -> DataFrame:
-    """``words(word, count)`` -> word, count, lp."""
-    blocks = max(1, -(-words.count() // BLOCK_WORDS))
-    own = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)))
+HANDED = "chunk long, kind int, bucket int, data array<double>, n long, v long"
 
-    def to_grams(key, t):
-        gram, size = word_grams(t["word"].to_pylist())
-        grams, place = np.unique(gram, return_inverse=True)
-        count = np.bincount(place, np.repeat(t["count"].to_numpy(), size).astype(float), len(grams))
-        return pa.table({"block": np.full(len(grams), key[0].as_py()), "gram": grams, "count": count})
 
-    of_block = staged(own.groupBy("block").applyInArrow(to_grams, "block long, gram long, count double"), "word-grams")
-    lengths = gram_code_lengths(of_block.groupBy("gram").agg(F.sum("count").alias("count")))
-    known = of_block.select("block", "gram").join(lengths, "gram")
+def handed(blobs, kind, values, **totals):
+    """Rows for the chunks: the values of every dictionary's entries."""
+    n = len(blobs)
+    return pa.table({"chunk": blobs["chunk"].cast(pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": blobs["bucket"],
+                     "data": pa.array(values, pa.list_(pa.float64())),
+                     **{c: pa.array([totals.get(c)] + [0] * (n - 1) if c in totals else [None] * n, pa.int64()) for c in "nv"}})
 
-    def to_words(left, right):
-        gram, size = word_grams(left["word"].to_pylist())
+
+def word_counts(blobs: DataFrame) -> DataFrame:
+    """Counts over all training texts for every chunk's words; n and v (tokens and
+    distinct words of training texts) add up over the rows."""
+    def count(t):
+        total: dict = {}
+        lists = [d.split(b" ") for d in t["data"].to_pylist()]
+        for words, counts in zip(lists, t["counts"].to_pylist()):
+            for w, c in zip(words, counts):
+                total[w] = total.get(w, 0) + c
+        all_ = total.values()
+        return handed(t, WORDS, [[total[w] for w in words] for words in lists], n=sum(all_), v=sum(c > 0 for c in all_))
+
+    return blobs.groupBy("bucket").applyInArrow(count, HANDED)
+
+
+def running_code_lengths(blobs: DataFrame) -> DataFrame:
+    """The code lengths of every chunk's grams."""
+    def add(t):
+        gram, count = added_up([unpacked(d) for d in t["data"].to_pylist()], [c.values.to_numpy() for c in t["counts"]])
+        return pa.table({"gram": gram, "count": count.astype(float)})
+
+    distinct = staged(blobs.groupBy("bucket").applyInArrow(add, "gram long, count double"), "lm-grams")
+    lengths = gram_code_lengths(distinct).withColumn("of", F.pmod("gram", F.lit(BUCKETS)).cast("int"))
+
+    def hand(left, right):
         right = right.sort_by("gram")
-        lp = right["lp"].to_numpy()[np.searchsorted(right["gram"].to_numpy(), gram)]
-        first = np.cumsum(size) - size
-        return pa.table({"word": left["word"], "count": left["count"], "lp": np.add.reduceat(lp, first)})
+        gram, lp = right["gram"].to_numpy(), right["lp"].to_numpy()
+        return handed(left, GRAMS, [lp[np.searchsorted(gram, unpacked(d))] for d in left["data"].to_pylist()])
 
-    return own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        to_words, "word binary, count long, lp double")
+    return blobs.select("chunk", "bucket", "data").groupBy("bucket").cogroup(lengths.groupBy("of")).applyInArrow(hand, HANDED)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, running: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    both = staged(chunks(docs), "lm-chunks")
-    entries = both.filter(F.col("word").isNotNull()).select("chunk", "id", "word", "count")
-    words = staged(entries.groupBy("word").agg(F.sum("count").alias("count")), "lm-words")
-    total = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"),
-                      F.count(F.when(F.col("count") > 0, 1)).alias("v")).first()
+    both = staged(chunks(docs, running), "lm-chunks")
+    blobs = lambda kind: both.filter(F.col("kind") == kind).select("chunk", "bucket", "data", "counts")
+    counts = staged(word_counts(blobs(WORDS)), "lm-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, scale = total["n"], total["n"] + 0.5 * (total["v"] + 1)
-    lengths = staged(word_code_lengths(words), "lm-lengths")
-    values = entries.select("chunk", "id", "word").join(lengths, "word") \
-        .select(F.col("chunk").alias("of"), "id", "count", "lp", (F.octet_length("word") + 1).alias("bytes"))
-    texts = both.filter(F.col("word").isNull()).select("chunk", "doc_id", "held_out", "ids", "tfs")
+    values = counts.unionByName(running_code_lengths(blobs(GRAMS))).select(F.col("chunk").alias("of"), "kind", "bucket", "data")
+    own = both.filter(F.col("kind").isNull() | (F.col("kind") == WORDS)) \
+        .select("chunk", "doc_id", "held_out", "ids", "bucket", "data")
 
     def add_up(left, right):
-        right = right.sort_by("id")
-        count = right["count"].to_numpy()
-        base = np.log10((count + 0.5) / scale)
+        words = b" ".join(left.filter(pc.is_valid(left["bucket"])).sort_by("bucket")["data"].to_pylist()).split(b" ")
+        left = left.filter(pc.is_valid(left["ids"]))
+        count, lp = (right.filter(pc.equal(right["kind"], k)).sort_by("bucket")["data"].combine_chunks().flatten().to_numpy()
+                     for k in (WORDS, GRAMS))
         ids = left["ids"].combine_chunks()
-        tf = left["tfs"].combine_chunks().flatten().to_numpy()
         offsets = ids.offsets.to_numpy()
         first, at = offsets[:-1] - offsets[0], ids.flatten().to_numpy()
-        add = lambda x: np.add.reduceat(x * tf, first)
-        lp, size = add(right["lp"].to_numpy()[at]), add(right["bytes"].to_numpy()[at])
+        texts = np.split(at, first[1:])
+        gram = distinct_grams(texts, words, running)[0]
+        length = np.empty(len(gram) + 1)
+        length[np.argsort(gram % BUCKETS, kind="stable")] = lp
+        length[-1] = 0.0                       # of padding, which is not found
+        index, total = pd.Index(gram), np.zeros(len(texts))
+        for places, pieces in blocks(texts, words, running):
+            g, size = byte_grams(pieces)
+            np.add.at(total, places, np.add.reduceat(length[index.get_indexer(g)], np.cumsum(size) - size))
+        add = lambda x: np.add.reduceat(x[at], first)
+        size = add(np.array([len(w) + 1 for w in words], np.int64))
+        known = np.zeros(len(words), np.int64)
+        known[count > 0] = 1
         return pa.table({
-            "doc_id": left["doc_id"], "held_out": left["held_out"],
-            "n_tokens": np.add.reduceat(tf.astype(np.int64), first),
-            "n_known": add((count[at] > 0).astype(np.int64)),
-            "train_tokens": np.full(len(first), n, np.int64), "base_score": add(base[at]), "score": lp,
-            "bits_per_byte": -lp / math.log10(2) / np.maximum(size - 1, 1)})
+            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": add(np.ones(len(words), np.int64)),
+            "n_known": add(known), "train_tokens": np.full(len(first), n, np.int64),
+            "base_score": add(np.log10((count + 0.5) / scale)), "score": total,
+            "bits_per_byte": -total / math.log10(2) / np.maximum(size - 1, 1)})
 
-    return texts.groupBy("chunk").cogroup(values.groupBy("of")).applyInArrow(
+    return own.groupBy("chunk").cogroup(values.groupBy("of")).applyInArrow(
         add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double, bits_per_byte double")
 
 
 def op7_context_tree_lm(spark, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), running=True)

@@ -1,4 +1,5 @@
 import math
+import sys
 import zlib
 from collections import defaultdict
 
@@ -137,3 +138,49 @@ def test_code_length_of_held_out_texts(spark):
                                              "avg(bits_per_byte) AS bits", "count(*) AS n").first()
     assert held.n > 100 and held.bits < 2.6 and held.score > 1.12 * held.base
     assert got.count() == table(spark, "/root/testdata/sf0.01", "documents").count()
+
+
+def check_running(spark, rows, monkeypatch):
+    """Scores against plain recursion over the running bytes of whole texts."""
+    monkeypatch.setattr(sys.modules[__name__], "tokens", lambda text: [stream_of(text)])
+    monkeypatch.setattr(sys.modules[__name__], "coded", coded_stream)
+    model = Reference([t for i, t in rows if not held_out(i)])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.score) for r in C.score(df, running=True).collect())
+    want = sorted((i is not None, i or 0, model.score(t)) for i, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
+
+
+def stream_of(text):
+    return b" ".join((text or "").encode().lower().split() + [C.END])
+
+
+def coded_stream(data):
+    data = b" " * C.DEPTH + data
+    for i in range(C.DEPTH, len(data)):
+        for k in range(8):
+            yield data[i - C.DEPTH:i], (1 << k) | (data[i] >> (8 - k)), data[i] >> (7 - k) & 1
+
+
+def test_running_contexts_equal_plain_recursion(spark, monkeypatch):
+    check_running(spark, ROWS, monkeypatch)
+
+
+def test_running_contexts_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(C, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(C, "GROUP_GRAMS", 15)
+    monkeypatch.setattr(C, "BUCKETS", 7)
+    check_running(spark, ROWS, monkeypatch)
+
+
+def test_order_of_words_counts(spark, tmp_path):
+    """Context crosses a word's start: shuffled words are less likely than the order learned."""
+    train = [i for i in range(60) if not held_out(i)]
+    test = [i for i in range(60, 120) if held_out(i)][:2]
+    rows = [(i, "the cat sat on the mat") for i in train] + list(zip(test, ["the cat sat on the mat", "mat the on sat cat the"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in C.op7_context_tree_lm(spark, str(tmp_path)).collect()}
+    assert found[test[0]].base_score == pytest.approx(found[test[1]].base_score)
+    assert found[test[0]].score > found[test[1]].score + 1
