@@ -1,5 +1,6 @@
 import math
 import sys
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -184,3 +185,40 @@ def test_order_of_words_counts(spark, tmp_path):
     found = {r.doc_id: r for r in C.op7_context_tree_lm(spark, str(tmp_path)).collect()}
     assert found[test[0]].base_score == pytest.approx(found[test[1]].base_score)
     assert found[test[0]].score > found[test[1]].score + 1
+
+
+def test_grams_of_a_hot_pair_of_bytes_are_spread(spark, monkeypatch):
+    """All contexts end with the same two bytes: no group holds much more than its share."""
+    seen = []
+
+    def staged(df, name):
+        out = df.localCheckpoint()
+        seen.extend([out] if name == "grams" else [])
+        return out
+
+    monkeypatch.setattr(C, "staged", staged)
+    monkeypatch.setattr(C, "GROUP_GRAMS", 500)
+    grams = [(a << 32 | b << 24 | 0x7468 << 8 | 0x65, 1.0) for a in range(40) for b in range(100)]
+    got = C.gram_code_lengths(spark.createDataFrame(grams, "gram long, count double"))
+    assert got.count() == len(grams)
+    assert max(r["count"] for r in seen[0].groupBy("part").count().collect()) < 3 * C.GROUP_GRAMS
+
+
+def test_a_block_of_text_takes_little_memory():
+    """Working arrays are bounded by a block and the grams found, not by the text (33 MB; 77 MB before)."""
+    random = np.random.default_rng(7)
+    words = [bytes(random.integers(97, 123, 6).astype(np.uint8)) for _ in range(500)] + [C.END]
+    texts = [np.append(random.integers(0, 500, 400), 500).astype(np.int32) for _ in range(1500)]
+    tracemalloc.start()
+    gram, count = C.distinct_grams(texts, C.coded(b" ".join(words), True), True, np.ones(len(texts), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count.sum() == sum(7 * 400 + 1 for _ in texts)
+    assert peak < 50e6
+
+
+def test_words_and_numbers_come_back():
+    words, between = C.coded(b" ".join([b"a", "é".encode(), C.END]), False)
+    assert [bytes(w.as_py())[:-between] for w in words] == [b"a", "é".encode(), C.END]
+    for kind, numbers in ((C.IDS, [0, 70_000]), (C.COUNTS, [2 ** 32 - 1, 0]), (C.NUMBERS, [2 ** 55, 3]), (C.REALS, [-0.1, 1e9])):
+        assert C.unpacked(C.packed(np.array(numbers), kind), kind).tolist() == numbers
